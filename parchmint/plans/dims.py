@@ -1,0 +1,58 @@
+"""Small dimension tables as constants: clause headings, required clauses, weights."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+# Headings by clause type, in order.
+CLAUSE_HEADERS = {
+    "payment_terms": ("payment terms", "payment schedule", "invoicing", "billing terms", "terms of payment", "payment conditions", "fees and payment", "payment", "payments"),
+    "payment_amount": ("fees", "compensation", "contract price", "contract value", "remuneration", "consideration", "pricing", "total fee"),
+    "termination_for_cause": ("termination for cause", "termination for breach", "termination for default", "termination with cause", "termination", "termination clause", "default and termination"),
+    "termination_for_convenience": ("termination for convenience", "termination without cause", "termination at will", "convenience termination", "termination for convenience clause"),
+    "notice_period": ("notice", "notice period", "notices", "notification", "notice clause"),
+    "liability_cap": ("limitation of liability", "liability cap", "liability limit", "cap on liability", "limitation on damages", "limitation of liability"),
+    "indemnification": ("indemnification", "indemnity", "hold harmless", "indemnify", "indemnification clause"),
+    "ip_assignment": ("intellectual property assignment", "ip assignment", "work for hire", "assignment of intellectual property", "ownership of work", "intellectual property"),
+    "ip_license": ("intellectual property license", "license grant", "ip license", "licence grant", "software license", "license"),
+    "non_compete": ("non-compete", "non compete", "noncompete", "covenant not to compete", "non-competition"),
+    "non_solicitation": ("non-solicitation", "non solicitation", "nonsolicitation", "covenant not to solicit"),
+    "confidentiality": ("confidentiality", "confidential information", "non-disclosure", "nondisclosure", "secrecy obligations", "confidentiality clause"),
+    "confidentiality_period": ("confidentiality period", "duration of confidentiality", "term of confidentiality obligation"),
+    "warranty": ("warranty", "warranties", "representations and warranties", "disclaimer of warranties", "warranty clause"),
+    "force_majeure": ("force majeure", "acts of god", "unforeseeable circumstances", "impossibility of performance", "force majeure clause"),
+    "dispute_resolution": ("dispute resolution", "arbitration", "governing law and disputes", "jurisdiction and disputes", "mediation", "disputes"),
+    "assignment": ("assignment", "transfer of rights", "assignment of agreement", "assignment and delegation", "assignment clause"),
+    "entire_agreement": ("entire agreement", "merger clause", "integration clause", "complete agreement", "supersedes all prior", "entire agreement clause"),
+}
+# Required clauses of a contract, with severity and category.
+CONTRACT_REQUIRED = (
+    ("payment_terms", "warning", "Financial"), ("payment_amount", "warning", "Financial"), ("termination_for_cause", "warning", "Legal"),
+    ("termination_for_convenience", "critical", "Legal"), ("liability_cap", "critical", "Financial"), ("indemnification", "critical", "Legal"),
+    ("confidentiality", "warning", "Compliance"), ("warranty", "warning", "Legal"), ("force_majeure", "warning", "Legal"),
+    ("assignment", "warning", "Legal"), ("entire_agreement", "warning", "Legal"), ("dispute_resolution", "warning", "Legal"),
+)
+# Points by severity, least score by type of document.
+POINTS = {"critical": 15, "warning": 5, "informational": 1}
+BASE_SCORES = {"contract": 15, "nda": 10, "invoice": 5, "financial_statement": 10, "rfp": 5}
+CATEGORIES = ("Legal", "Financial", "Compliance", "Operational")
+# Stages in order.
+STAGES = ("ingestion", "classification", "extraction", "anomaly", "risk", "cross_document")
+
+
+def clause_headers(spark: SparkSession) -> DataFrame:
+    rows = [(t, c, v, name) for t, (c, names) in enumerate(CLAUSE_HEADERS.items()) for v, name in enumerate(names)]
+    return spark.createDataFrame(rows, "type_ord int, clause_type string, var_ord int, variant string")
+
+
+def required_clauses(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(CONTRACT_REQUIRED), "clause_type string, severity string, category string")
+
+
+def clause_types(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(CLAUSE_HEADERS)), "type_ord int, clause_type string")
+
+
+def header_values() -> str:
+    """The headings as a SQL VALUES list."""
+    return ", ".join(f"({t}, '{c}', {v}, '{name}')" for t, (c, names) in enumerate(CLAUSE_HEADERS.items()) for v, name in enumerate(names))
