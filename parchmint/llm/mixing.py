@@ -26,7 +26,7 @@ from parchmint.llm.common import checkpointed, read
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 #: A mix of more sources is refused, as their table is made on the driver.
-MOST_SOURCES = 1_000_000
+MOST_SOURCES = 100_000
 TILT = 0.25
 SEED = 11
 #: Documents that fill each sample's last gap: every time the largest that fits.
@@ -79,8 +79,8 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
         rest = want - whole * size if size and whole < MOST_COPIES else 0.0
         plan.append((r["__s"], int(size), float(want), whole, float(rest), rest / r["tilted"] if r["tilted"] else 0.0))
     planned = spark.createDataFrame([(k, *row) for k, row in enumerate(plan)], "k int, s string, source_size long, target double, whole int, rest double, scale double")
-    # A row per source: it is broadcast as long as Spark's own limit for broadcasts allows.
-    rows = rows.join(planned, F.col("__s").eqNullSafe(F.col("s"))).drop("s")
+    # Tables of a row per source have MOST_SOURCES rows at most, some 10 MB: they are broadcast.
+    rows = rows.join(F.broadcast(planned), F.col("__s").eqNullSafe(F.col("s"))).drop("s")
     p = F.least(F.lit(0.999999), F.greatest(F.lit(1e-9), F.col("scale") * F.pow(F.greatest("size", F.lit(1)), F.lit(-TILT))))
     odds = (F.col("__u") / (1 - F.col("__u"))) / (p / (1 - p))
     # Odds from 0 to infinity as 0 to 1, then as an integer of 4 * BITS bits: the order of ranks stays.
@@ -89,12 +89,12 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     cut = planned.filter("rest > 0").select("k", F.lit(0).cast("long").alias("parent"), F.lit(0.0).alias("below"), F.col("rest").alias("want"))
     for level in (3, 2, 1):
         cells = rows.filter("size > 0 AND rest > 0").select("k", F.shiftright("rank", level * BITS).alias("cell"), F.shiftright("rank", (level + 1) * BITS).alias("parent"), "size")
-        hist = cells.join(cut, ["k", "parent"]).groupBy("k", "cell").agg(F.sum("size").alias("words"), F.first("below").alias("below"), F.first("want").alias("want"))
+        hist = cells.join(F.broadcast(cut), ["k", "parent"]).groupBy("k", "cell").agg(F.sum("size").alias("words"), F.first("below").alias("below"), F.first("want").alias("want"))
         # At most 2**BITS cells of a source.
         hist = hist.withColumn("upto", F.col("below") + F.sum("words").over(Window.partitionBy("k").orderBy("cell")))
         found = F.min(F.struct("cell", (F.col("upto") - F.col("words")).alias("below"), "want")).alias("c")
         cut = checkpointed(hist.filter("upto >= want").groupBy("k").agg(found).select("k", F.col("c.cell").alias("parent"), "c.below", "c.want"))
-    rows = rows.join(cut.withColumnRenamed("parent", "last"), "k", "left")
+    rows = rows.join(F.broadcast(cut.withColumnRenamed("parent", "last")), "k", "left")
     # In the last cell of each source (some 2**-36 of it) documents stand in order.
     edge = rows.filter((F.col("size") > 0) & (F.shiftright("rank", BITS) == F.col("last")))
     inner = Window.partitionBy("k").orderBy("rank", "__id").rowsBetween(Window.unboundedPreceding, 0)
@@ -104,8 +104,8 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     done = checkpointed(rows.filter(~off).withColumn("more", under).unionByName(edge))
     for _ in range(FITTED):
         gap = done.filter("rest > 0").groupBy("k").agg((F.first("rest") - F.sum(F.col("more") * F.col("size"))).alias("gap"))
-        fit = done.filter("rest > 0 AND more = 0 AND size > 0").join(gap, "k").filter("size <= gap").groupBy("k").agg(F.max(F.struct("size", (-F.col("rank")).alias("r"), "__id")).alias("f"))
-        done = done.join(fit.select("k", F.col("f.__id").alias("__fit")), "k", "left").withColumn("more", F.when(F.col("__id") == F.col("__fit"), 1).otherwise(F.col("more"))).drop("__fit")
+        fit = done.filter("rest > 0 AND more = 0 AND size > 0").join(F.broadcast(gap), "k").filter("size <= gap").groupBy("k").agg(F.max(F.struct("size", (-F.col("rank")).alias("r"), "__id")).alias("f"))
+        done = done.join(F.broadcast(fit.select("k", F.col("f.__id").alias("__fit"))), "k", "left").withColumn("more", F.when(F.col("__id") == F.col("__fit"), 1).otherwise(F.col("more"))).drop("__fit")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(F.col("whole")).cast("int")
     return done.select(*keep, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
