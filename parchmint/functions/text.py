@@ -19,6 +19,11 @@ DATE = (
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
+def strip(text: Column) -> Column:
+    """Without blanks, tabs and line ends at both ends."""
+    return F.trim(text, F.lit(" \t\n\r\f\x0b"))
+
+
 def first(text: Column, pattern: str) -> Column:
     """First match, trimmed; null if there is none."""
     return F.trim(F.regexp_substr(text, F.lit(pattern)))

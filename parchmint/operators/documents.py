@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchmint.functions.fields import first_sentence
 from parchmint.functions.text import DURATION, MONEY, PAYMENT_TERMS, first
 from parchmint.plans.dims import STAGES
 
@@ -18,8 +19,8 @@ def full_text(elements: DataFrame, cap: int = 14000) -> DataFrame:
 def is_heading(line: Column) -> Column:
     s = F.trim(line)
     caps = (F.upper(s) == s) & (F.lower(s) != s)
-    titled = s.rlike(r"^(#{1,6}\s*)?(\d+[.)]\s*)?[A-Z][A-Za-z\s\-&/,]{2,70}$")
-    numbered = s.rlike(r"^(#{1,6}\s*)?\d+[.)]\s+[A-Z]")
+    titled = s.rlike(r"^(#{1,6}\s+)?(\d+[.)]\s+)?[A-Z][A-Za-z\s\-&/,]{2,70}$")
+    numbered = s.rlike(r"^(#{1,6}\s+)?\d+[.)]\s+[A-Z]")
     return (s != "") & (F.char_length(s) <= 80) & ~s.endswith(".") & (caps | titled | numbered)
 
 
@@ -41,7 +42,7 @@ def match_headers(headers: DataFrame, dims: DataFrame) -> DataFrame:
     """(header, clause_type): the first type and variant that contains the heading or lies in it. Distinct headings only meet
     the constant table, as an array of its rows, so that nothing is multiplied."""
     rows = dims.orderBy("type_ord", "var_ord").collect()
-    name = F.trim(F.regexp_replace(F.lower("header"), r"^[#\s]*\d*[.)]?\s*", ""))
+    name = F.lower("header")
     table = F.array(*(F.struct(F.lit(r["clause_type"]).alias("clause_type"), F.lit(r["variant"]).alias("variant")) for r in rows))
     hits = F.filter(table, lambda d: F.col("name").contains(d["variant"]) | d["variant"].contains(F.col("name")))
     named = headers.select("header").distinct().withColumn("name", name)
@@ -49,14 +50,15 @@ def match_headers(headers: DataFrame, dims: DataFrame) -> DataFrame:
 
 
 def clause_value(clause_type: Column, body: Column) -> Column:
-    sentence = F.substring(F.trim(F.split(F.trim(body), r"(?<=[.!?])\s+")[0]), 1, 150)
-    duration = first(body, DURATION)
+    """What a clause of a type says: money, a duration, terms, that it is there, or its first sentence."""
+    sentence, duration = first_sentence(body), first(body, DURATION)
     return (
         F.when(clause_type.isin("payment_amount", "liability_cap"), first(body, MONEY))
+        .when(clause_type.isin("notice_period", "confidentiality_period", "term", "non_compete", "non_solicitation"), duration)
         .when(clause_type == "payment_terms", F.coalesce(first(body, PAYMENT_TERMS), duration))
-        .when(clause_type == "notice_period", F.coalesce(duration, sentence))
-        .when(clause_type.isin("confidentiality", "confidentiality_period"), F.coalesce(duration, F.lit("Present")))
-        .when(clause_type.isin("force_majeure", "entire_agreement", "assignment"), F.lit("Present"))
+        .when(clause_type.isin("termination_for_cause", "termination_for_convenience"), F.coalesce(duration, sentence))
+        .when(clause_type == "confidentiality", F.coalesce(duration, F.lit("Present")))
+        .when(clause_type.isin("force_majeure", "indemnification", "assignment", "entire_agreement"), F.lit("Present"))
         .otherwise(sentence)
     )
 

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchmint.functions.fields import title_case
 from parchmint.functions.text import parse_days
-from parchmint.plans.dims import BASE_SCORES, CATEGORIES, POINTS
+from parchmint.plans.dims import BASE_SCORES, CATEGORIES, POINTS, required_clauses, required_nda_clauses
 
 TOLERANCE = 0.11
 
@@ -88,6 +89,77 @@ def no_ip_clause(clauses: DataFrame) -> DataFrame:
     return finding(rows, "No IP Ownership Clause", "informational", "Legal")
 
 
+def no_law(header: DataFrame) -> DataFrame:
+    return finding(header.filter("coalesce(governing_law, '') = ''"), "Missing Governing Law", "warning", "Legal")
+
+
+def renewal_without_exit(header: DataFrame, clauses: DataFrame) -> DataFrame:
+    """Contracts that renew themselves and can't be ended at will: an anti join."""
+    exits = clauses.filter("present AND clause_type = 'termination_for_convenience'").select("doc_id")
+    return finding(header.filter("auto_renewal").join(exits, "doc_id", "left_anti"), "Auto-Renewal Without Explicit Opt-Out", "warning", "Operational")
+
+
+def secrecy_length(clauses: DataFrame) -> DataFrame:
+    """Secrecy without an end, or of over five years."""
+    rows = clauses.filter("present AND clause_type = 'confidentiality_period' AND value <> ''").withColumn("low", F.lower("value"))
+    endless = F.col("low").contains("perpetual") | F.col("low").contains("indefinite") | F.col("low").contains("no expir")
+    rows = rows.withColumn("kind", F.when(endless, "endless").when(parse_days(F.col("value")) > 365 * 5, "long")).filter("kind IS NOT NULL")
+    title = F.when(F.col("kind") == "endless", "Perpetual Confidentiality Obligation").otherwise("Very Long Confidentiality Period")
+    return finding(rows, title, F.when(F.col("kind") == "endless", "warning").otherwise("informational"), "Legal")
+
+
+def one_sided(header: DataFrame, clauses: DataFrame) -> DataFrame:
+    """Unilateral agreements without any entry for use or disclosure; filled clause lists always have one, so none is found there."""
+    listed = clauses.filter("clause_type IN ('disclosing_party', 'permitted_use')").select("doc_id")
+    return finding(header.filter("mutual = false").join(listed, "doc_id", "left_anti"), "One-Sided NDA", "informational", "Legal")
+
+
+def missing_invoice_fields(header: DataFrame) -> DataFrame:
+    due = finding(header.filter("coalesce(CAST(due_date AS STRING), '') = ''"), "Missing Due Date", "warning", "Financial")
+    return due.unionByName(finding(header.filter("coalesce(vendor_name, '') = ''"), "Missing Vendor Name", "warning", "Compliance"))
+
+
+def exact_duplicate_lines(lines: DataFrame) -> DataFrame:
+    """Second and later lines of the very same description and amount."""
+    key = Window.partitionBy("doc_id", "description", F.coalesce("amount", F.lit(0.0))).orderBy("line_no")
+    rows = lines.filter("description <> ''").withColumn("nth", F.row_number().over(key)).filter("nth > 1")
+    return finding(rows, "Duplicate Line Item", "warning", "Operational", "line_no")
+
+
+def strict_invoice_findings(header: DataFrame, lines: DataFrame) -> DataFrame:
+    """The variant with a tolerance of 0.1, exact duplicates and a total that is compared with the stated subtotal only."""
+    sums = lines.groupBy("doc_id").agg(F.sum(F.coalesce("amount", F.lit(0.0)).cast("decimal(18,2)")).alias("line_sum"))
+    money = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("decimal(18,2)")
+    rows, tenth = header.join(sums, "doc_id", "left"), F.lit("0.10").cast("decimal(18,2)")
+    sub = rows.filter((F.col("subtotal") > 0) & (F.abs(F.coalesce("line_sum", F.lit(0).cast("decimal(18,2)")) - money("subtotal")) > tenth))
+    tot = rows.filter((F.col("total_amount") > 0) & (F.abs(money("subtotal") + money("tax_amount") - money("discount") - money("total_amount")) > tenth))
+    parts = [line_math(lines, 0.1).drop("line_no"), exact_duplicate_lines(lines).drop("line_no")]
+    parts += [finding(sub, "Subtotal Reconciliation Failed", "critical", "Financial"), finding(tot, "Total Reconciliation Failed", "critical", "Financial")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def rfp_gaps(header: DataFrame) -> DataFrame:
+    late = finding(header.filter("coalesce(submission_deadline, '') = ''"), "Missing Submission Deadline", "critical", "Compliance")
+    contact = header.filter("coalesce(contact_email, '') = '' AND coalesce(contact_phone, '') = ''")
+    return late.unionByName(finding(contact, "Missing Contact Information", "warning", "Operational"))
+
+
+def _missing(docs: DataFrame, clauses: DataFrame, required: DataFrame) -> DataFrame:
+    gone = missing_clauses(docs, clauses, required)
+    return finding(gone, F.concat(F.lit("Missing Clause: "), title_case(F.col("clause_type"))), F.col("severity"), F.col("category"))
+
+
+def contract_findings(header: DataFrame, clauses: DataFrame) -> DataFrame:
+    required = required_clauses(header.sparkSession)
+    parts = [_missing(header, clauses, required), no_law(header), short_notice(clauses).drop("days"), long_terms(clauses).drop("days"), renewal_without_exit(header, clauses), no_ip_clause(clauses)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def nda_findings(header: DataFrame, clauses: DataFrame) -> DataFrame:
+    required = required_nda_clauses(header.sparkSession)
+    return reduce(DataFrame.unionByName, [_missing(header, clauses, required), secrecy_length(clauses), one_sided(header, clauses), no_law(header)])
+
+
 def ratios(fs: DataFrame) -> DataFrame:
     """Ratios of a financial statement in per cent or as they are, 2 decimals; null without a denominator."""
     pct = lambda a, b: F.round(F.try_divide(F.col(a), F.col(b)) * 100, 2)

@@ -32,6 +32,37 @@ CONTRACT_REQUIRED = (
     ("confidentiality", "warning", "Compliance"), ("warranty", "warning", "Legal"), ("force_majeure", "warning", "Legal"),
     ("assignment", "warning", "Legal"), ("entire_agreement", "warning", "Legal"), ("dispute_resolution", "warning", "Legal"),
 )
+# Headings of clauses that only agreements of secrecy have; they come after those of contracts.
+NDA_HEADERS = {
+    "confidentiality_definition": ("definition of confidential information", "confidential information means", "definition", "what is confidential"),
+    "permitted_disclosures": ("permitted disclosures", "permitted disclosure", "exceptions to disclosure", "disclosure to representatives"),
+    "permitted_use": ("permitted use", "use of information", "authorized use", "purpose"),
+    "exclusions": ("exclusions", "excluded information", "exceptions", "carve-outs", "information not covered"),
+    "return_or_destruction": ("return of information", "destruction of information", "return or destroy", "return or destruction"),
+    "remedies": ("remedies", "equitable relief", "injunctive relief", "damages", "specific performance"),
+    "term": ("term", "duration", "effectiveness", "term of agreement"),
+}
+NDA_SHARED = ("non_compete", "non_solicitation", "dispute_resolution", "assignment", "notice_period", "confidentiality", "confidentiality_period")
+NDA_REQUIRED = (
+    ("confidentiality_definition", "critical", "Legal"), ("confidentiality_period", "warning", "Legal"), ("exclusions", "informational", "Legal"),
+    ("remedies", "warning", "Legal"), ("return_or_destruction", "informational", "Compliance"),
+)
+# Roles by words near a name; the first role in order wins.
+ROLE_WORDS = {
+    "Client": ("client", "customer", "purchaser", "buyer"), "Vendor": ("vendor", "supplier", "provider", "seller"),
+    "Service Provider": ("service provider", "contractor", "consultant", "developer"), "Disclosing Party": ("disclosing party", "discloser"),
+    "Receiving Party": ("receiving party", "recipient"), "Licensor": ("licensor", "licens"), "Licensee": ("licensee",), "Employer": ("employer", "company"),
+    "Employee": ("employee", "worker"), "Buyer": ("buyer", "purchaser"), "Seller": ("seller",),
+}
+# Labels of dates by the first word before "date".
+DATE_LABELS = {
+    "effective": "Effective Date", "execution": "Execution Date", "expiry": "Expiration Date", "expiration": "Expiration Date", "termination": "Termination Date",
+    "commencement": "Commencement Date", "due": "Due Date", "renewal": "Renewal Date", "reporting": "Reporting Period", "notice": "Notice Period",
+}
+TYPE_LABELS = {
+    "contract": "service/commercial contract", "nda": "non-disclosure agreement", "invoice": "invoice", "rfp": "request for proposal",
+    "financial_statement": "financial statement", "other": "document",
+}
 # Points by severity, least score by type of document.
 POINTS = {"critical": 15, "warning": 5, "informational": 1}
 BASE_SCORES = {"contract": 15, "nda": 10, "invoice": 5, "financial_statement": 10, "rfp": 5}
@@ -40,8 +71,9 @@ CATEGORIES = ("Legal", "Financial", "Compliance", "Operational")
 STAGES = ("ingestion", "classification", "extraction", "anomaly", "risk", "cross_document")
 
 
-def clause_headers(spark: SparkSession) -> DataFrame:
-    rows = [(t, c, v, name) for t, (c, names) in enumerate(CLAUSE_HEADERS.items()) for v, name in enumerate(names)]
+def clause_headers(spark: SparkSession, nda: bool = False) -> DataFrame:
+    headers = CLAUSE_HEADERS | NDA_HEADERS if nda else CLAUSE_HEADERS
+    rows = [(t, c, v, name) for t, (c, names) in enumerate(headers.items()) for v, name in enumerate(names)]
     return spark.createDataFrame(rows, "type_ord int, clause_type string, var_ord int, variant string")
 
 
@@ -49,6 +81,10 @@ def required_clauses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(CONTRACT_REQUIRED), "clause_type string, severity string, category string")
 
 
+def required_nda_clauses(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(NDA_REQUIRED), "clause_type string, severity string, category string")
+
+
 def clause_types(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(CLAUSE_HEADERS)), "type_ord int, clause_type string")
 

@@ -17,7 +17,7 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     free = (F.col("l_orderkey") % 50 == 0) & (F.col("l_linenumber") == 1)
     rows = li.select(
         F.col("l_orderkey").alias("doc_id"), F.row_number().over(order).alias("line_no"), F.col("p_name").alias("description"), F.col("l_quantity").alias("quantity"),
-        F.when(free, 0.0).otherwise(F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)).alias("unit_price"),
+        F.when(free, 0.0).otherwise(F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100).alias("unit_price"),
         F.when(free, 0.0).otherwise(F.round("l_extendedprice", 2)).alias("amount"),
     )
     again = rows.filter("doc_id % 20 = 0").withColumn("line_no", F.col("line_no") + 100).withColumn("description", F.concat(F.lit(" "), F.upper("description")))
@@ -29,7 +29,7 @@ lines0 AS (
   SELECT l_orderkey AS doc_id,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS line_no,
     p_name AS description, l_quantity AS quantity,
-    CASE WHEN l_orderkey % 50 = 0 AND l_linenumber = 1 THEN 0 ELSE round(l_extendedprice / l_quantity, 2) END AS unit_price,
+    CASE WHEN l_orderkey % 50 = 0 AND l_linenumber = 1 THEN 0 ELSE floor(l_extendedprice / l_quantity * 100) / 100 END AS unit_price,
     CASE WHEN l_orderkey % 50 = 0 AND l_linenumber = 1 THEN 0 ELSE round(l_extendedprice, 2) END AS amount
   FROM lineitem JOIN part ON l_partkey = p_partkey
 ), lines AS (

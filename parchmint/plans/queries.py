@@ -102,12 +102,12 @@ def overdue_invoices(spark, sf_dir):
 _SECTIONS_SQL = f"""
 {fx.CONTRACTS_SQL}, l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM contracts),
 l1 AS (SELECT *, trim(line) <> '' AND length(trim(line)) <= 80 AND trim(line) NOT LIKE '%.' AND ((upper(trim(line)) = trim(line) AND lower(trim(line)) <> trim(line))
-    OR regexp_matches(trim(line), '^(#{{1,6}}\\s*)?(\\d+[.)]\\s*)?[A-Z][A-Za-z\\s\\-&/,]{{2,70}}$') OR regexp_matches(trim(line), '^(#{{1,6}}\\s*)?\\d+[.)]\\s+[A-Z]')) AS head FROM l0),
+    OR regexp_matches(trim(line), '^(#{{1,6}}\\s+)?(\\d+[.)]\\s+)?[A-Z][A-Za-z\\s\\-&/,]{{2,70}}$') OR regexp_matches(trim(line), '^(#{{1,6}}\\s+)?\\d+[.)]\\s+[A-Z]')) AS head FROM l0),
 l2 AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM l1),
 l3 AS (SELECT doc_id, island, coalesce(max(trim(line)) FILTER (head), '') AS header, trim(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT head)) AS body, count(*) FILTER (NOT head) AS n FROM l2 GROUP BY doc_id, island),
 secs AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island) AS section, header, body FROM l3 WHERE n > 0),
 dims(type_ord, clause_type, var_ord, variant) AS (VALUES {dims.header_values()}),
-names AS (SELECT DISTINCT header, trim(regexp_replace(lower(header), '^[#\\s]*\\d*[.)]?\\s*', '')) AS name FROM secs),
+names AS (SELECT DISTINCT header, lower(header) AS name FROM secs),
 matched AS (SELECT header, clause_type FROM (SELECT header, clause_type, row_number() OVER (PARTITION BY header ORDER BY type_ord, var_ord) AS nth
     FROM names JOIN dims ON name <> '' AND (contains(name, variant) OR contains(variant, name))) WHERE nth = 1),
 firsts AS (SELECT doc_id, clause_type, body FROM (SELECT doc_id, clause_type, body, row_number() OVER (PARTITION BY doc_id, clause_type ORDER BY section) AS nth FROM secs JOIN matched USING (header)) WHERE nth = 1)"""
