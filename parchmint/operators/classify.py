@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchmint.functions import fields as fd
+from parchmint.operators.documents import centroids, nearest_centroid
 from parchmint.plans.dims import DATE_LABELS, ROLE_WORDS, TYPE_LABELS
 
 # Patterns whose matches are part of the results, in order.
@@ -157,6 +158,15 @@ def hashed_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     return encode
 
 
+def document_types(texts: DataFrame, prototypes: dict[str, tuple[str, ...]], encoder=hashed_encoder) -> DataFrame:
+    """(doc_id, document_type, confidence): the type whose prototypes' mean vector is nearest, the first in order among equals."""
+    names = list(prototypes)
+    rows = texts.sparkSession.createDataFrame([(i, p) for i, n in enumerate(names) for p in prototypes[n]], "label int, sentence string")
+    cents = centroids(rows.select("label", embed(F.col("sentence"), encoder).alias("embedding")))
+    near = nearest_centroid(texts.select(F.col("doc_id").alias("vec_id"), embed(F.col("full_text"), encoder).alias("embedding")), cents)
+    return near.select(F.col("vec_id").alias("doc_id"), F.element_at(F.array(*map(F.lit, names)), F.col("nearest").cast("int") + 1).alias("document_type"), F.col("score").alias("confidence"))
+
+
 def classify(texts: DataFrame, doc_type: Column, names=capitalised_names) -> DataFrame:
     """Type and metadata of every document; a document without text has an error and nothing else."""
     t = F.col("full_text")

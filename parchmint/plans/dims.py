@@ -63,6 +63,15 @@ TYPE_LABELS = {
     "contract": "service/commercial contract", "nda": "non-disclosure agreement", "invoice": "invoice", "rfp": "request for proposal",
     "financial_statement": "financial statement", "other": "document",
 }
+#: Sentences that stand for the types; a trained encoder may bring its own.
+PROTOTYPES = {
+    "contract": ("services agreement between the parties with fees, warranty and limitation of liability", "either party may end this agreement upon breach with notice", "payment terms, indemnification and governing law of the agreement"),
+    "nda": ("non disclosure agreement on confidential information", "the receiving party keeps secrets of the disclosing party", "permitted use and return of confidential materials"),
+    "invoice": ("invoice number, due date and total amount due", "subtotal, tax and grand total of the invoice in net days", "bill to the customer with bank details and sort code"),
+    "financial_statement": ("balance sheet with total assets, liabilities and equity", "revenue, gross profit and net income for the year", "cash flow of operating activities, audited accounts"),
+    "rfp": ("request for proposal with submission deadline and budget", "evaluation criteria and weights of the proposals", "vendors must submit questions before the deadline"),
+    "other": ("letter about a general matter", "notes of a meeting", "manual of instructions"),
+}
 # Points by severity, least score by type of document.
 POINTS = {"critical": 15, "warning": 5, "informational": 1}
 BASE_SCORES = {"contract": 15, "nda": 10, "invoice": 5, "financial_statement": 10, "rfp": 5}

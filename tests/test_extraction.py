@@ -229,3 +229,11 @@ def test_records(spark):
     none = docs.filter("false")
     r = records.record(docs, none.selectExpr("doc_id", "name AS parties"), none.selectExpr("doc_id", "name AS key_fields"), none.selectExpr("doc_id", "1 AS overall_score"), none.selectExpr("doc_id", "name AS severity")).first()
     assert (r.document_type, r.parties, r.risk_score, r.critical) == ("Nda", "Unknown", 0, 0)
+
+
+def test_document_types(spark):
+    from parchmint.plans import extraction_queries as q
+
+    for rendered, kind in ((q.invoice_texts, "invoice"), (q.statement_texts, "financial_statement"), (q.rfp_texts, "rfp")):
+        got = classify.document_types(rendered(spark, "/root/testdata/sf0.001"), dims.PROTOTYPES).groupBy("document_type").count().orderBy(F.desc("count")).first()
+        assert got.document_type == kind
