@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import MASK, chunks, partitions, read, shingle_hashes, text_buffers, word_hashes
+from parchmint.llm.common import MASK, checkpointed, chunks, partitions, read, shingle_hashes, text_buffers, word_hashes
 from parchmint.llm.components import components
 
 WORDS = 5
@@ -163,23 +163,34 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """(doc_id, component_id) of every document: near copies, by bands, of Jaccard >= similarity share a component.
 
     Documents of one fingerprint are one class first, so that copies of a text are never paired. In each band's bucket
-    every class is paired with the smallest only; its true shingles decide, and the links' components are found by joins.
+    every class is paired with the smallest; true shingles decide, and the links' components are found by joins. Then
+    classes of a bucket that are in different components still are paired and decided alike, so that no link that the
+    bands find is lost, and pairs within a component, which is what grows with groups of copies, are never made.
     """
     rows = signed(docs, text, doc_id)
     classes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     keyed = classes.select("rep", F.explode("bands").alias("key"))
     least = keyed.groupBy("key").agg(F.min("rep").alias("to"), F.count("*").alias("n")).filter("n > 1").select("key", "to")
-    pairs = keyed.join(least, "key").filter("rep <> to").select("rep", "to").distinct()
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("body")).groupBy("id").agg(F.min("body").alias("body"))
-    both = pairs.join(own.toDF("rep", "a"), "rep").join(own.toDF("to", "b"), "to")
 
     @F.pandas_udf("double")
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
         sets = [[set(shingle_hashes(*word_hashes(*_texts([t])), WORDS)[0].tolist()) for t in side] for side in (a, b)]
         return pd.Series([len(x & y) / max(1, len(x | y)) for x, y in zip(*sets, strict=True)])
 
-    links = both.select(F.col("rep").alias("u"), F.col("to").alias("v")).where(jaccard("a", "b") >= similarity)
-    found = components(links)
+    def decided(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(own.toDF("u", "a"), "u").join(own.toDF("v", "b"), "v")
+        return both.where(jaccard("a", "b") >= similarity).select("u", "v")
+
+    links = checkpointed(decided(keyed.join(least, "key").filter("rep <> to").select(F.col("rep").alias("u"), F.col("to").alias("v")).distinct()))
+    first = components(links).toDF("rep", "component")
+    placed = keyed.join(least.select("key"), "key").join(first, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("rep").alias("to")).filter("lo < hi").select("key", "to")
+    rest = checkpointed(placed.join(split, "key"))
+    rest = rest.filter("rep <> to")
+    other = rest.select("key", F.col("rep").alias("v"), F.col("c").alias("d")).join(rest.select("key", F.col("rep").alias("u"), "c"), "key")
+    more = decided(other.filter("c <> d AND u > v").select("u", "v").distinct())
+    found = components(links.unionByName(more))
     named = rows.select("doc_id", "fingerprint").join(classes.select("fingerprint", "rep"), "fingerprint").join(found.toDF("rep", "component"), "rep", "left")
     named = named.select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     alone = docs.select(F.col(doc_id).cast("long").alias("doc_id")).join(named, "doc_id", "left_anti")

@@ -129,6 +129,29 @@ def test_near_duplicates(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
 
 
+def test_near_duplicates_near_the_threshold(spark):
+    """Groups whose members are near some others only: no false link, and nearly all that brute force finds."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(200)]
+        for _ in range(8):
+            words = list(base)
+            for at in rng.choice(200, rng.integers(1, 5), replace=False):
+                words[at] = f"x{rng.integers(1 << 30)}"
+            texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    label = list(range(len(texts)))
+    for a, b in combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            lo, hi = sorted((label[a], label[b]))
+            label = [lo if x == hi else x for x in label]
+    got = dict(minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    pairs = [(a, b) for a, b in combinations(range(len(texts)), 2) if label[a] == label[b]]
+    assert all(label[a] == label[b] for a, b in combinations(range(len(texts)), 2) if got[a] == got[b])
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs) > 0
+
+
 @pytest.mark.parametrize("cell", [2048, 3])
 def test_embeddings(spark, cell):
     rng = np.random.default_rng(5)
