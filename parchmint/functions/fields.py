@@ -164,3 +164,8 @@ def around(text: Column, pattern: str, before: int, after: int, cap: int = 200)
     start = F.greatest(at - F.lit(1 + before), F.lit(0))
     piece = F.substr(text, start + 1, at - 1 + F.char_length(hit) + after - start)
     return F.when(hit.isNotNull(), F.substring(strip(piece), 1, cap))
+
+
+def first_line(text: Column) -> Column:
+    """A name up to its first line end."""
+    return F.regexp_replace(text, r"(?s)\n.*", "")

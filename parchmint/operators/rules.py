@@ -229,3 +229,22 @@ def distinct_descriptions(contradictions: DataFrame) -> DataFrame:
     """The first contradiction of each description in a project, by (title, doc1_name, doc2_name)."""
     first = Window.partitionBy("project_id", "description").orderBy("title", "doc1_name", "doc2_name")
     return contradictions.withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
+
+
+def _invoice_rules(header: DataFrame, lines: DataFrame, as_of: str) -> DataFrame:
+    return invoice_findings(header, lines).unionByName(overdue(header, as_of).drop("days_late")).unionByName(missing_invoice_fields(header))
+
+
+#: Rules of each type over its tables; a type that isn't listed has none.
+RULES = {
+    "contract": contract_findings,
+    "nda": nda_findings,
+    "invoice": _invoice_rules,
+    "financial_statement": statement_findings,
+    "rfp": lambda header, criteria: rfp_gaps(header).unionByName(rfp_weights(criteria).drop("total_weight")),
+}
+
+
+def findings(tables: dict[str, tuple]) -> DataFrame:
+    """(doc_id, title, severity, category) of all types at once: tables maps a type to what its rules take."""
+    return reduce(DataFrame.unionByName, (RULES[kind](*args) for kind, args in tables.items() if kind in RULES))

@@ -237,3 +237,13 @@ def test_document_types(spark):
     for rendered, kind in ((q.invoice_texts, "invoice"), (q.statement_texts, "financial_statement"), (q.rfp_texts, "rfp")):
         got = classify.document_types(rendered(spark, "/root/testdata/sf0.001"), dims.PROTOTYPES).groupBy("document_type").count().orderBy(F.desc("count")).first()
         assert got.document_type == kind
+
+
+def test_findings_by_type(spark):
+    head = texts(spark, "Subtotal: 100\nTax: 20\nTotal: 120").select("doc_id", F.lit(100.0).alias("subtotal"), F.lit(0.0).alias("tax_amount"), F.lit(0.0).alias("discount"), F.lit(100.0).alias("total_amount"), F.lit("2024-01-01").cast("date").alias("due_date"), F.lit("A\nB").alias("vendor_name"))
+    lines = spark.createDataFrame([(0, 1, "a", 1.0, 100.0, 100.0)], "doc_id int, line_no int, description string, quantity double, unit_price double, amount double")
+    rfp = spark.createDataFrame([(9, None, None, "a@b.c")], "doc_id int, submission_deadline string, contact_phone string, contact_email string")
+    criteria = spark.createDataFrame([(9, "x", 40.0), (9, "y", 50.0)], "doc_id int, criterion string, weight_pct double")
+    got = rules.findings({"invoice": (head, lines, "2024-02-01"), "rfp": (rfp, criteria), "other": ()})
+    assert {(r.doc_id, r.title) for r in got.collect()} == {(0, "Overdue Invoice"), (9, "Missing Submission Deadline"), (9, "Evaluation Criteria Weights Don't Sum to 100%")}
+    assert head.select(fd.first_line(F.col("vendor_name")).alias("v")).first().v == "A"
