@@ -24,8 +24,9 @@ from parchmint.llm.components import components
 
 WORDS = 5
 PERMUTATIONS = 128
-#: Bands of the signature; documents that agree in all rows of a band are candidates.
-BANDS = 16
+#: Bands of the signature; documents that agree in all rows of a band are candidates. At Jaccard 0.8 a pair of 32 bands of 4
+#: permutations is one with probability 1 - (1 - 0.8 ** 4) ** 32 = 1 - 5e-8.
+BANDS = 32
 SIMILARITY = 0.8
 SEED = 20240229
 #: Shingles that are permuted at a time (in the processor's cache).
@@ -139,7 +140,7 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fingerprint, bands: array of long) of each document that has a word; no shuffle."""
+    """(doc_id, body, fingerprint, bands: array of long) of each row that has an id and a word; no shuffle."""
 
     def made(batches):
         for batch in batches:
@@ -153,25 +154,29 @@ def signed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
                     key = (key ^ wide[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
                     key ^= key >> np.uint64(29)
                 key += np.arange(BANDS, dtype=np.uint64)
-            columns = [batch.column(0), pa.array(fingerprints(sig)), pa.array([r.astype(np.int64) for r in key.view(np.int64)], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(has)) for c in columns], ["doc_id", "fingerprint", "bands"])
+            columns = [batch.column(0), batch.column(1), pa.array(fingerprints(sig)), pa.array([r.astype(np.int64) for r in key.view(np.int64)], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(has)) for c in columns], ["doc_id", "body", "fingerprint", "bands"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(made, "doc_id long, fingerprint string, bands array<long>")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("body")).filter("doc_id IS NOT NULL")
+    return rows.mapInArrow(made, "doc_id long, body string, fingerprint string, bands array<long>")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) of every document: near copies, by bands, of Jaccard >= similarity share a component.
+    """(doc_id, component_id), a row per row of `docs`: near copies, by bands, of Jaccard >= similarity share a component.
 
-    Documents of one fingerprint are one class first, so that copies of a text are never paired. In each band's bucket
+    Rows of one doc_id and different texts are one document for links; a null doc_id has a null component.
+    Rows of one fingerprint are one class first, so that copies of a text are never paired. In each band's bucket
     every class is paired with the smallest; true shingles decide, and the links' components are found by joins. Then
     classes of a bucket that are in different components still are paired and decided alike, so that no link that the
     bands find is lost, and pairs within a component, which is what grows with groups of copies, are never made.
     """
     rows = signed(docs, text, doc_id)
-    classes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    classes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.min("body").alias("body"), F.first("bands").alias("bands"))
+    # A class has a number of its own, as one doc_id may have rows of several.
+    classes = checkpointed(classes.withColumn("rep", F.monotonically_increasing_id()))
     keyed = classes.select("rep", F.explode("bands").alias("key"))
     least = keyed.groupBy("key").agg(F.min("rep").alias("to"), F.count("*").alias("n")).filter("n > 1").select("key", "to")
-    own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("body")).groupBy("id").agg(F.min("body").alias("body"))
+    own = classes.select("rep", "body")
 
     @F.pandas_udf("double")
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -190,8 +195,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rest = rest.filter("rep <> to")
     other = rest.select("key", F.col("rep").alias("v"), F.col("c").alias("d")).join(rest.select("key", F.col("rep").alias("u"), "c"), "key")
     more = decided(other.filter("c <> d AND u > v").select("u", "v").distinct())
-    found = components(links.unionByName(more))
-    named = rows.select("doc_id", "fingerprint").join(classes.select("fingerprint", "rep"), "fingerprint").join(found.toDF("rep", "component"), "rep", "left")
-    named = named.select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    alone = docs.select(F.col(doc_id).cast("long").alias("doc_id")).join(named, "doc_id", "left_anti")
-    return named.unionByName(alone.withColumn("component_id", F.col("doc_id")))
+    named = classes.select("rep", "id")
+    ties = links.unionByName(more).join(named.toDF("u", "a"), "u").join(named.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    members = rows.select("doc_id", "fingerprint").join(classes.select("fingerprint", "id"), "fingerprint").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
+    found = components(ties.union(members)).toDF("doc_id", "component")
+    every = docs.select(F.col(doc_id).cast("long").alias("doc_id")).join(found, "doc_id", "left")
+    return every.select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
