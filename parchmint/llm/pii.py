@@ -100,7 +100,7 @@ def features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
         d = _NOT_DIGIT.sub("", t)
         n, at, dots = len(d), t.find("@"), t.count(".")
         parts = t.split(".")
-        quad = len(parts) == 4 and all(p.isdigit() for p in parts)
+        quad = len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts)
         letters = any(c.isalpha() for c in t)
         touch_l = i > 0 and s - spans[i - 1][1] <= 1
         touch_r = i + 1 < len(spans) and spans[i + 1][0] - e <= 1
