@@ -5,8 +5,10 @@ automaton over the words' text, each word between single spaces, finds all phras
 After an identifier tag the licence expression (ids joined by AND, OR, WITH, in brackets) is parsed.
 
 Defined results: null or empty text has 0 words, no labels, null first_word and last_word, score 0. Labels are distinct and
-sorted; no label is the empty string. A malformed expression adds the ids that it names, without a verdict. Repeated rows are
-scanned alike; other columns of the input are passed over.
+sorted; no label is the empty string. After a tag only ids that begin as a known licence, or with LicenseRef-, are labels. The
+restriction is the strictest of all well-formed expressions (each as a whole) and of all other labels, those of malformed
+expressions included; null without labels. Repeated rows and rows of a null id are scanned alike; other columns of the input pass
+through, except those named as a result. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -68,6 +70,10 @@ def restriction(ident: str) -> int:
     return max(((len(k), v) for k, v in RESTRICTION.items() if ident.startswith(k)), default=(0, 3))[1]
 
 
+def known(ident: str) -> bool:
+    return ident.startswith("licenseref-") or any(ident.startswith(k) for k in RESTRICTION)
+
+
 def postfix(text: str) -> tuple[list[str], bool]:
     """Reverse Polish form of the expression that `text` starts with, and whether it is well-formed (shunting-yard)."""
     out, ops, operand, pos = [], [], True, 0
@@ -153,18 +159,20 @@ def scan(text: str | None, found) -> tuple:
             starts.append(end - back)
         elif kind == "notice":
             method.add(label)
-    strict = None
+    verdicts, loose = [], base | method
     if ("tag", "") in kinds:
         for m in _TAG_TEXT.finditer(text):
             rpn, whole = postfix(m[1])
-            method.update(licence_ids(rpn) if whole else rpn)
-            if whole:
-                strict = max(strict or 0, evaluate(rpn))
+            named = set(filter(known, licence_ids(rpn) if whole else rpn))
+            method |= named
+            if whole and named:
+                verdicts.append(evaluate(rpn))
+            else:
+                loose = loose | named
     for kind, _ in kinds:
         doubt *= 1 - WEIGHTS[kind]
     labels = base | method
-    for label in labels:
-        strict = max(strict or 0, restriction(label)) if strict is None or ("tag", "") not in kinds else strict
+    strict = max([*verdicts, *map(restriction, loose)], default=None)
     at = [line.count(" ", 0, s + 1) - 1 for s in ((min(starts), max(starts)) if starts else ())] or [None, None]
     return len(words), n_base, at[0], at[1], ",".join(sorted(base)), ",".join(sorted(labels)), 1 - doubt, strict
 
