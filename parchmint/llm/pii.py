@@ -1,13 +1,21 @@
 r"""8. Personal data: base patterns, and a skip-chain conditional random field that adds what they miss.
 
 Patterns of four kinds are matched leftmost and without overlap, each in linear time. The field's variables are the tokens with a
-digit or an @; all others are fixed as being outside. Neighbouring tokens share potentials (chain), and so does each token with
-the one before it in the document that is alike (same digits, or same word in lower case: skip). Loopy message passing over all graphs of a
-batch at once gives each token's label; tokens of one label side by side make a span, which is added unless it meets a
-base span. Weights are fitted on a sample of at most SAMPLE documents, whose labels are the base patterns' own.
-
-Defined results: null or empty text has no spans (empty string; digest of the empty string). Repeated rows are searched alike. If the
-sample has no token that is personal data, the field adds nothing. Other columns of the input are passed over.
+digit or an @ (personal data spelt without either can't be added); all others are fixed as being outside. Neighbouring tokens share
+potentials (chain), and so does each token with the last and with the first one in the document that is alike (same last
+digits, same word or same name of an address: skip), however far away. Tokens in base spans are known. Loopy message passing over
+all graphs of a batch at once, until messages change by less than TOLERANCE, gives each other token's label; tokens of one label side
+by side make a span, which is added unless it meets a base span.
+
+All weights (of shapes, chain and skip) are fitted together by the gradient of the conditional likelihood, with the marginals
+of message passing. The labels come from the base patterns: in a sample of some SAMPLE documents, their matches are rewritten
+into forms that the patterns miss (other separators, prefix or brackets gone), and repeated elsewhere in the document, with the label that
+the match had.
+
+Defined results: null or empty text has no spans (empty string; digest of the empty string). Repeated rows and rows of a null id
+are searched alike; fields that look like numbers in other scripts (superscripts, circled digits) are no digits. If the
+sample has no personal data, or the table is empty, the field adds nothing. Other columns of the input pass through, except those
+named as a result.
 """
 
 from __future__ import annotations
@@ -19,16 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import read
+from parchmint.llm.common import read, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("outside", *KINDS)
-#: Documents that the field's weights are fitted on (those of the smallest hashes of their ids), and tokens of each of them at most.
-SAMPLE = 4000
-SAMPLE_TOKENS = 200
-#: Rounds of message passing, and the least probability of a label that makes a span.
-ROUNDS = 8
+#: Documents that the field is fitted on, chosen by hash, each different one once: some 20,000, whole; about a fifth have any variable.
+SAMPLE = 20_000
+#: Messages are passed until none changes by more than this, or so many times.
+TOLERANCE, ROUNDS = 1e-3, 200
+#: Least probability of a label that makes a span.
 LEAST = 0.9
+#: Steps of the fit, rounds of messages in each, and the penalty of large weights.
+STEPS, FIT_ROUNDS, PENALTY = 150, 12, 1e-3
+#: What a base span adds to the belief in its label.
+KNOWN = 12.0
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -118,134 +130,247 @@ def features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
 FEATURES = 28
 
 
+def alike(token: str) -> list[str]:
+    """What tokens have in common that are mentions of the same thing."""
+    t = token.strip(".,;:!?\"'()[]")
+    digits = _NOT_DIGIT.sub("", t)
+    name, at, _ = t.lower().partition("@")
+    keys = [f"@{name}"] if at and len(name) > 3 else [f"#{digits[-7:]}"] if len(digits) >= 7 else []
+    return [*keys, t.lower()] if len(t) > 3 else keys
+
+
 def graph(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(chain edges between tokens side by side, skip edges from each token to the last one that is alike)."""
+    """(chain edges between tokens side by side, skip edges from each token to the last and to the first one that is alike)."""
     chain = [(i, i + 1) for i in range(len(spans) - 1) if spans[i + 1][0] - spans[i][1] <= 1]
-    seen: dict[str, int] = {}
-    skip = []
-    for i, (s, e) in enumerate(spans):
-        t = text[s:e].strip(".,;:!?\"'()")
-        digits = _NOT_DIGIT.sub("", t)
-        key = digits if len(digits) > 5 and "@" not in t else t.lower()
-        if len(key) > 3:
-            if key in seen:
-                skip.append((seen[key], i))
-            seen[key] = i
-    return chain, skip
-
-
-def silver(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> np.ndarray:
-    """Label of each token by the base span that it meets."""
-    out = np.zeros(len(spans), np.int64)
+    seen: dict[str, tuple[int, int]] = {}
+    skip = set()
     for i, (s, e) in enumerate(spans):
-        for s2, kind, e2 in base:
-            if s2 < e and s < e2:
-                out[i] = kind + 1
-                break
-    return out
+        for key in alike(text[s:e]):
+            first, last = seen.get(key, (i, i))
+            skip |= {(j, i) for j in (first, last) if j < i}
+            seen[key] = first, i
+    return chain, sorted(skip)
+
+
+def met(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> np.ndarray:
+    """Label of each span by a base span that it meets (0: none); base is sorted by start. Linear but for a binary search."""
+    if not base or not spans:
+        return np.zeros(len(spans), np.int64)
+    starts, ends = np.array([b[0] for b in base]), np.array([b[2] for b in base])
+    furthest = np.maximum.accumulate(ends)
+    which = np.maximum.accumulate(np.where(ends == furthest, np.arange(len(base)), 0))
+    at = np.searchsorted(starts, [e for _, e in spans]) - 1
+    hit = (at >= 0) & (furthest[at] > np.array([s for s, _ in spans]))
+    return np.where(hit, np.array([b[1] for b in base])[which[at]] + 1, 0)
+
+
+def hidden(match: str, kind: int, form: int) -> str:
+    """A base match in a form that the base patterns miss."""
+    digits = _NOT_DIGIT.sub("", match)
+    if kind == 0:
+        return (match.replace("@", " @ "), match.replace("@", "@ "), match.replace("@", "[@]"))[form % 3]
+    if kind == 1:
+        return (match.replace(".", "[.]"), match.replace(".", ","), match.replace(".", "(.)"))[form % 3]
+    if kind == 2:
+        return "./_"[form % 3].join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    own = digits[-10:]
+    return (match.lstrip("+"), f"({own[:3]}) {own[3:6]}-{own[6:]}", f"{own[:3]}-{own[3:6]}-{own[6:]}", f"{own[:3]}.{own[3:6]}.{own[6:]}")[form % 4]
+
+
+def masked(text: str, base: list[tuple[int, int, int]], seed: int) -> tuple[str, list[tuple[int, int, int]]]:
+    """(text with some matches rewritten and some repeated at the end, where they are now)."""
+    rng = np.random.default_rng(seed)
+    parts, spans, done, size, tail = [], [], 0, 0, []
+
+    def put(piece: str, kind: int | None = None):
+        nonlocal size
+        if kind is not None:
+            spans.append((size, kind, size + len(piece)))
+        parts.append(piece)
+        size += len(piece)
+
+    for start, kind, end in base:
+        if start < done:
+            continue
+        put(text[done:start])
+        # A third each: hidden here, as it was and hidden further on, as it was.
+        how = rng.integers(3)
+        put(hidden(text[start:end], kind, int(rng.integers(12))) if how == 0 else text[start:end], kind)
+        if how == 1:
+            tail.append((hidden(text[start:end], kind, int(rng.integers(12))), kind))
+        done = end
+    put(text[done:])
+    for piece, kind in tail:
+        put(" and again ")
+        put(piece, kind)
+    return "".join(parts), spans
+
+
+_COLUMNS = ("x", "y", "known", "chain", "skip")
+
+
+def _examples(texts) -> tuple[np.ndarray, ...] | None:
+    """Features, labels and known labels of all tokens of some texts with masked matches, and the edges between them."""
+    rows, size = [[] for _ in _COLUMNS], 0
+    for n, t in enumerate(texts):
+        if not t or not _HINT.search(t):
+            continue
+        t, truth = masked(t, base_spans(t), n)
+        spans = tokens(t)
+        chain, skip = graph(t, spans)
+        made = features(t, spans).astype(np.uint8), met(spans, truth), met(spans, base_spans(t))
+        for out, part in zip(rows, (*made, *(np.array(e, np.int64).reshape(-1, 2) + size for e in (chain, skip))), strict=True):
+            out.append(part)
+        size += len(spans)
+    return tuple(map(np.concatenate, rows)) if size else None
+
+
+def train(x: np.ndarray, y: np.ndarray, known: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights: features x labels, chain potentials, skip potentials) that raise the likelihood of the labels, all at once (Adam)."""
+    labels = len(LABELS)
+    theta = [np.zeros((x.shape[1], labels)), np.zeros((labels, labels)), np.zeros((labels, labels))]
+    first, second = ([np.zeros_like(t) for t in theta] for _ in range(2))
+    x, fixed, goal = x.astype(np.float64), _known(known), np.eye(labels)[y]
+
+    def pairs(edges):
+        n = np.zeros((labels, labels))
+        np.add.at(n, (y[edges[:, 0]], y[edges[:, 1]]), 1.0)
+        return n
+
+    seen = [x.T @ goal, pairs(chain), pairs(skip)]
+    for step in range(1, STEPS + 1):
+        nodes, edges = beliefs(x @ theta[0] + fixed, [(chain, theta[1]), (skip, theta[2])], FIT_ROUNDS)
+        expected = [x.T @ nodes, *(e.sum(axis=0) for e in edges)]
+        for k, t in enumerate(theta):
+            g = (seen[k] - expected[k]) / len(y) - PENALTY * t
+            # Alike tokens are alike both ways.
+            g = (g + g.T) / 2 if k == 2 else g
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.99 * second[k] + 0.01 * g * g
+            t += 0.1 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+    return tuple(theta)
 
 
 def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(weights: features x labels, chain potentials, skip potentials), by logistic regression and smoothed counts of pairs."""
-    ids = docs.select(F.col(doc_id).alias("i"), F.xxhash64(F.col(doc_id)).alias("h")).orderBy("h", "i").limit(SAMPLE).select("i").distinct()
-    sample = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("text")).join(F.broadcast(ids), "i").limit(2 * SAMPLE).select("text")
+    """The field's weights. Only the tokens of the sampled documents reach the driver."""
+    total = docs.count()
+    if not total:
+        return None
+    rows = docs.select(F.xxhash64(F.col(doc_id).cast("string"), text).alias("h"), F.col(text).alias("text"))
+    sample = rows.filter(F.pmod(F.xxhash64(F.lit(8), "h"), F.lit(1 << 40)) < min(1 << 40, int(SAMPLE / total * (1 << 40)))).dropDuplicates(["h"]).sortWithinPartitions("h").select("h", "text")
 
     def described(batches):
+        tidy()
         for batch in batches:
-            x, y, pairs = [], [], []
-            for t in batch.column(0).to_pylist():
-                if t and _HINT.search(t):
-                    spans = tokens(t)[:SAMPLE_TOKENS]
-                    label = silver(spans, base_spans(t))
-                    x.append(features(t, spans))
-                    y.append(label)
-                    for kind, edges in enumerate(graph(t, spans)):
-                        pairs += [(kind, label[i], label[j]) for i, j in edges]
-            n = np.zeros((2, len(LABELS), len(LABELS)), np.int64)
-            for p in pairs:
-                n[p] += 1
-            if x:
-                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(x).astype(np.uint8).tobytes()]), pa.array([np.concatenate(y).astype(np.uint8).tobytes()]), pa.array([n.tobytes()])], ["x", "y", "n"])
-
-    found = sample.mapInArrow(described, "x binary, y binary, n binary").collect()
-    if not found:
-        return None
-    y = np.frombuffer(b"".join(bytes(r["y"]) for r in found), np.uint8)
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in found), np.uint8).reshape(len(y), FEATURES)
-    n = sum(np.frombuffer(bytes(r["n"]), np.int64).reshape(2, len(LABELS), len(LABELS)) for r in found)
-    if not y.any():
+            if (found := _examples(batch.column(1).to_pylist())) is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[0].as_py()]), *(pa.array([np.ascontiguousarray(c).tobytes()]) for c in found)], ["h", *_COLUMNS])
+
+    found = sorted(sample.mapInArrow(described, "h long, " + ", ".join(f"{c} binary" for c in _COLUMNS)).collect(), key=lambda r: r["h"])
+    parts = [[np.frombuffer(bytes(r["x"]), np.uint8).reshape(-1, FEATURES), *(np.frombuffer(bytes(r[c]), np.int64) for c in _COLUMNS[1:])] for r in found]
+    size = 0
+    for part in parts:
+        part[3:] = [e.reshape(-1, 2) + size for e in part[3:]]
+        size += len(part[1])
+    if not size or not any(part[1].any() for part in parts):
         return None
-    rows, times = np.unique(np.column_stack([x, y]), axis=0, return_counts=True)
-    x, y, times = rows[:, :-1].astype(float), rows[:, -1], times / times.sum()
-    w, goal = np.zeros((FEATURES, len(LABELS))), np.eye(len(LABELS))[y]
-    for _ in range(1500):
-        z = np.exp(x @ w - (x @ w).max(axis=1, keepdims=True))
-        w += 2.0 * (x.T @ ((goal - z / z.sum(axis=1, keepdims=True)) * times[:, None]) - 1e-5 * w)
-    same = np.log((n[1].trace() + 1) / (n[1].sum() - n[1].trace() + 1))
-    chain = np.log((n[0] + 1.0) * (n[0].sum() + len(LABELS) ** 2) / np.outer(n[0].sum(axis=1) + len(LABELS), n[0].sum(axis=0) + len(LABELS)))
-    return w, np.clip(chain, -2, 2), np.eye(len(LABELS)) * np.clip(same, 0, 3)
-
-
-def marginals(unary: np.ndarray, edges: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Probabilities of the labels by loopy belief propagation; edges: (pairs, potentials) of each kind."""
-    ends, potentials = [], []
-    for pairs, psi in edges:
-        if len(pairs):
-            ends += [pairs, pairs[:, ::-1]]
-            potentials += [np.broadcast_to(psi, (len(pairs), *psi.shape)), np.broadcast_to(psi.T, (len(pairs), *psi.shape))]
-    if ends:
-        back = np.concatenate([np.arange(len(p)) + (len(p) if k % 2 == 0 else -len(p)) + sum(len(q) for q in ends[:k]) for k, p in enumerate(ends)])
-        ends, potentials = np.concatenate(ends), np.concatenate(potentials)
-        message = np.zeros((len(ends), unary.shape[1]))
-        for _ in range(ROUNDS):
-            belief = unary.copy()
-            np.add.at(belief, ends[:, 1], message)
-            out = (belief[ends[:, 0]] - message[back])[:, :, None] + potentials
-            top = out.max(axis=1)
-            new = top + np.log(np.exp(out - top[:, None, :]).sum(axis=1))
-            message = 0.5 * message + 0.5 * (new - new.max(axis=1, keepdims=True))
-        unary = unary.copy()
-        np.add.at(unary, ends[:, 1], message)
-    p = np.exp(unary - unary.max(axis=1, keepdims=True))
-    return p / p.sum(axis=1, keepdims=True)
+    return train(*(np.concatenate([part[k] for part in parts]) for k in range(len(_COLUMNS))))
+
+
+def _known(labels: np.ndarray) -> np.ndarray:
+    return np.eye(len(LABELS))[labels] * (labels > 0)[:, None] * KNOWN
+
+
+def beliefs(unary: np.ndarray, edges: list[tuple[np.ndarray, np.ndarray]], rounds: int = ROUNDS) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(probabilities of the labels, of the pairs of labels of each edge) by loopy belief propagation; edges: (pairs, potentials) of each kind."""
+
+    def shared(z, axes):
+        z = np.exp(z - z.max(axis=axes, keepdims=True))
+        return z / z.sum(axis=axes, keepdims=True)
+
+    pairs = np.concatenate([np.asarray(p, np.int64).reshape(-1, 2) for p, _ in edges]) if edges else np.zeros((0, 2), np.int64)
+    kinds = np.concatenate([[0], np.cumsum([len(p) for p, _ in edges])]).astype(int)
+    n = len(pairs)
+    if not n:
+        return shared(unary, 1), [np.zeros((0, unary.shape[1], unary.shape[1])) for _ in edges]
+    psi = np.concatenate([np.broadcast_to(w, (len(p), *w.shape)) for p, w in edges])
+    sources, goals = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
+    potentials = np.concatenate([psi, psi.transpose(0, 2, 1)])
+    back = np.concatenate([np.arange(n, 2 * n), np.arange(n)])
+    message = np.zeros((2 * n, unary.shape[1]))
+    for _ in range(rounds):
+        belief = unary.copy()
+        np.add.at(belief, goals, message)
+        out = (belief[sources] - message[back])[:, :, None] + potentials
+        top = out.max(axis=1)
+        new = top + np.log(np.exp(out - top[:, None, :]).sum(axis=1))
+        new = 0.5 * message + 0.5 * (new - new.max(axis=1, keepdims=True))
+        change = np.abs(new - message).max()
+        message = new
+        if change < TOLERANCE:
+            break
+    belief = unary.copy()
+    np.add.at(belief, goals, message)
+    both = (belief[pairs[:, 0]] - message[n:])[:, :, None] + psi + (belief[pairs[:, 1]] - message[:n])[:, None, :]
+    both = shared(both, (1, 2))
+    return shared(belief, 1), [both[kinds[k] : kinds[k + 1]] for k in range(len(edges))]
 
 
 def _added(texts: list[str], bases: list[list], model) -> list[list[tuple[int, int, int]]]:
-    """Spans of each text that the field adds; all graphs are solved together."""
+    """Spans of each text that the field adds; the graphs of some texts are solved together."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if model is None:
         return out
-    w, chain, skip = model
-    where, x, ends, size = [], [], ([], []), 0
+    held, size = [], 0
     for k, t in enumerate(texts):
         if t and _HINT.search(t):
-            spans = tokens(t)
-            for kind, edges in enumerate(graph(t, spans)):
-                ends[kind].extend((i + size, j + size) for i, j in edges)
-            where += [(k, s, e) for s, e in spans]
-            x.append(features(t, spans))
-            size += len(spans)
-    if not size:
-        return out
-    p = marginals(np.concatenate(x) @ w, [(np.array(e, np.int64).reshape(-1, 2), psi) for e, psi in zip(ends, (chain, skip), strict=True)])
-    best = np.where(p.max(axis=1) >= LEAST, p.argmax(axis=1), 0)
-    i = 0
-    while i < size:
-        j = i + 1
-        if best[i]:
-            while j < size and best[j] == best[i] and where[j][0] == where[i][0] and where[j][1] - where[j - 1][2] <= 1:
-                j += 1
-            k, start, end = where[i][0], where[i][1], where[j - 1][2]
-            while start < end and texts[k][start] in ".,;:!?\"'()[]<>":
-                start += 1
-            while start < end and texts[k][end - 1] in ".,;:!?\"'([]<>":
-                end -= 1
-            if start < end and not any(s < end and start < e for s, _, e in bases[k]):
-                out[k].append((start, int(best[i]) - 1, end))
-        i = j
+            held.append((k, tokens(t)))
+            size += len(held[-1][1])
+            if size >= AT_ONCE:
+                _solved(texts, bases, held, model, out)
+                held, size = [], 0
+    _solved(texts, bases, held, model, out)
     return out
 
 
+#: Tokens whose graphs are solved together (or those of one text).
+AT_ONCE = 20_000
+
+
+def _solved(texts, bases, held, model, out) -> None:
+    if not held:
+        return
+    w, chain, skip = model
+    x, known, ends, size = [], [], ([], []), 0
+    for k, spans in held:
+        for kind, edges in enumerate(graph(texts[k], spans)):
+            ends[kind].append(np.array(edges, np.int64).reshape(-1, 2) + size)
+        x.append(features(texts[k], spans))
+        known.append(met(spans, bases[k]))
+        size += len(spans)
+    known = np.concatenate(known)
+    p, _ = beliefs(np.concatenate(x) @ w + _known(known), [(np.concatenate(e), psi) for e, psi in zip(ends, (chain, skip), strict=True)])
+    best = np.where((p.max(axis=1) >= LEAST) & (known == 0), p.argmax(axis=1), 0)
+    at = 0
+    for k, spans in held:
+        found, i = [], 0
+        while i < len(spans):
+            j = i + 1
+            if kind := best[at + i]:
+                while j < len(spans) and best[at + j] == kind and spans[j][0] - spans[j - 1][1] <= 1:
+                    j += 1
+                start, end = spans[i][0], spans[j - 1][1]
+                while start < end and texts[k][start] in ".,;:!?\"'[]<>":
+                    start += 1
+                while start < end and texts[k][end - 1] in ".,;:!?\"'([]<>":
+                    end -= 1
+                if start < end:
+                    found.append((start, int(kind) - 1, end))
+            i = j
+        clear = met([(s, e) for s, _, e in found], bases[k]) == 0
+        out[k] = [span for span, free in zip(found, clear, strict=True) if free]
+        at += len(spans)
+
+
 def _joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
@@ -260,6 +385,7 @@ def find_personal_data(docs: DataFrame, model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def found(batches):
+        tidy()
         for batch in batches:
             texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
             bases = [base_spans(t) for t in texts]
