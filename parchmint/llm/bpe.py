@@ -1,15 +1,19 @@
 """3. Byte-level BPE encoding and decoding by a shuffle of distinct words.
 
-The JVM splits each text into pre-tokens. Each Arrow batch of documents is a block: its texts become positions in the
-block's own list of distinct words, and only that list goes on. All lists are dealt out by the words' hash (explode), so that
-each distinct word of the corpus meets in one place and is encoded there once; its ids are joined back to the blocks that
-hold it, where each text is reassembled by position. So what is shuffled is one entry per word and block, not one per
-occurrence, and a word in every document is one entry per block: no key is hot. Decoding joins the ids with the table of
-the tokens' bytes (the vocabulary: 50 thousand rows, broadcast).
-
-Defined results: null or empty text has no tokens (digests of the empty string, null-free). Repeated rows are encoded each.
-A word of any length is merged with a heap, in n log n. Columns of the input besides the text pass through, except those named
-as a result. An empty table gives an empty result.
+The JVM splits each text into pre-tokens. A task numbers the distinct words of a block of documents (up to BLOCK_BYTES of text
+or BLOCK_WORDS words): a document becomes the list of its words' numbers, by position, and the block's words one list. Those
+lists are dealt out by the words' hash, so that each distinct word of the corpus meets in one shard and is encoded there
+once; its ids go back to the blocks that hold it, where each text is reassembled by position. So what is shuffled is one
+entry per word and block, not one per occurrence, and a word in every document is one entry per block: no key is hot. Decoding
+joins the ids with the table of the tokens' bytes (the vocabulary: 50 thousand rows, broadcast).
+
+Memory: a task holds the words of one block, or of one shard, and pieces of the texts; it grows neither with the
+table nor with the length of a text, but for the text itself.
+
+Defined results: null or empty text has no tokens (digests of the empty string, null-free). Repeated rows and rows of a null id are
+encoded each. A word of any length is merged with a heap, in n log n. Columns of the input besides the text pass through, except
+those named as a result. An empty table gives an empty result. The plan reads `docs` once; it must give the same rows in the
+same order if a lost task is run again, as a table or a checkpoint does.
 """
 
 from __future__ import annotations
@@ -24,13 +28,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parchmint.llm.common import gather, partitions, read, span_hashes, text_buffers
+from parchmint.llm.common import chunks, gather, partitions, read, span_hashes, text_buffers, tidy
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Distinct words that a task remembers the ids of; beyond it, it forgets all and goes on.
-REMEMBERED = 1_000_000
-#: Words of a text that are put together at a time.
-TOGETHER = 1 << 19
+#: A block ends after this many bytes of marked text or distinct words.
+BLOCK_BYTES = 32 << 20
+BLOCK_WORDS = 1 << 19
+#: Bytes of text that are cut into words at a time, and words of texts that are put together at a time.
+PIECE = 1 << 20
+TOGETHER = 1 << 18
+#: Shards of the words in each partition of the shuffle; one is encoded at a time.
+SHARDS = 8
 _NONE = 1 << 60
 
 
@@ -83,25 +91,45 @@ def _encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if not gone[i]]
 
 
-def _packed(**columns) -> bytes:
-    """Arrow's own stream format, compressed."""
-    batch = pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def packed(places: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes (frequent words have small numbers: high planes are nearly empty), compressed."""
+    if not len(places):
+        return b""
+    planes = places.astype("<u4").view(np.uint8).reshape(-1, 4)
+    top = max(1, (int(places.max()).bit_length() + 7) // 8)
+    return bytes([top]) + pa.compress(np.ascontiguousarray(planes[:, :top].T).tobytes(), "zstd", asbytes=True)
 
 
-def _unpacked(payload: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(payload).read_next_batch()
+def unpacked(payload: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint32)
+    planes = np.zeros((n, 4), np.uint8)
+    top = payload[0]
+    planes[:, :top] = np.frombuffer(pa.decompress(payload[1:], top * n, "zstd", asbytes=True), np.uint8).reshape(top, n).T
+    return planes.reshape(-1).view("<u4")
 
 
-_BLOCK_SCHEMA = T.StructType([T.StructField("block", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("payload", T.BinaryType())])
-_BLOCK_ARROW = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("payload", pa.binary())])
+def zipped(words: pa.Array) -> bytes:
+    """The words' lengths and bytes, compressed."""
+    data, offsets = text_buffers(words)
+    sizes = packed(np.diff(offsets))
+    return len(sizes).to_bytes(4, "little") + sizes + len(data).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(data).tobytes(), "zstd", asbytes=True)
 
 
-def _block_rows(rows) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_BLOCK_ARROW.types)], schema=_BLOCK_ARROW)
+def unzipped(payload: bytes, n: int) -> pa.Array:
+    head = 4 + int.from_bytes(payload[:4], "little")
+    size = int.from_bytes(payload[head : head + 8], "little")
+    data = pa.decompress(payload[head + 8 :], size, "zstd", asbytes=True) if size else b""
+    ends = np.concatenate([[0], np.cumsum(unpacked(payload[4:head], n), dtype=np.int64)])
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(data))
+
+
+def _shards(words: pa.Array, shards: int) -> np.ndarray:
+    return (span_hashes(*text_buffers(words)) % np.uint64(shards)).astype(np.int32)
+
+
+#: Values of the column __kind of rows that aren't a shard's.
+DOCUMENT, WORDS = -1, -2
 
 
 def _tokens(marked: pa.Array, odd: pa.Array, pattern: str) -> tuple[np.ndarray, pa.Array]:
@@ -124,40 +152,112 @@ def _tokens(marked: pa.Array, odd: pa.Array, pattern: str) -> tuple[np.ndarray,
     return sizes, tokens
 
 
-def blocks(docs: DataFrame, text: str, keep: list[str], pattern: str, shards: int) -> DataFrame:
-    """(block, shard, payload): per block a row of the documents (shard -1) and a row per shard of the distinct words."""
+def blocks(docs: DataFrame, text: str, keep: list[str], pattern: str) -> DataFrame:
+    """`keep` with __block, __kind, __n and __payload: a row per document, of its n words' numbers in the block, and one per block, of its n distinct words."""
     # One NUL after each pre-token: a single string per text is far cheaper to hand over than a list of strings.
     marked = F.regexp_replace(F.col(text), java_pattern(pattern), "$0\0")
     # Texts with NULs of their own, and letters newer than the JVM's Unicode tables, are split in Python.
     odd = F.col(text).contains("\0") | (F.octet_length(text) != F.char_length(text)) & F.col(text).rlike(r"\p{Cn}")
     source = docs.withColumn("__odd", odd).select(*keep, F.when(~F.col("__odd"), marked).alias("__marked"), F.when(F.col("__odd"), F.col(text)).alias("__text"))
+    names = [*keep, "__block", "__kind", "__n", "__payload"]
 
     def made(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        for n, batch in enumerate(batches):
-            if not batch.num_rows:
-                continue
-            block = (part << 32) + n
-            sizes, tokens = _tokens(batch.column(len(keep)), batch.column(len(keep) + 1), pattern)
-            coded = tokens.dictionary_encode()
-            at, own = coded.indices.to_numpy(), coded.dictionary
-            order = np.argsort(-np.bincount(at, minlength=len(own)), kind="stable")
-            place = np.empty(len(own), np.uint32)
-            place[order] = np.arange(len(own), dtype=np.uint32)
-            own = own.take(pa.array(order))
-            at = place[at] if len(own) else np.zeros(0, np.uint32)
-            shard = (span_hashes(*text_buffers(own)) % np.uint64(shards)).astype(np.int32)
-            planes = np.ascontiguousarray(at.astype("<u4")).view(np.uint8).reshape(-1, 4)
-            head = _packed(**{c: batch.column(i) for i, c in enumerate(keep)}, __words=sizes)
-            body = _packed(**{f"p{i}": [np.ascontiguousarray(planes[:, i]).tobytes()] for i in range(4)}, shard=pa.array([shard.astype(np.int32).tolist()], pa.list_(pa.int32())))
-            yield _block_rows([(block, -1, head), (block, -2, body)])
-            by = np.argsort(shard, kind="stable")
-            edges = np.searchsorted(shard[by], np.arange(shards + 1))
-            yield _block_rows([(block, s, _packed(word=own.take(pa.array(by[edges[s] : edges[s + 1]])))) for s in range(shards) if edges[s] < edges[s + 1]])
-
-    return source.mapInArrow(made, _BLOCK_SCHEMA)
+        tidy()
+        block, size, own, some, kept_types = TaskContext.get().partitionId() << 32, 0, {}, False, None
+
+        def listed():
+            columns = [pa.array([block]), pa.array([WORDS], pa.int32()), pa.array([len(own)]), pa.array([zipped(pa.array(list(own), pa.large_string()))], pa.binary())]
+            return pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in kept_types), *columns], names)
+
+        for batch in batches:
+            kept_types = [batch.column(i).type for i in range(len(keep))]
+            offsets = sum(text_buffers(batch.column(i))[1] for i in (len(keep), len(keep) + 1))
+            for i, j in chunks(offsets, PIECE):
+                part = batch.slice(i, j - i)
+                sizes, tokens = _tokens(part.column(len(keep)), part.column(len(keep) + 1), pattern)
+                coded = tokens.dictionary_encode()
+                place = np.array([own.setdefault(w, len(own)) for w in coded.dictionary.to_pylist()], np.uint32)
+                at, bounds = place[coded.indices.to_numpy()], np.concatenate([[0], np.cumsum(sizes)])
+                places = pa.array([packed(at[bounds[k] : bounds[k + 1]]) for k in range(j - i)], pa.binary())
+                columns = [pa.array(np.full(j - i, block)), pa.array(np.full(j - i, DOCUMENT, np.int32)), pa.array(sizes.astype(np.int64)), places]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(len(keep))), *columns], names)
+                size, some = size + int(offsets[j] - offsets[i]), True
+                if size >= BLOCK_BYTES or len(own) >= BLOCK_WORDS:
+                    yield listed()
+                    block, size, own, some = block + 1, 0, {}, False
+        if some:
+            yield listed()
+
+    # Rows of words have no document: all of its columns may be null there.
+    kept_fields = [T.StructField(f.name, f.dataType) for f in docs.select(keep).schema]
+    schema = T.StructType([*kept_fields, T.StructField("__block", T.LongType()), T.StructField("__kind", T.IntegerType()), T.StructField("__n", T.LongType())])
+    return source.mapInArrow(made, schema.add("__payload", "binary"))
+
+
+_SHARD_SCHEMA = "block long, shard int, n int, words binary"
+_BACK_SCHEMA = "block long, shard int, n int, sizes binary, ids binary"
+
+
+def word_ids(whole: DataFrame, shared, n: int) -> DataFrame:
+    """(block, shard, sizes, ids): ids of the words of each block and shard, each distinct word of the corpus encoded once."""
+
+    def dealt(batches):
+        tidy()
+        for batch in batches:
+            kinds = batch.column(batch.schema.get_field_index("__kind")).to_numpy()
+            for row in np.flatnonzero(kinds == WORDS):
+                block = batch.column(batch.schema.get_field_index("__block"))[row].as_py()
+                count, payload = (batch.column(batch.schema.get_field_index(c))[row].as_py() for c in ("__n", "__payload"))
+                words = unzipped(payload, count)
+                shard = _shards(words, n * SHARDS)
+                order = np.argsort(shard, kind="stable")
+                some, sizes = np.unique(shard, return_counts=True)
+                words, ends = words.take(pa.array(order)), np.cumsum(sizes)
+                lists = pa.array([zipped(words.slice(end - size, size)) for end, size in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(some, pa.int32()), pa.array(sizes.astype(np.int32)), lists], ["block", "shard", "n", "words"])
+
+    def encoded(batches):
+        tidy()
+        table, known, last = shared.value, {}, None
+        for batch in batches:
+            for i, j in chunks(np.concatenate([[0], np.cumsum(batch.column(2).to_numpy())]), TOGETHER):
+                part, sizes, ids = batch.slice(i, j - i), [], []
+                for shard, count, payload in zip(*(part.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                    words = unzipped(payload, count).to_pylist()
+                    if shard != last:
+                        known, last = {}, shard
+                    found = [known[w] if w in known else known.setdefault(w, encode_word(w.encode(), table)) for w in words]
+                    sizes.append(packed(np.array([len(x) for x in found], np.uint32)))
+                    ids.append(packed(np.array([y for x in found for y in x], np.uint32)))
+                lists = [pa.array(x, pa.binary()) for x in (sizes, ids)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *lists], ["block", "shard", "n", "sizes", "ids"])
+
+    by_shard = whole.mapInArrow(dealt, _SHARD_SCHEMA).repartitionById(n, F.pmod("shard", F.lit(n)).cast("int"))
+    return by_shard.sortWithinPartitions("shard").mapInArrow(encoded, _BACK_SCHEMA)
+
+
+class _Ids:
+    """Ids of a block's words, by number."""
+
+    def __init__(self, words: pa.Array, back: pa.Table, shards: int):
+        by = np.argsort(_shards(words, shards), kind="stable")
+        back = back.sort_by("shard")
+        counts, sizes, ids = (back.column(c).to_pylist() for c in ("n", "sizes", "ids"))
+        sizes = [unpacked(s, n).astype(np.int64) for s, n in zip(sizes, counts, strict=True)]
+        self.flat = np.concatenate([unpacked(x, int(s.sum())) for x, s in zip(ids, sizes, strict=True)]) if ids else np.zeros(0, np.uint32)
+        sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        if len(sizes) != len(words):
+            raise RuntimeError("a block's words have changed: the input isn't read alike twice")
+        self.sizes, self.starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        self.sizes[by] = sizes
+        self.starts[by] = np.cumsum(sizes) - sizes
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where those of each word end)."""
+        sizes = self.sizes[places]
+        return self.flat[gather(self.starts[places], sizes)].astype("<u4"), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, digests: bool = False) -> DataFrame:
@@ -171,73 +271,45 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
     keep = [c for c in docs.columns if c != text and c not in made]
     n = partitions(spark)
     shared = spark.sparkContext.broadcast(ranks)
-
-    whole = blocks(docs, text, keep, pattern, n).repartition(n, "block")
-
-    def words(batches):
-        for batch in batches:
-            yield batch.filter(pa.compute.greater_equal(batch.column(1), 0))
-
-    def encoded(batches):
-        known: dict[str, np.ndarray] = {}
-        table = shared.value
-        for batch in batches:
-            for block, shard, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ids = []
-                for word in _unpacked(payload).column(0).to_pylist():
-                    if (found := known.get(word)) is None:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        found = known[word] = encode_word(word.encode(), table)
-                    ids.append(found)
-                sizes = np.array([len(x) for x in ids], np.uint32)
-                flat = np.array([y for x in ids for y in x], np.uint32)
-                yield _block_rows([(block, shard, _packed(sizes=[sizes.tobytes()], ids=[flat.tobytes()]))])
-
-    back = whole.mapInArrow(words, _BLOCK_SCHEMA).repartition(n, "shard").mapInArrow(encoded, _BLOCK_SCHEMA)
-    kept_schema = docs.select(keep).schema
-    out_schema = T.StructType(list(kept_schema)).add("n_tokens", "long")
+    # Both sides of the join below read this shuffle, whose rows are made once.
+    whole = blocks(docs, text, keep, pattern).repartition(n, "__block")
+    back = word_ids(whole, shared, n)
+    out_schema = T.StructType(list(docs.select(keep).schema)).add("n_tokens", "long")
     for c in made[1:]:
         out_schema = out_schema.add(c, "string" if digests else T.ArrayType(T.IntegerType()) if c == "ids" else "binary")
 
     def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = dict(zip(left.column("shard").to_pylist(), left.column("payload").to_pylist(), strict=True))
-        head, body = _unpacked(rows[-1]), _unpacked(rows[-2])
-        planes = [np.frombuffer(body.column(f"p{i}")[0].as_py(), np.uint8) for i in range(4)]
-        at = np.stack(planes, axis=1).reshape(-1).view("<u4")
-        shard = np.array(body.column("shard")[0].as_py(), np.int64)
-        sizes, flat = np.zeros(len(shard), np.int64), []
-        got = dict(zip(right.column("shard").to_pylist(), right.column("payload").to_pylist(), strict=True))
-        by = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[by], np.arange(n + 1))
-        for s in range(n):
-            if edges[s] < edges[s + 1]:
-                part = _unpacked(got[s])
-                sizes[by[edges[s] : edges[s + 1]]] = np.frombuffer(part.column("sizes")[0].as_py(), np.uint32)
-                flat.append(np.frombuffer(part.column("ids")[0].as_py(), np.uint32))
-        flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-        starts = np.zeros(len(shard), np.int64)
-        starts[by] = np.cumsum(sizes[by]) - sizes[by]
+        kinds = left.column("__kind").to_numpy()
+        rows = left.filter(pa.array(kinds == DOCUMENT))
+        listed = left.filter(pa.array(kinds == WORDS))
+        table = _Ids(unzipped(listed.column("__payload")[0].as_py(), listed.column("__n")[0].as_py()), right, n * SHARDS)
+        counts, payloads = rows.column("__n").to_numpy(), rows.column("__payload").to_pylist()
         columns = [[] for _ in made]
-        bounds = np.concatenate([[0], np.cumsum(head.column("__words").to_numpy())])
-        i = 0
-        while i < head.num_rows:
-            j = min(head.num_rows, max(i + 1, int(np.searchsorted(bounds, bounds[i] + TOGETHER, side="right")) - 1))
-            w = at[bounds[i] : bounds[j]]
-            ids = flat[gather(starts[w], sizes[w])]
-            ends = np.concatenate([[0], np.cumsum(sizes[w])])[bounds[i : j + 1] - bounds[i]]
-            text_bytes, text_ends = decode(ids, ends, shared.value)
-            raw = np.ascontiguousarray(ids.astype("<u4")).view(np.uint8)
-            for k in range(j - i):
-                columns[0].append(int(ends[k + 1] - ends[k]))
-                own, own_bytes = raw[4 * ends[k] : 4 * ends[k + 1]], text_bytes[text_ends[k] : text_ends[k + 1]]
-                columns[1].append(hashlib.sha256(own).hexdigest() if digests else ids[ends[k] : ends[k + 1]].astype(np.int32))
-                columns[2].append(hashlib.sha256(own_bytes).hexdigest() if digests else own_bytes.tobytes())
-            i = j
+        for i, j in chunks(np.concatenate([[0], np.cumsum(counts)]), TOGETHER):
+            if j - i == 1 and counts[i] > TOGETHER:
+                places = unpacked(payloads[i], counts[i])
+                pieces = [table.of(places[k : k + TOGETHER])[0] for k in range(0, len(places), TOGETHER)]
+                parts = [[(ids, decode(ids, np.array([0, len(ids)]), shared.value)[0]) for ids in pieces]]
+            else:
+                ids, ends = table.of(np.concatenate([unpacked(payloads[k], counts[k]) for k in range(i, j)]))
+                ends = ends[np.concatenate([[0], np.cumsum(counts[i:j])])]
+                data, stops = decode(ids, ends, shared.value)
+                parts = [[(ids[ends[k] : ends[k + 1]], data[stops[k] : stops[k + 1]])] for k in range(j - i)]
+            for own in parts:
+                columns[0].append(sum(len(ids) for ids, _ in own))
+                for column, at in ((columns[1], 0), (columns[2], 1)):
+                    if digests:
+                        digest = hashlib.sha256()
+                        for piece in own:
+                            digest.update(np.ascontiguousarray(piece[at]))
+                        column.append(digest.hexdigest())
+                    else:
+                        joined = np.concatenate([piece[at] for piece in own])
+                        column.append(joined.tobytes() if at else joined.astype(np.int32))
         types = [pa.int64(), *([pa.string()] * 2 if digests else [pa.list_(pa.int32()), pa.binary()])]
-        return pa.Table.from_arrays([*(head.column(c) for c in keep), *(pa.array(v, t) for v, t in zip(columns, types, strict=True))], names=[*keep, *made])
+        return pa.Table.from_arrays([*(rows.column(c) for c in keep), *(pa.array(v, t) for v, t in zip(columns, types, strict=True))], names=[*keep, *made])
 
-    return whole.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assembled, out_schema)
+    return whole.groupBy("__block").cogroup(back.groupBy("block")).applyInArrow(assembled, out_schema)
 
 
 _TABLE: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -261,5 +333,5 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every row's text."""
+    """Token counts and digests of every row's text: a row per row, null text as an empty one, repeated and null ids each alike."""
     return encode(docs.select("doc_id", "text"), digests=True)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
 #: Bytes of text that are hashed at a time.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -19,6 +21,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def prefixed(docs: DataFrame) -> DataFrame:
+    """`docs` with __in_ before each column's name, so that no extra column clashes with what an operator adds."""
+    return docs.select(*(F.col(f"`{c}`").alias(f"__in_{c}") for c in docs.columns))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -40,6 +47,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bucket_cells(keyed: DataFrame, cell: int) -> DataFrame:
+    """(key, pos, rep, chunk, a, b) of the buckets of more than one member; keyed: rep, pos (its table) and key, which tells tables apart.
+
+    A bucket of the very members of an earlier table's has no new pairs and is passed over (members are compared by number and a
+    hash of 128 bits). A bucket of more than `cell` members is dealt out as pairs of chunks a <= b, so that no task holds it whole.
+    """
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "rep")).alias(f"x{seed}") for seed in (1, 2)]
+    full = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("pos").alias("pos"), *marks).filter("m > 1")
+    full = full.groupBy("m", "x1", "x2").agg(F.min_by("key", F.struct("pos", "key")).alias("key")).select("key", F.ceil(2 * F.col("m") / cell).cast("int").alias("halves"))
+    full = full.withColumn("chunks", F.when(F.col("halves") > 2, F.col("halves")).otherwise(1)).drop("halves")
+    dealt = keyed.join(full, "key").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return dealt.select("key", "pos", "rep", "chunk", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
+
+
+def tidy() -> None:
+    """Frees what earlier tasks of a reused Python worker left in reference cycles: their functions' code and tables."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column and the n+1 offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -73,18 +101,37 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-_POWERS = np.ones(1, np.uint64)
-_INVERSES = np.ones(1, np.uint64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POWERS, _INVERSES
-    if len(_POWERS) < n:
-        n = max(n, CHUNK_BYTES + 1)
-        with np.errstate(over="ignore"):
-            _POWERS = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, _BASE))])
-            _INVERSES = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, _BASE_INV))])
-    return _POWERS, _INVERSES
+def _table(base: np.uint64) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(CHUNK_BYTES, base))])
+
+
+_POWERS: list[np.ndarray] = []
+
+
+def _sums(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of spans that follow one another, in windows of CHUNK_BYTES: memory doesn't grow with the text."""
+    if not _POWERS:
+        _POWERS.extend((_table(_BASE), _table(_BASE_INV)))
+    power, inverse = _POWERS
+    out = np.zeros(len(starts), np.uint64)
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(buf), CHUNK_BYTES):
+            part = buf[lo : lo + CHUNK_BYTES]
+            i, j = int(np.searchsorted(ends, lo, side="right")), int(np.searchsorted(starts, lo + len(part)))
+            if i >= j:
+                continue
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=sums[1:])
+            first, last = np.maximum(starts[i:j] - lo, 0), np.minimum(ends[i:j] - lo, len(part))
+            found = (sums[last] - sums[first]) * inverse[first]
+            # A span that began in an earlier window goes on with the power that it had reached.
+            if (done := lo - int(starts[i])) > 0:
+                found[0] *= np.uint64(pow(int(_BASE), done, 1 << 64))
+            out[i:j] += found
+    return out
 
 
 def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,12 +152,8 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     after[-1], after[:-1] = False, word[1:]
     after[off[1:][off[1:] > 0] - 1] = False
     ends = np.flatnonzero(word & ~after) + 1
-    p, inverse = _powers(size)
     with np.errstate(over="ignore"):
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum((_LOWER[b].astype(np.uint64) + np.uint64(1)) * p[:size], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
-        return mix(h), np.searchsorted(starts, off)
+        return mix(_sums(_LOWER[b], starts, ends) + (ends - starts).astype(np.uint64)), np.searchsorted(starts, off)
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,12 +174,8 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.nd
 
 def span_hashes(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """64-bit hashes of consecutive byte spans."""
-    p, inverse = _powers(len(buf))
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * p[: len(buf)], out=sums[1:])
-        lengths = np.diff(offsets)
-        return mix((sums[offsets[1:]] - sums[offsets[:-1]]) * inverse[offsets[:-1]] + lengths.astype(np.uint64))
+        return mix(_sums(buf, offsets[:-1], offsets[1:]) + np.diff(offsets).astype(np.uint64))
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
