@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import read
+from parchmint.llm.common import prefixed, read, tidy
 
 #: Lengths of the n-grams, in code points, over lower-cased text in which all that isn't a letter is one space.
 ORDERS = (1, 2, 3)
@@ -92,6 +92,7 @@ def counts(labelled: DataFrame, text: str = "text", label: str = "lang") -> Data
     """(lang, bucket, n) over all rows with a label: n-grams of a language in a bucket, counted per task before the shuffle."""
 
     def count(batches):
+        tidy()
         total: dict[str, np.ndarray] = {}
         for pdf in batches:
             langs, codes = np.unique(pdf["lang"].to_numpy(str), return_inverse=True)
@@ -110,10 +111,10 @@ def counts(labelled: DataFrame, text: str = "text", label: str = "lang") -> Data
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang") -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities: languages x buckets). Only the bounded matrix of counts reaches the driver."""
-    found = counts(labelled, text, label).limit(MAX_LANGS * (1 << BITS) + 1).toPandas()
-    langs = sorted(found["lang"].unique())
-    if len(langs) > MAX_LANGS:
+    if labelled.filter(F.col(label).isNotNull()).select(label).distinct().limit(MAX_LANGS + 1).count() > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
+    found = counts(labelled, text, label).toPandas()
+    langs = sorted(found["lang"].unique())
     n = np.zeros((len(langs), 1 << BITS))
     n[np.searchsorted(langs, found["lang"].to_numpy(str)) if langs else [], found["bucket"]] = found["n"]
     n += ALPHA
@@ -128,6 +129,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     schema = docs.select(keep).schema.add("lang_pred", "string").add("score", "double")
 
     def score(batches):
+        tidy()
         for batch in batches:
             texts = batch.column(text).to_pylist()
             total, grams = np.zeros((len(texts), len(langs))), np.zeros(len(texts), np.int64)
@@ -169,6 +171,8 @@ LEAST_SCORE = 0.5
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; learns from the documents' own labels."""
-    found = predict(docs, fit(docs.select("text", "lang")))
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    """Documents whose language is known; learns from the documents' own labels. Null text, and text without a letter, goes;
+    repeated rows, those of one id or of a null id among them, are judged each by its text; all columns stay."""
+    found = predict(prefixed(docs), fit(docs.select("text", "lang")), "__in_text")
+    rows = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return rows.select(*(F.col(f"__in_{c}").alias(c) for c in docs.columns))
