@@ -4,8 +4,8 @@ A line's key is its text without white space (0x20, 0x09-0x0D) at the ends and w
 Hashes are range-partitioned with a secondary sort by document (latest first) and position; a window streams over that order
 and marks the first occurrence of each. As one line may be in a third of all documents, its occurrences are salted by document
 over as many ranges as there are shuffle partitions; the ranges' first occurrences and numbers of documents are then merged,
-one row per hash and range. What is dropped is returned as a sparse bitmap of 64 lines a word, and the text is
-filtered by it after one shuffle.
+one row per hash and range, and given back to each range. What is dropped is returned as a bitmap of 64 lines a word, up to the
+last word that isn't empty, and the text is filtered by it after one shuffle.
 
 Defined results: null or empty text is one empty line. Rows of one doc_id are one document for the counting of documents; rows
 that are alike in doc_id and text have alike results. A null doc_id is a document older than all others. Short keys are
@@ -17,13 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import partitions, read
+from parchmint.llm.common import partitions, prefixed, read
 
 #: Shortest key that counts, in code points, and the number of documents from which a key is dropped.
 LEAST_LENGTH = 20
 LEAST_DOCS = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_RESULTS = ("n_lines", "n_dropped", "kept")
+_RESULTS = ("n_lines", "n_dropped", "dropped_bits", "kept")
 
 
 def ascii_lower(c: Column) -> Column:
@@ -53,8 +53,10 @@ def dropped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     order = Window.partitionBy("h1", "h2", "salt").orderBy(F.desc("d"), "t", "pos")
     # The order streams each hash's documents from the latest on: a row is a document's first occurrence where d changes.
     streamed = ranged.withColumn("first", F.coalesce(F.lag("d").over(order) != F.col("d"), F.lit(True)))
-    merged = streamed.groupBy("h1", "h2").agg(F.count_if("first").alias("n_docs"), F.max("d").alias("latest")).filter(F.col("n_docs") >= LEAST_DOCS)
-    gone = streamed.select("h1", "h2", "d", "t", "pos").join(merged, ["h1", "h2"]).filter("d <> latest")
+    merged = streamed.groupBy("h1", "h2").agg(F.count_if("first").alias("n_docs"), F.max("d").alias("latest"), F.collect_set("salt").alias("salts")).filter(F.col("n_docs") >= LEAST_DOCS)
+    # At most as many salts as partitions: a line of a third of all documents meets its latest document in all of them.
+    merged = merged.select("h1", "h2", "latest", F.explode("salts").alias("salt"))
+    gone = streamed.select("h1", "h2", "salt", "d", "t", "pos").join(merged, ["h1", "h2", "salt"]).filter("d <> latest")
     words = gone.groupBy("d", "t", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
     entries = words.groupBy("d", "t").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("sparse"))
     dense = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("sparse"))), lambda i: F.coalesce(F.try_element_at("sparse", i), F.lit(0).cast("long")))
@@ -62,16 +64,16 @@ def dropped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """`docs` with n_lines, n_dropped and kept (the text of the lines that stay; null text gives the empty string)."""
+    """`docs` with n_lines, n_dropped, dropped_bits (the bitmap; null if no line is dropped) and kept (the text of the lines that
+    stay; null text gives the empty string)."""
     keep = [c for c in docs.columns if c not in _RESULTS]
     left = docs.select(keep).withColumn("__d", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))).withColumn("__t", F.xxhash64(text))
     joined = left.join(dropped(docs, text, doc_id).toDF("__d", "__t", "__words"), ["__d", "__t"], "left")
-    bit = lambda i: F.expr("shiftright(coalesce(get(__words, i div 64), 0L), i % 64) & 1")
     kept = F.expr("filter(split(coalesce(`%s`, ''), '\\n', -1), (line, i) -> (shiftrightunsigned(coalesce(get(__words, cast(i div 64 as int)), 0L), cast(i %% 64 as int)) & 1L) = 0L)" % text)
     n_dropped = F.coalesce(F.aggregate("__words", F.lit(0).cast("long"), lambda a, w: a + F.bit_count(w)), F.lit(0).cast("long"))
     whole = F.coalesce(F.col(text), F.lit(""))
     n_lines = (F.char_length(whole) - F.char_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    return joined.select(*keep, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"), F.when(F.col("__words").isNull(), whole).otherwise(F.array_join(kept, "\n")).alias("kept"))
+    return joined.select(*keep, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"), F.col("__words").alias("dropped_bits"), F.when(F.col("__words").isNull(), whole).otherwise(F.array_join(kept, "\n")).alias("kept"))
 
 
 def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,8 +101,8 @@ FROM judged GROUP BY doc_id
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their dropped lines gone and n_chars counted anew; a document that lost all its lines goes."""
-    found = dedup_lines(docs)
-    text = F.when(F.col("text").isNotNull(), F.col("kept"))
+    found = dedup_lines(prefixed(docs), "__in_text", "__in_doc_id")
+    text = F.when(F.col("__in_text").isNotNull(), F.col("kept"))
     changed = {"text": text, "n_chars": F.char_length(text).cast("long")}
-    rows = found.filter((F.col("n_dropped") < F.col("n_lines")) | F.col("text").isNull())
-    return rows.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
+    rows = found.filter((F.col("n_dropped") < F.col("n_lines")) | F.col("__in_text").isNull())
+    return rows.select(*(changed.get(c, F.col(f"__in_{c}")).alias(c) for c in docs.columns))
