@@ -9,8 +9,8 @@ which is compared in a task of its own; none is capped.
 Two vectors with cosine 0.93 meet in some table with probability 0.9998, with 0.95 with 0.99998.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite components, with a null label or a null
-vec_id, link with nothing (0 links, component of their own). Vectors of different lengths aren't compared. Repeated rows are
-vectors of their own. Other columns of the input are passed over. An empty table gives an empty result.
+vec_id, link with nothing (0 links, component of their own). Vectors of different lengths aren't compared. Labels of any type
+are compared as they are. Repeated rows are vectors of their own. Other columns of the input are passed over. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from parchmint.llm.common import checkpointed, mix, partitions, read, runs
+from parchmint.llm.common import bucket_cells, checkpointed, mix, partitions, read, runs, tidy
 from parchmint.llm.components import components
 
 TABLES = 26
@@ -54,12 +55,13 @@ def bucket_keys(unit: np.ndarray, labels: np.ndarray, tables: int = TABLES) -> n
     return h.view(np.int64)
 
 
-def hashed(vectors: DataFrame, vector: str, label: str, vec_id: str) -> DataFrame:
-    """(vec_id, label, raw, keys): raw is the vector's components as doubles, null (as keys) if it links with nothing."""
+def hashed(vectors: DataFrame, vector: str, label: str, vec_id: str, kind: str) -> DataFrame:
+    """(vec_id, label, raw, keys): raw is the vector's components as numbers of `kind`, null (as keys) if it links with nothing."""
 
     def made(batches):
+        tidy()
         for batch in batches:
-            ids, labels, lists = batch.column(0), batch.column(1), batch.column(2)
+            ids, own_labels, labels, lists = (batch.column(i) for i in range(4))
             n = batch.num_rows
             raw, keys = [None] * n, [None] * n
             flat = lists.flatten().cast(pa.float64())
@@ -75,11 +77,12 @@ def hashed(vectors: DataFrame, vector: str, label: str, vec_id: str) -> DataFram
                 rows, x = rows[good], x[good]
                 if len(rows):
                     for r, v, k in zip(rows, x + 0.0, bucket_keys(_unit(x), label_values[rows]), strict=True):
-                        raw[r], keys[r] = v.tobytes(), k
-            yield pa.RecordBatch.from_arrays([ids, labels, pa.array(raw, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["vec_id", "label", "raw", "keys"])
+                        raw[r], keys[r] = v.astype(kind).tobytes(), k
+            yield pa.RecordBatch.from_arrays([ids, own_labels, pa.array(raw, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["vec_id", "label", "raw", "keys"])
 
-    source = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
-    return source.mapInArrow(made, "vec_id long, label long, raw binary, keys array<long>")
+    mark = F.when(F.col(label).isNotNull(), F.xxhash64(label))
+    source = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), mark.alias("mark"), F.col(vector).cast("array<double>").alias("vector"))
+    return source.mapInArrow(made, T.StructType([*source.select("vec_id", "label").schema]).add("raw", "binary").add("keys", T.ArrayType(T.LongType())))
 
 
 def _links(unit: np.ndarray, keys: np.ndarray, table: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -104,15 +107,16 @@ def _tied(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
         lab = new
 
 
-def compare(cells: DataFrame, cosine: float) -> DataFrame:
+def compare(cells: DataFrame, cosine: float, kind: str) -> DataFrame:
     """(rep, to, n) of each member of each cell: number of links first met there, and the smallest member it is tied to."""
 
     def made(batches):
+        tidy()
         for table in runs(batches, ["key", "a", "b"]):
             ids, weight = table.column("rep").to_numpy(), table.column("weight").to_numpy()
             chunk, at = table.column("chunk").to_numpy(), int(table.column("pos")[0].as_py())
-            unit = _unit(np.frombuffer(b"".join(table.column("raw").to_pylist()), np.float64).reshape(len(ids), -1))
-            keys = np.array(table.column("keys").combine_chunks().flatten()).reshape(len(ids), -1)
+            unit = _unit(np.frombuffer(b"".join(table.column("raw").to_pylist()), kind).astype(np.float64).reshape(len(ids), -1))
+            keys = np.array(table.column("keys").combine_chunks().flatten(), np.int64).reshape(len(ids), at)
             a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
             near, fresh = _links(unit, keys, at, cosine)
             if a != b:  # pairs of two chunks; those within a chunk have their own cell
@@ -128,20 +132,23 @@ def compare(cells: DataFrame, cosine: float) -> DataFrame:
 
 def near_vectors(vectors: DataFrame, vector: str = "embedding", label: str = "label", vec_id: str = "vec_id", cosine: float = COSINE, cell: int = CELL) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row per row of `vectors`."""
-    rows = checkpointed(hashed(vectors, vector, label, vec_id))
+    kind = "<f4" if vectors.schema[vector].dataType == T.ArrayType(T.FloatType(), vectors.schema[vector].dataType.containsNull) else "<f8"
+    # Copies of a vector are dealt out by a salt, so that no task holds a large group.
+    salt = F.pmod(F.xxhash64("vec_id"), F.lit(partitions(vectors.sparkSession))).cast("int")
+    rows = checkpointed(hashed(vectors, vector, label, vec_id, kind).withColumn("salt", salt))
     usable = rows.filter("raw IS NOT NULL")
-    classes = checkpointed(usable.groupBy("label", "raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("keys").alias("keys")))
-    keyed = classes.select("rep", F.posexplode("keys").alias("pos", "key"))
-    full = keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    dealt = keyed.join(full, "key").withColumn("chunks", F.ceil(F.col("m") / cell).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("key", "pos", "rep", "chunk", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
-    found = checkpointed(compare(dealt.join(classes.select("rep", "weight", "raw", "keys"), "rep"), cosine))
+    classes = usable.groupBy("label", "raw").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("keys").alias("keys"), F.collect_set("salt").alias("salts"))
+    # A class has a number of its own, as one vec_id may have rows of several.
+    classes = checkpointed(classes.withColumn("rep", F.monotonically_increasing_id()))
+    dealt = bucket_cells(classes.select("rep", F.posexplode("keys").alias("pos", "key")), cell)
+    found = checkpointed(compare(dealt.join(classes.select("rep", "weight", "raw", "keys"), "rep").withColumn("keys", F.slice("keys", F.lit(1), F.col("pos"))), cosine, kind))
     linked = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    parts = components(found.select(F.col("rep").alias("u"), F.col("to").alias("v"))).toDF("rep", "component")
-    named = classes.select("label", "raw", "rep", "weight").join(linked, "rep", "left").join(parts, "rep", "left")
-    named = named.select(F.col("label").alias("l"), F.col("raw").alias("r"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
-    done = usable.join(named, (F.col("label") == F.col("l")) & (F.col("raw") == F.col("r"))).select("vec_id", F.col("n").alias("n_links"), F.col("c").alias("component_id"))
+    parts = components(found.select(F.col("rep").alias("u"), F.col("to").alias("v"))).toDF("rep", "part")
+    least = parts.join(classes.select("rep", "id"), "rep").groupBy("part").agg(F.min("id").alias("component"))
+    parts = parts.join(least, "part").select("rep", "component")
+    named = classes.select("label", "raw", "rep", "id", "weight", "salts").join(linked, "rep", "left").join(parts, "rep", "left")
+    named = named.select(F.col("label").alias("l"), F.col("raw").alias("r"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "id").alias("c"), F.explode("salts").alias("s"))
+    done = usable.join(named, (F.col("label") == F.col("l")) & (F.col("raw") == F.col("r")) & (F.col("salt") == F.col("s"))).select("vec_id", F.col("n").alias("n_links"), F.col("c").alias("component_id"))
     alone = rows.filter("raw IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
