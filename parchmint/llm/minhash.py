@@ -19,15 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import MASK, checkpointed, chunks, partitions, read, shingle_hashes, text_buffers, word_hashes
+from parchmint.llm.common import MASK, bucket_cells, checkpointed, chunks, partitions, read, shingle_hashes, text_buffers, tidy, word_hashes
 from parchmint.llm.components import components
+from parchmint.llm.jaccard import CELL, sets, tied
 
 WORDS = 5
 PERMUTATIONS = 128
 #: Bands of the signature; documents that agree in all rows of a band are candidates. At Jaccard 0.8 a pair of 32 bands of 4
 #: permutations is one with probability 1 - (1 - 0.8 ** 4) ** 32 = 1 - 5e-8.
 BANDS = 32
-SIMILARITY = 0.8
+#: Near copies, in per cent of Jaccard's likeness.
+SIMILARITY = 80
 SEED = 20240229
 #: Shingles that are permuted at a time (in the processor's cache).
 AT_ONCE = 1 << 16
@@ -115,6 +117,7 @@ def edited(text: str, after: str) -> str:
 
 def _compared(batches):
     """Streams ranges in order; the last document of a range is judged with the extra row that follows it."""
+    tidy()
     held = None  # bucket, doc_id, text, signature of the document whose successor isn't seen yet
     for batch in batches:
         for lo, hi in chunks(text_buffers(batch.column(3))[1]):
@@ -143,10 +146,11 @@ def signed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     """(doc_id, body, fingerprint, bands: array of long) of each row that has an id and a word; no shuffle."""
 
     def made(batches):
+        tidy()
         for batch in batches:
             buf, offsets = text_buffers(batch.column(1))
             sig = signatures(buf, offsets)
-            has = np.array([word_hashes(buf, offsets[i : i + 2])[1][-1] > 0 for i in range(len(sig))], bool)
+            has = (sig != 0xFFFF).any(axis=1)
             wide = np.ascontiguousarray(sig.reshape(len(sig), BANDS, -1)).astype(np.uint64)
             with np.errstate(over="ignore"):
                 key = np.zeros(wide.shape[:2], np.uint64)
@@ -161,43 +165,33 @@ def signed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     return rows.mapInArrow(made, "doc_id long, body string, fingerprint string, bands array<long>")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id), a row per row of `docs`: near copies, by bands, of Jaccard >= similarity share a component.
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = SIMILARITY, cell: int = CELL) -> DataFrame:
+    """(doc_id, component_id), a row per row of `docs`: near copies, by bands, whose Jaccard is `percent` % or more share a component.
 
     Rows of one doc_id and different texts are one document for links; a null doc_id has a null component.
-    Rows of one fingerprint are one class first, so that copies of a text are never paired. In each band's bucket
-    every class is paired with the smallest; true shingles decide, and the links' components are found by joins. Then
-    classes of a bucket that are in different components still are paired and decided alike, so that no link that the
-    bands find is lost, and pairs within a component, which is what grows with groups of copies, are never made.
+    Rows of one fingerprint and body are one class first, so that copies of a text are never compared. The classes that agree in
+    a band are a bucket, in which true sets of shingles decide (searched by the triangle inequality); only ties to one
+    member are emitted, never pairs, and the ties' components are found by joins. A bucket of any size is dealt out in chunks.
     """
-    rows = signed(docs, text, doc_id)
-    classes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.min("body").alias("body"), F.first("bands").alias("bands"))
+    rows = signed(docs, text, doc_id).withColumn("body_hash", F.xxhash64("body"))
+    named = rows.groupBy("fingerprint", "body_hash").agg(F.min("doc_id").alias("id"), F.first("body").alias("body"), F.first("bands").alias("bands"))
     # A class has a number of its own, as one doc_id may have rows of several.
-    classes = checkpointed(classes.withColumn("rep", F.monotonically_increasing_id()))
-    keyed = classes.select("rep", F.explode("bands").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("rep").alias("to"), F.count("*").alias("n")).filter("n > 1").select("key", "to")
-    own = classes.select("rep", "body")
-
-    @F.pandas_udf("double")
-    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-        sets = [[set(shingle_hashes(*word_hashes(*_texts([t])), WORDS)[0].tolist()) for t in side] for side in (a, b)]
-        return pd.Series([len(x & y) / max(1, len(x | y)) for x, y in zip(*sets, strict=True)])
-
-    def decided(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(own.toDF("u", "a"), "u").join(own.toDF("v", "b"), "v")
-        return both.where(jaccard("a", "b") >= similarity).select("u", "v")
-
-    links = checkpointed(decided(keyed.join(least, "key").filter("rep <> to").select(F.col("rep").alias("u"), F.col("to").alias("v")).distinct()))
-    first = components(links).toDF("rep", "component")
-    placed = keyed.join(least.select("key"), "key").join(first, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("rep").alias("to")).filter("lo < hi").select("key", "to")
-    rest = checkpointed(placed.join(split, "key"))
-    rest = rest.filter("rep <> to")
-    other = rest.select("key", F.col("rep").alias("v"), F.col("c").alias("d")).join(rest.select("key", F.col("rep").alias("u"), "c"), "key")
-    more = decided(other.filter("c <> d AND u > v").select("u", "v").distinct())
-    named = classes.select("rep", "id")
-    ties = links.unionByName(more).join(named.toDF("u", "a"), "u").join(named.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    members = rows.select("doc_id", "fingerprint").join(classes.select("fingerprint", "id"), "fingerprint").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
-    found = components(ties.union(members)).toDF("doc_id", "component")
-    every = docs.select(F.col(doc_id).cast("long").alias("doc_id")).join(found, "doc_id", "left")
+    classes = checkpointed(named.withColumn("rep", F.monotonically_increasing_id()))
+    cells = bucket_cells(classes.select("rep", F.posexplode("bands").alias("pos", "key")), cell)
+    wanted = classes.join(cells.select("rep").distinct(), "rep", "left_semi").select("rep", "body")
+
+    def points(batches):
+        tidy()
+        for batch in batches:
+            payload = [p.tobytes() for p in sets(*text_buffers(batch.column(1)), WORDS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(payload, pa.binary())], ["doc_id", "points"])
+
+    bodies = wanted.mapInArrow(points, "doc_id long, points binary")
+    found = cells.select(F.col("key").alias("cell"), "a", "b", F.col("rep").alias("doc_id")).join(bodies, "doc_id")
+    links = tied(found.select("cell", "a", "b", "doc_id", "points"), percent)
+    ids = classes.select("rep", "id")
+    ties = links.join(ids.toDF("u", "x"), "u").join(ids.toDF("v", "y"), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    members = rows.select("doc_id", "fingerprint", "body_hash").join(classes.select("fingerprint", "body_hash", "id"), ["fingerprint", "body_hash"])
+    components_ = components(ties.union(members.select(F.col("doc_id").alias("u"), F.col("id").alias("v")))).toDF("doc_id", "component")
+    every = docs.select(F.col(doc_id).cast("long").alias("doc_id")).join(components_, "doc_id", "left")
     return every.select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
