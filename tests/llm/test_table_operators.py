@@ -172,6 +172,51 @@ def test_embeddings(spark, cell):
     assert got[None]["kept"] is False and got[900]["component_id"] == got[0]["component_id"]
 
 
+def shares(sizes, weights=(1, 2, 3), most=3):
+    """Brute force: what a target exceeds its limit is shared among the others, again and again."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, target, left = {s: weights[i % len(weights)] for i, s in enumerate(order)}, {}, sum(sizes.values())
+    while free := [s for s in order if s not in target]:
+        want = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if want[s] > most * sizes[s]]
+        target |= {s: most * sizes[s] for s in over} or want
+        left -= sum(target[s] for s in over)
+    return target
+
+
+def test_mixing_targets(spark):
+    rng = np.random.default_rng(2)
+    for sizes in ({"a": 10, "b": 0, None: 90}, {"é": 5, "z": 7, "\U0001f600": 3, "\uffee": 4}, {f"s{i}": int(x) for i, x in enumerate(rng.pareto(0.7, 50) * 10)}):
+        table, n = mixing.ordered(spark.createDataFrame([(k, v) for k, v in sizes.items()], "s string, words long"))
+        got = {r["s"]: r["target"] for r in mixing.targets(table).collect()}
+        assert n == len(sizes) and got == pytest.approx(shares(sizes))
+
+
+def test_mixing_inclusion(spark):
+    """Frequencies over seeds come near the intended probabilities (size ** -TILT, small documents certain), the fill included."""
+    rng = np.random.default_rng(4)
+    sizes = [3, 5, 8, *rng.integers(20, 200, 37).tolist()]
+    total, rest = sum(sizes), sum(sizes) * 0.6
+    rows = [(i, "w " * n, "a") for i, n in enumerate(sizes)] + [(100 + i, "w " * 50, "b") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).cache()
+    # Two sources: of a's words 0.6 are wanted, b gets what is left.
+    weights = (rest, total + 2000 - rest)
+    n, most = 16, 0
+    hits = np.zeros(len(sizes))
+    for seed in range(n):
+        got = {r["doc_id"]: r["copies"] for r in mixing.mix_sources(df, weights=weights, seed=seed).filter("source = 'a'").select("doc_id", "copies").collect()}
+        hits += [got[i] for i in range(len(sizes))]
+        most = max(most, abs(sum(got[i] * k for i, k in enumerate(sizes)) - rest))
+    lo, hi = 0.0, 100.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(k * min(1, mid * k**-mixing.TILT) for k in sizes) < rest else (lo, mid)
+    p = np.array([min(1, lo * k**-mixing.TILT) for k in sizes])
+    assert abs(hits / n - p).mean() < 0.12 and most <= 10
+    small, large = np.argsort(sizes)[:20], np.argsort(sizes)[20:]
+    assert abs((hits / n - p)[small].mean()) < 0.08 and abs((hits / n - p)[large].mean()) < 0.08
+
+
 def test_mixing(docs, odd):
     got = mixing.mix_sources(docs.select("doc_id", "source", "text")).toPandas()
     again = mixing.mix_sources(docs.select("doc_id", "source", "text")).toPandas()
@@ -180,7 +225,6 @@ def test_mixing(docs, odd):
     sums = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), most=("size", "max"))
     assert ((sums.taken - sums.target).abs() <= sums.most).all()
     assert mixing.mix_sources(odd).count() == odd.count() and mixing.mix_sources(odd.limit(0)).count() == 0
-    assert mixing.shares({"a": 10, "b": 0, None: 90}) == pytest.approx({"a": 25.0, "b": 0.0, None: 75.0})
 
 
 def test_pipeline(spark, docs, sf_dir):

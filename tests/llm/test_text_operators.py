@@ -130,7 +130,7 @@ def test_personal_data_field(spark, docs, odd):
     text = "call +1 (988) 555-2485 now. later again (988) 555-2485 thanks"
     df = spark.createDataFrame([(1, text, "x"), (2, "nothing 12 here", "x"), (3, None, "x")], "doc_id long, text string, spans string")
     got = {r["doc_id"]: r for r in pii.find_personal_data(df, model).collect()}
-    assert got[1]["base"] == "phone:5:22" and got[1]["spans"].startswith("phone:5:22") and got[2]["spans"] == got[3]["spans"] == ""
+    assert got[1]["base"] == "phone:5:22" and got[1]["spans"] == "phone:5:22,phone:40:54" and got[2]["spans"] == got[3]["spans"] == ""
     assert pii.find_personal_data(odd, None).filter("base <> spans").count() == 0
     assert pii.fit(docs.limit(0)) is None
 
@@ -138,9 +138,23 @@ def test_personal_data_field(spark, docs, odd):
 def test_messages_make_alike_tokens_agree():
     unary = np.log(np.array([[0.02, 0.98], [0.55, 0.45], [0.5, 0.5]]))
     skip = np.eye(2) * 2.5
-    alone = pii.marginals(unary, [])
-    tied = pii.marginals(unary, [(np.array([[0, 1]]), skip)])
+    alone, _ = pii.beliefs(unary, [])
+    tied, (pairs,) = pii.beliefs(unary, [(np.array([[0, 1]]), skip)])
     assert alone[1].argmax() == 0 and tied[1].argmax() == 1 and np.allclose(tied[2], alone[2])
+    # On a tree the marginals are exact.
+    joint = np.exp(unary[0][:, None] + unary[1][None, :] + skip)
+    assert np.allclose(pairs[0], joint / joint.sum(), atol=1e-3) and np.allclose(tied[1], (joint / joint.sum()).sum(axis=0), atol=1e-3)
+
+
+def test_messages_go_along_a_document():
+    """A hundred mentions of one number: what one of them tells reaches all."""
+    text = " x ".join(["555-24850"] * 100)
+    spans = pii.tokens(text)
+    chain, skip = pii.graph(text, spans)
+    unary = np.zeros((100, 2))
+    unary[50] = -8, 0
+    p, _ = pii.beliefs(unary, [(np.array(skip), np.eye(2) * 3)])
+    assert not chain and (p[:, 1] > 0.9).all()
 
 
 def test_urls(spark):
