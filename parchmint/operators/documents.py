@@ -26,24 +26,22 @@ def is_heading(line: Column) -> Column:
 
 def sections(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, section, header, body): islands of lines under a heading; a heading without lines of its own is lost."""
-    lines = docs.select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).withColumn("head", is_heading(F.col("line")))
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    lines = lines.withColumn("island", F.sum(F.col("head").cast("int")).over(order))
-    rows = lines.groupBy("doc_id", "island").agg(
-        F.max(F.when(F.col("head"), F.trim("line"))).alias("header"),
-        F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("pos", "line")))).alias("l"),
-    )
-    body = F.trim(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit(" \t\n\r"))
-    rows = rows.filter(F.size("l") > 0).withColumns({"header": F.coalesce("header", F.lit("")), "body": body})
-    return rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("island")).alias("section"), "header", "body")
-
-
-def match_headers(headers: DataFrame, dims: DataFrame) -> DataFrame:
+    # All within the row: no line is shuffled. Headings are at `heads`; the first section begins before the first line.
+    rows = docs.select("doc_id", F.split(text, "\n", -1).alias("lines"))
+    rows = rows.withColumn("heads", F.array_compact(F.transform("lines", lambda line, i: F.when(is_heading(line), i))))
+    starts, ends = F.concat(F.array(F.lit(-1)), F.col("heads")), F.concat(F.col("heads"), F.array(F.size("lines")))
+    bounds = F.filter(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda s: s["b"] - s["a"] > 1)
+    rows = rows.select("doc_id", "lines", F.posexplode(bounds).alias("at", "s"))
+    header = F.when(F.col("s.a") >= 0, F.trim(F.get("lines", F.col("s.a")))).otherwise(F.lit(""))
+    body = F.array_join(F.slice("lines", F.col("s.a") + 2, F.col("s.b") - F.col("s.a") - 1), "\n")
+    return rows.select("doc_id", (F.col("at") + 1).alias("section"), header.alias("header"), F.trim(body, F.lit(" \t\n\r")).alias("body"))
+
+
+def match_headers(headers: DataFrame, dims: list[tuple[str, str]]) -> DataFrame:
     """(header, clause_type): the first type and variant that contains the heading or lies in it. Distinct headings only meet
     the constant table, as an array of its rows, so that nothing is multiplied."""
-    rows = dims.orderBy("type_ord", "var_ord").collect()
     name = F.lower("header")
-    table = F.array(*(F.struct(F.lit(r["clause_type"]).alias("clause_type"), F.lit(r["variant"]).alias("variant")) for r in rows))
+    table = F.array(*(F.struct(F.lit(kind).alias("clause_type"), F.lit(variant).alias("variant")) for kind, variant in dims))
     hits = F.filter(table, lambda d: F.col("name").contains(d["variant"]) | d["variant"].contains(F.col("name")))
     named = headers.select("header").distinct().withColumn("name", name)
     return named.select("header", F.when(F.col("name") != "", F.try_element_at(hits, F.lit(1))["clause_type"]).alias("clause_type"))

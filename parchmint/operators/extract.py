@@ -54,12 +54,12 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
-def match_headers_fuzzy(headers: DataFrame, table: DataFrame, threshold: float = 75) -> DataFrame:
+def match_headers_fuzzy(headers: DataFrame, table: list[tuple[str, str]], threshold: float = 75) -> DataFrame:
     """(header, clause_type): the type of the likest variant, the first in order among equals, null below the threshold.
 
     Only distinct headings are scored; the constant table travels with the function.
     """
-    rows = [(r["clause_type"], r["variant"].lower()) for r in table.orderBy("type_ord", "var_ord").collect()]
+    rows = [(kind, variant.lower()) for kind, variant in table]
 
     @F.pandas_udf("string")
     def best(names: pd.Series) -> pd.Series:
@@ -102,7 +102,7 @@ def contract(texts: DataFrame, fuzzy: bool = True) -> tuple[DataFrame, DataFrame
         "doc_id", governing_law(t).alias("governing_law"), first(F.substring(t, 1, 2000), DURATION).alias("contract_term"),
         t.rlike(fd.AUTO_RENEWAL).alias("auto_renewal"), t.rlike(fd.SIGNED).alias("signed"),
     )
-    return clauses(texts, dims.clause_headers(texts.sparkSession), list(dims.CLAUSE_HEADERS), fuzzy, True), head
+    return clauses(texts, dims.clause_headers(), list(dims.CLAUSE_HEADERS), fuzzy, True), head
 
 
 def nda(texts: DataFrame, fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -111,7 +111,7 @@ def nda(texts: DataFrame, fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:
     head = texts.select(
         "doc_id", F.substring(t, 1, 3000).rlike(fd.MUTUAL).alias("mutual"), governing_law(t, LAWS[:1]).alias("governing_law"), t.rlike(fd.SIGNED_NDA).alias("signed"),
     )
-    return clauses(texts, dims.clause_headers(texts.sparkSession, nda=True), [*dims.NDA_HEADERS, *dims.NDA_SHARED], fuzzy), head
+    return clauses(texts, dims.clause_headers(nda=True), [*dims.NDA_HEADERS, *dims.NDA_SHARED], fuzzy), head
 
 
 def invoice_header(texts: DataFrame) -> DataFrame:

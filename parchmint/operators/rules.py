@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parchmint.functions.fields import title_case
 from parchmint.functions.text import parse_days
-from parchmint.plans.dims import BASE_SCORES, CATEGORIES, POINTS, required_clauses, required_nda_clauses
+from parchmint.plans.dims import BASE_SCORES, CATEGORIES, CONTRACT_REQUIRED, NDA_REQUIRED, POINTS
 
 TOLERANCE = 0.11
 
@@ -59,15 +59,37 @@ def overdue(header: DataFrame, as_of: str) -> DataFrame:
     return finding(rows.filter("days_late > 0"), "Overdue Invoice", "critical", "Financial", "days_late")
 
 
-def invoice_findings(header: DataFrame, lines: DataFrame) -> DataFrame:
-    parts = [line_math(lines), zero_amount(lines), duplicate_lines(lines)]
-    parts = [p.drop("line_no") for p in parts] + [subtotal_mismatch(header, lines), total_mismatch(header, lines)]
-    return reduce(DataFrame.unionByName, parts)
+def _found(test: Column, title: str, severity: str, category: str = "Financial") -> Column:
+    return F.when(test, F.struct(F.lit(title).alias("title"), F.lit(severity).alias("severity"), F.lit(category).alias("category")))
 
 
-def missing_clauses(docs: DataFrame, clauses: DataFrame, required: DataFrame) -> DataFrame:
-    """Required clauses that a document hasn't: an anti join; `required` is a small constant table."""
-    wanted = docs.select("doc_id").withColumn("r", F.explode(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in row.asDict().items())) for row in required.collect()))))
+def invoice_findings(header: DataFrame, lines: DataFrame) -> DataFrame:
+    """The rules over lines and sums in one pass: an array of what applies to each line, gathered by document with the sum, and one join."""
+    described, money = F.coalesce("description", F.lit("")) != "", lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("decimal(18,2)")
+    key = Window.partitionBy("doc_id", F.lower(F.trim("description")), money("amount")).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    off = F.abs(F.round(F.coalesce(F.nullif(F.col("quantity"), F.lit(0.0)), F.lit(1.0)) * F.col("unit_price") - F.col("amount"), 6)) > TOLERANCE
+    none = (F.coalesce("unit_price", F.lit(0.0)) == 0) & (F.coalesce("amount", F.lit(0.0)) == 0) & described
+    rows = lines.withColumn("nth", F.count(F.when(described, 1)).over(key))
+    own = F.array_compact(F.array(
+        _found((F.col("unit_price") > 0) & (F.col("amount") > 0) & off, "Line Item Math Mismatch", "critical"),
+        _found(none, "Zero-Amount Line Item", "informational"), _found(described & (F.col("nth") > 1), "Duplicate Line Item", "warning"),
+    ))
+    by_doc = rows.groupBy("doc_id").agg(F.sum(money("amount")).alias("line_sum"), F.flatten(F.collect_list(own)).alias("own"))
+    sums = header.select("doc_id", "subtotal", "tax_amount", "discount", "total_amount").join(by_doc, "doc_id", "full")
+    zero, slack = F.lit(0).cast("decimal(18,2)"), F.lit("0.11").cast("decimal(18,2)")
+    line_sum = F.coalesce("line_sum", zero)
+    sub = (F.col("subtotal") > 0) & (F.abs(line_sum - money("subtotal")) > slack)
+    base = F.coalesce(F.nullif(money("subtotal"), zero), line_sum)
+    tot = (money("total_amount") > 0) & (F.abs(base + money("tax_amount") - money("discount") - money("total_amount")) > slack)
+    whole = F.array_compact(F.array(_found(sub, "Subtotal Reconciliation Failed", "critical"), _found(tot, "Total Amount Reconciliation Failed", "critical")))
+    every = F.concat(F.coalesce("own", F.filter(whole, lambda x: F.lit(False))), whole)
+    return sums.select("doc_id", F.explode(every).alias("f")).select("doc_id", "f.*")
+
+
+def missing_clauses(docs: DataFrame, clauses: DataFrame, required: tuple[tuple[str, str, str], ...]) -> DataFrame:
+    """Required clauses (type, severity, category) that a document hasn't: an anti join."""
+    names = ("clause_type", "severity", "category")
+    wanted = docs.select("doc_id").withColumn("r", F.explode(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(names, row, strict=True))) for row in required))))
     wanted = wanted.select("doc_id", "r.*")
     rows = wanted.join(clauses.filter("present").select("doc_id", "clause_type").distinct(), ["doc_id", "clause_type"], "left_anti")
     return rows.select("doc_id", "clause_type", "severity", "category")
@@ -144,20 +166,18 @@ def rfp_gaps(header: DataFrame) -> DataFrame:
     return late.unionByName(finding(contact, "Missing Contact Information", "warning", "Operational"))
 
 
-def _missing(docs: DataFrame, clauses: DataFrame, required: DataFrame) -> DataFrame:
+def _missing(docs: DataFrame, clauses: DataFrame, required: tuple) -> DataFrame:
     gone = missing_clauses(docs, clauses, required)
     return finding(gone, F.concat(F.lit("Missing Clause: "), title_case(F.col("clause_type"))), F.col("severity"), F.col("category"))
 
 
 def contract_findings(header: DataFrame, clauses: DataFrame) -> DataFrame:
-    required = required_clauses(header.sparkSession)
-    parts = [_missing(header, clauses, required), no_law(header), short_notice(clauses).drop("days"), long_terms(clauses).drop("days"), renewal_without_exit(header, clauses), no_ip_clause(clauses)]
+    parts = [_missing(header, clauses, CONTRACT_REQUIRED), no_law(header), short_notice(clauses).drop("days"), long_terms(clauses).drop("days"), renewal_without_exit(header, clauses), no_ip_clause(clauses)]
     return reduce(DataFrame.unionByName, parts)
 
 
 def nda_findings(header: DataFrame, clauses: DataFrame) -> DataFrame:
-    required = required_nda_clauses(header.sparkSession)
-    return reduce(DataFrame.unionByName, [_missing(header, clauses, required), secrecy_length(clauses), one_sided(header, clauses), no_law(header)])
+    return reduce(DataFrame.unionByName, [_missing(header, clauses, NDA_REQUIRED), secrecy_length(clauses), one_sided(header, clauses), no_law(header)])
 
 
 def ratios(fs: DataFrame) -> DataFrame:

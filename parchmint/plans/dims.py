@@ -80,18 +80,10 @@ CATEGORIES = ("Legal", "Financial", "Compliance", "Operational")
 STAGES = ("ingestion", "classification", "extraction", "anomaly", "risk", "cross_document")
 
 
-def clause_headers(spark: SparkSession, nda: bool = False) -> DataFrame:
+def clause_headers(nda: bool = False) -> list[tuple[str, str]]:
+    """(clause type, heading) in order: the first that fits counts."""
     headers = CLAUSE_HEADERS | NDA_HEADERS if nda else CLAUSE_HEADERS
-    rows = [(t, c, v, name) for t, (c, names) in enumerate(headers.items()) for v, name in enumerate(names)]
-    return spark.createDataFrame(rows, "type_ord int, clause_type string, var_ord int, variant string")
-
-
-def required_clauses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(CONTRACT_REQUIRED), "clause_type string, severity string, category string")
-
-
-def required_nda_clauses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(NDA_REQUIRED), "clause_type string, severity string, category string")
+    return [(kind, name) for kind, names in headers.items() for name in names]
 
 
 def clause_types(spark: SparkSession) -> DataFrame:

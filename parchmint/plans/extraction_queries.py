@@ -235,7 +235,7 @@ def contract_risk(spark, sf_dir):
 def header_fuzzy_match(spark, sf_dir):
     from parchmint.operators.documents import sections
 
-    return extract.match_headers_fuzzy(sections(fx.contracts(spark, sf_dir)), dims.clause_headers(spark))
+    return extract.match_headers_fuzzy(sections(fx.contracts(spark, sf_dir)), dims.clause_headers())
 
 
 @query("document_metadata")

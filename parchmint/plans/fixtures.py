@@ -25,8 +25,11 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(free, 0.0).otherwise(F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100).alias("unit_price"),
         F.when(free, 0.0).otherwise(F.round("l_extendedprice", 2)).alias("amount"),
     )
-    again = rows.filter("doc_id % 20 = 0").withColumn("line_no", F.col("line_no") + 100).withColumn("description", F.concat(F.lit(" "), F.upper("description")))
-    return rows.unionByName(again)
+    # One scan: lines that come twice are made from their own row.
+    first = F.struct("line_no", "description")
+    again = F.when(F.col("doc_id") % 20 == 0, F.struct((F.col("line_no") + 100).alias("line_no"), F.concat(F.lit(" "), F.upper("description")).alias("description")))
+    rows = rows.withColumn("l", F.explode(F.array_compact(F.array(first, again))))
+    return rows.select("doc_id", "l.line_no", "l.description", "quantity", "unit_price", "amount")
 
 
 LINES_SQL = """

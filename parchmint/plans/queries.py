@@ -119,7 +119,7 @@ def _sections(spark, sf_dir):
 
 def _clauses(spark, sf_dir):
     secs = _sections(spark, sf_dir)
-    return docs_ops.first_clauses(secs, docs_ops.match_headers(secs, dims.clause_headers(spark)))
+    return docs_ops.first_clauses(secs, docs_ops.match_headers(secs, dims.clause_headers()))
 
 
 @query("section_split", f"WITH {_SECTIONS_SQL} SELECT doc_id, CAST(section AS INTEGER) AS section, header, body FROM secs")
@@ -129,7 +129,7 @@ def section_split(spark, sf_dir):
 
 @query("header_substring_match", f"WITH {_SECTIONS_SQL} SELECT names.header AS header, clause_type FROM names LEFT JOIN matched USING (header)")
 def header_substring_match(spark, sf_dir):
-    return docs_ops.match_headers(_sections(spark, sf_dir), dims.clause_headers(spark))
+    return docs_ops.match_headers(_sections(spark, sf_dir), dims.clause_headers())
 
 
 @query("section_first_match", f"WITH {_SECTIONS_SQL} SELECT doc_id, clause_type, trim(substr(body, 1, 300)) AS raw_text FROM firsts")
@@ -149,7 +149,7 @@ def clause_fill(spark, sf_dir):
 @query("required_clause_anti", f"""WITH {_SECTIONS_SQL}, req(clause_type, severity, category) AS (VALUES {", ".join(map(str, dims.CONTRACT_REQUIRED))})
 SELECT doc_id, clause_type, severity, category FROM contracts CROSS JOIN req WHERE NOT EXISTS (SELECT 1 FROM firsts WHERE firsts.doc_id = contracts.doc_id AND firsts.clause_type = req.clause_type)""")
 def required_clause_anti(spark, sf_dir):
-    return rules.missing_clauses(fx.contracts(spark, sf_dir), _clauses(spark, sf_dir), dims.required_clauses(spark))
+    return rules.missing_clauses(fx.contracts(spark, sf_dir), _clauses(spark, sf_dir), dims.CONTRACT_REQUIRED)
 
 
 @query("clause_days", f"""WITH {_SECTIONS_SQL}

@@ -43,9 +43,9 @@ def test_partial_ratio_equals_brute_force():
 
 def test_headers(spark):
     heads = spark.createDataFrame([("2. Fees and Payment",), ("Termination for Convenience",), ("Confidentiality Period",), ("Term",), ("Limitaton of Liabilty",), ("Zyx Qwk",), ("",)], "header string")
-    found = {r.header: r.clause_type for r in extract.match_headers_fuzzy(heads, dims.clause_headers(spark)).collect()}
+    found = {r.header: r.clause_type for r in extract.match_headers_fuzzy(heads, dims.clause_headers()).collect()}
     assert found == {"2. Fees and Payment": "payment_terms", "Termination for Convenience": "termination_for_cause", "Confidentiality Period": "confidentiality", "Term": "payment_terms", "Limitaton of Liabilty": "liability_cap", "Zyx Qwk": None}
-    plain = {r.header: r.clause_type for r in dc.match_headers(heads.filter("header <> ''"), dims.clause_headers(spark)).collect()}
+    plain = {r.header: r.clause_type for r in dc.match_headers(heads.filter("header <> ''"), dims.clause_headers()).collect()}
     assert plain["Term"] == "payment_terms" and plain["2. Fees and Payment"] == "payment_terms" and plain["Zyx Qwk"] is None
 
 
