@@ -83,7 +83,7 @@ CLAUSES = (
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, project_id, text): contracts of suppliers, each without the clauses whose number fits its key."""
+    """(doc_id, project_id, text): contracts of suppliers, each without the clauses whose number fits its key; projects are customers of the whole range."""
     s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     key = F.col("s_suppkey")
     parts = [F.lit("MASTER SERVICES AGREEMENT\nBetween the parties.")]
@@ -94,7 +94,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts.append(F.when(key % 7 != i, t))
     law = F.translate("n_name", "_0123456789", " ABCDEFGHIJ")
     parts.append(F.concat(F.lit("9. Governing Law\nThis agreement is governed by the laws of "), law, F.lit(".")))
-    return s.select(key.alias("doc_id"), (key % 50 + 1).alias("project_id"), once(F.concat_ws("\n", *parts)).alias("text"))
+    return s.select(key.alias("doc_id"), (key * 15).alias("project_id"), once(F.concat_ws("\n", *parts)).alias("text"))
 
 
 def _clause_sql() -> str:
@@ -109,7 +109,7 @@ def _clause_sql() -> str:
 
 CONTRACTS_SQL = f"""
 contracts AS (
-  SELECT s_suppkey AS doc_id, s_suppkey % 50 + 1 AS project_id,
+  SELECT s_suppkey AS doc_id, s_suppkey * 15 AS project_id,
     concat_ws(chr(10), 'MASTER SERVICES AGREEMENT' || chr(10) || 'Between the parties.', {_clause_sql()},
       '9. Governing Law' || chr(10) || 'This agreement is governed by the laws of ' || translate(n_name, '_0123456789', ' ABCDEFGHIJ') || '.') AS text
   FROM supplier JOIN nation ON s_nationkey = n_nationkey
@@ -117,10 +117,10 @@ contracts AS (
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Financial statements of nations, in whole amounts."""
+    """Financial statements of customers with orders, in whole amounts."""
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"))
-    s = c.groupBy("c_nationkey").agg(F.sum(F.floor("o_totalprice")).alias("r"), F.count("*").alias("n"))
-    k, r = F.col("c_nationkey"), F.col("r")
+    s = c.groupBy("c_custkey").agg(F.sum(F.floor("o_totalprice")).alias("r"), F.count("*").alias("n"))
+    k, r = F.col("c_custkey"), F.col("r")
     whole = lambda x: F.floor(x).cast("double")
     return s.select(
         k.cast("long").alias("doc_id"), r.cast("double").alias("revenue"), whole((k % 5 - 1) * r / 8).alias("gross_profit"), whole((k % 7 - 3) * r / 10).alias("net_income"),
@@ -130,7 +130,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STATEMENTS_SQL = """
-st0 AS (SELECT c_nationkey AS k, CAST(sum(floor(o_totalprice)) AS DOUBLE) AS r FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1),
+st0 AS (SELECT c_custkey AS k, CAST(sum(floor(o_totalprice)) AS DOUBLE) AS r FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1),
 statements AS (
   SELECT CAST(k AS BIGINT) AS doc_id, r AS revenue, floor((k % 5 - 1) * r / 8) AS gross_profit, floor((k % 7 - 3) * r / 10) AS net_income,
     floor((k % 3 + 1) * r / 16) AS current_assets, CASE WHEN k % 11 <> 0 THEN floor(r / 8) END AS current_liabilities, floor((k % 4) * r / 4) AS long_term_debt,

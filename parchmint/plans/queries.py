@@ -183,8 +183,9 @@ def clause_filter(spark, sf_dir):
 
 @query("governing_law", f"""WITH {fx.CONTRACTS_SQL} SELECT doc_id, trim(regexp_extract(text, 'governed by the laws of ([A-Za-z ,]+)\\.', 1)) AS governing_law FROM contracts""")
 def governing_law(spark, sf_dir):
-    law = F.regexp_extract("text", r"(?i)governed\s+by\s+(?:the\s+)?laws?\s+of\s+([A-Z][A-Za-z ,()&'-]{2,60}?)(?:\.|,|;|\s+and\b)", 1)
-    return fx.contracts(spark, sf_dir).select("doc_id", F.nullif(F.trim(law), F.lit("")).alias("governing_law"))
+    from parchmint.operators.extract import governing_law as law
+
+    return fx.contracts(spark, sf_dir).select("doc_id", law(F.col("text")).alias("governing_law"))
 
 
 @query("money_first", f"""WITH {fx.CONTRACTS_SQL} SELECT doc_id, nullif(trim(regexp_extract(text, '\\$\\s*[\\d,]+(\\.\\d{{1,2}})?')), '') AS money FROM contracts""")

@@ -7,7 +7,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from parchmint.plans import extraction_queries  # noqa: F401
+from parchmint.plans import extraction_queries, varied_queries  # noqa: F401
 from parchmint.plans.queries import ORACLES, QUERIES
 
 
