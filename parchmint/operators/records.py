@@ -91,10 +91,14 @@ def contradictions(terms: DataFrame, revenue: DataFrame) -> DataFrame:
     terms: project_id, contract_name, contract_value, invoice_name, invoice_days; revenue: project_id, name, revenue, invoiced.
     """
     days = F.concat(F.col("invoice_days").cast("string"), F.lit(" days"))
-    a = terms.select("project_id", F.lit("Payment Terms Violation").alias("title"), F.concat(F.lit("Invoice terms of "), days, F.lit(" exceed the contract's "), "contract_value").alias("description"),
-                     F.col("contract_name").alias("doc1_name"), F.col("contract_value").alias("doc1_value"), F.col("invoice_name").alias("doc2_name"), days.alias("doc2_value"))
-    b = revenue.select("project_id", F.lit("Revenue Discrepancy").alias("title"), F.lit("Invoices of the project exceed the stated revenue").alias("description"),
-                       F.col("name").alias("doc1_name"), money_text(F.col("revenue")).alias("doc1_value"), F.lit("All invoices").alias("doc2_name"), money_text(F.col("invoiced")).alias("doc2_value"))
+    most = F.regexp_extract(F.lower("contract_value"), r"(\d+)\s*days", 1)
+    # The texts of the findings.
+    late = F.concat(F.lit("The invoice demands payment in "), days, F.lit(", but the governing contract mandates a "), most, F.lit("-day term."))
+    more = F.lit("The sum of project invoices exceeds the total revenue reported in the financial statement.")
+    a = terms.select("project_id", F.lit("Payment Terms Violation").alias("title"), late.alias("description"),
+                     F.col("contract_name").alias("doc1_name"), F.concat(most, F.lit(" days")).alias("doc1_value"), F.col("invoice_name").alias("doc2_name"), days.alias("doc2_value"))
+    b = revenue.select("project_id", F.lit("Revenue Discrepancy").alias("title"), more.alias("description"),
+                       F.col("name").alias("doc1_name"), money_text(F.col("revenue")).alias("doc1_value"), F.lit("Sum of Invoices").alias("doc2_name"), money_text(F.col("invoiced")).alias("doc2_value"))
     return a.unionByName(b)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parchmint.functions import text as tx
 from parchmint.operators import documents as docs_ops
-from parchmint.operators import rules
+from parchmint.operators import records, rules
 from parchmint.plans import dims
 from parchmint.plans import fixtures as fx
 
@@ -259,12 +259,19 @@ def doc_point_lookup(spark, sf_dir):
 
 @query("contradictions_distinct", f"""WITH {fx.CONTRACTS_SQL}, c AS (SELECT project_id, doc_id AS contract_id, TRY_CAST(nullif(regexp_extract(text, '(\\d+)\\s*days', 1), '') AS INTEGER) AS contract_days FROM contracts WHERE contains(text, 'payable within')),
 i AS (SELECT o_custkey AS project_id, o_orderkey AS invoice_id, CAST(15 + o_orderkey % 90 AS INTEGER) AS invoice_days FROM orders),
-v AS (SELECT project_id, 'due after ' || contract_days || ' days' AS description, CAST(contract_id AS VARCHAR) AS doc1_name, CAST(invoice_id AS VARCHAR) AS doc2_name FROM c JOIN i USING (project_id) WHERE invoice_days > contract_days)
-SELECT project_id, description, doc1_name, doc2_name FROM (SELECT *, row_number() OVER (PARTITION BY project_id, description ORDER BY doc1_name, doc2_name) AS nth FROM v) WHERE nth = 1""")
+sums AS (SELECT o_custkey AS project_id, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS invoiced FROM orders GROUP BY 1),
+v AS (SELECT project_id, 'Payment Terms Violation' AS title, 'The invoice demands payment in ' || invoice_days || ' days, but the governing contract mandates a ' || contract_days || '-day term.' AS description,
+  CAST(contract_id AS VARCHAR) AS doc1_name, contract_days || ' days' AS doc1_value, CAST(invoice_id AS VARCHAR) AS doc2_name, invoice_days || ' days' AS doc2_value FROM c JOIN i USING (project_id) WHERE invoice_days > contract_days
+  UNION ALL SELECT project_id, 'Revenue Discrepancy', 'The sum of project invoices exceeds the total revenue reported in the financial statement.', c_name, '$' || format('{{:,.2f}}', 100000 + c_acctbal * 10), 'Sum of Invoices', '$' || format('{{:,.2f}}', CAST(invoiced AS DOUBLE))
+  FROM sums JOIN customer ON c_custkey = project_id WHERE invoiced > CAST(100000 + c_acctbal * 10 AS DECIMAL(18,2)))
+SELECT project_id, title, description, doc1_name, doc1_value, doc2_name, doc2_value FROM (SELECT *, row_number() OVER (PARTITION BY project_id, description ORDER BY title, doc1_name, doc2_name) AS nth FROM v) WHERE nth = 1""")
 def contradictions_distinct(spark, sf_dir):
-    v = payment_terms_violation(spark, sf_dir)
-    v = v.select("project_id", F.lit("Payment Terms Violation").alias("title"), F.concat(F.lit("due after "), "contract_days", F.lit(" days")).alias("description"), F.col("contract_id").cast("string").alias("doc1_name"), F.col("invoice_id").cast("string").alias("doc2_name"))
-    return rules.distinct_descriptions(v).select("project_id", "description", "doc1_name", "doc2_name")
+    v, name = payment_terms_violation(spark, sf_dir), lambda c: F.col(c).cast("string")
+    terms = v.select("project_id", name("contract_id").alias("contract_name"), F.concat("contract_days", F.lit(" days")).alias("contract_value"), name("invoice_id").alias("invoice_name"), "invoice_days")
+    s = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("name"), (100000 + F.col("c_acctbal") * 10).alias("revenue"))
+    i = fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project_id"), F.col("o_totalprice").alias("total_amount"))
+    found = rules.distinct_descriptions(records.contradictions(terms, rules.revenue_discrepancies(s, i)))
+    return found.select("project_id", "title", "description", "doc1_name", "doc1_value", "doc2_name", "doc2_value")
 
 
 @query("json_stage_extract", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events")

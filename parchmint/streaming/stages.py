@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from mimetypes import MimeTypes
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,9 +46,11 @@ def progress(events: DataFrame) -> DataFrame:
 
 
 def route(path: Column) -> Column:
-    """The format by a file's extension; null for what can't be read."""
-    ext = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
-    return F.when(ext == ".pdf", "pdf").when(ext == ".docx", "docx").when(ext.isin(".xlsx", ".xls"), "excel").when(ext.isin(".png", ".jpg", ".jpeg", ".tiff", ".bmp", ".webp"), "image")
+    """The format by a file's extension, or by the type that is guessed from it; null for what can't be read."""
+    ext, types = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)), MimeTypes().types_map[True]
+    images = sorted({".png", ".jpg", ".jpeg", *(e for e, t in types.items() if t.startswith("image/"))})
+    sheets = sorted({".xlsx", ".xls", *(e for e, t in types.items() if "spreadsheetml" in t)})
+    return F.when(ext == ".pdf", "pdf").when(ext == ".docx", "docx").when(ext.isin(*sheets), "excel").when(ext.isin(*images), "image")
 
 
 def register(files: DataFrame, project_id: str) -> DataFrame:
