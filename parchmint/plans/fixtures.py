@@ -48,7 +48,12 @@ lines0 AS (
 
 def invoice_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers of orders; one in ten states a subtotal, one in fifteen a total, that its lines don't add up to."""
-    sums = invoice_lines(spark, sf_dir).groupBy("doc_id").agg(F.sum(F.col("amount").cast("decimal(18,2)")).alias("s"))
+    # Lines that come twice count twice; their order doesn't matter here.
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
+    free = (F.col("l_orderkey") % 50 == 0) & (F.col("l_linenumber") == 1)
+    amount = F.when(free, 0.0).otherwise(F.round("l_extendedprice", 2)).cast("decimal(18,2)")
+    sums = li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sum(amount).alias("s"))
+    sums = sums.withColumn("s", F.when(F.col("doc_id") % 20 == 0, F.col("s") + F.col("s")).otherwise(F.col("s")).cast("decimal(28,2)"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("project_id"), F.to_date("o_orderdate").alias("invoice_date"))
     s = F.coalesce("s", F.lit(0).cast("decimal(18,2)"))
     o = o.join(sums, "doc_id", "left")
