@@ -33,8 +33,9 @@ MOST_COPIES = 3
 SOURCES_BROADCAST = 100_000
 TILT = 0.25
 SEED = 11
-#: Bits of the order that each histogram resolves; a rank has 48, and so has the order of rows of one rank.
-BITS, LEVELS = 16, 3
+#: Bits of the order that each histogram resolves; a rank has 50, and so has the order of rows of one rank. A source, however
+#: large, has 2 ** BITS cells at most, which one task sums up in order.
+BITS, LEVELS = 10, 5
 _RESULTS = ("size", "source_size", "target", "copies", "taken")
 
 
