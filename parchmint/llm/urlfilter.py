@@ -99,13 +99,19 @@ def features(host: Column, path: Column) -> Column:
     return F.when(F.char_length(host) + F.char_length(path) > 0, F.array_sort(F.array_distinct(found))).otherwise(F.array().cast("array<int>"))
 
 
+#: Distinct labelled urls that are fitted, at most; of more, those first by a hash. Their matrix has the square of it.
+LABELLED = 1000
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(u, int(b)) for u, b in EXAMPLES], "url string, blocked int")
 
 
 def fit(labelled: DataFrame) -> tuple[dict[int, float], float]:
-    """(weight by bucket, intercept) of the logistic regression. The labelled table is small: its matrix of common features is one row."""
+    """(weight by bucket, intercept) of the logistic regression. The matrix of common features of the LABELLED urls, at most, is one row."""
     rows = parsed(labelled.select("url", "blocked")).select("host", "path", "blocked").distinct()
+    # By a hash of the row, so that a rerun takes the same ones.
+    rows = rows.orderBy(F.xxhash64("host", "path", "blocked")).limit(LABELLED)
     rows = rows.withColumn("f", features(F.col("host"), F.col("path"))).withColumn("norm", F.sqrt(F.greatest(F.size("f"), F.lit(1))))
     rows = rows.select(F.xxhash64("host", "path", "blocked").alias("i"), F.col("blocked").cast("double").alias("y"), "norm", "f")
     flat = rows.select("i", "norm", F.explode("f").alias("b"))
