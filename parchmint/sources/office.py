@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
@@ -105,7 +106,7 @@ def _per_file(read, columns: list[str]):
             for doc_id, content in zip(batch["doc_id"], batch["content"]):
                 try:
                     rows = read(doc_id, content)
-                except (zipfile.BadZipFile, KeyError, ET.ParseError, ValueError, IndexError, TypeError) as e:
+                except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, KeyError, ET.ParseError, ValueError, IndexError, TypeError) as e:
                     rows = [{"doc_id": doc_id, "error": f"{type(e).__name__}: {e}"[:200]}]
                 yield pd.DataFrame([[r.get(c) for c in columns] for r in rows], columns=columns, dtype=object)
 
@@ -169,8 +170,21 @@ def xlsx_elements(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_elements(spark: SparkSession, path: str) -> DataFrame:
-    """Elements of all Word and Excel files under path."""
+    """Elements of all Word and Excel files under path; `read_errors` has what gave none."""
     found = files(spark, path)
     docx = docx_elements(docx_blocks(found.filter("format = 'docx'")))
     xlsx, _ = xlsx_elements(xlsx_cells(found.filter("format = 'excel'")))
     return docx.unionByName(xlsx)
+
+
+def read_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(path, doc_id, format, error) of all files under path that can't be read, damaged or of a format without a reader, and of skipped sheets."""
+    found = files(spark, path)
+    none = found.filter("format IS NULL OR format NOT IN ('docx', 'excel')")
+    cells = xlsx_cells(found.filter("format = 'excel'"))
+    _, skipped = xlsx_elements(cells)
+    errors = none.select("doc_id", F.coalesce("error", F.concat(F.lit("no reader for "), "format")).alias("error")).distinct()
+    for part in (docx_blocks(found.filter("format = 'docx'")), cells):
+        errors = errors.unionByName(part.filter("error IS NOT NULL").select("doc_id", "error"))
+    errors = errors.unionByName(skipped.select("doc_id", F.concat(F.lit("sheet without rows: "), "sheet").alias("error")))
+    return found.select("path", "doc_id", "format").join(errors, "doc_id").select("path", "doc_id", "format", "error")

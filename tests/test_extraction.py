@@ -190,6 +190,11 @@ def test_office(spark, tmp_path):
     row = made.first()
     assert (row.page_no, row.headers, row["rows"]) == (1, ["key", "Unnamed: 1"], [["5", ""], ["", "7"]]) and [x.sheet for x in skipped.collect()] == ["Empty"]
     assert office.read_elements(spark, str(tmp_path)).count() == 5
+    torn = bytearray(zipped(**{"word/document.xml": "x"}))
+    (tmp_path / "d.docx").write_bytes(bytes(torn[:40]))
+    (tmp_path / "e.pdf").write_bytes(b"%PDF")
+    errors = {(r.path.rsplit("/")[-1], r.error.split(":")[0]) for r in office.read_errors(spark, str(tmp_path)).collect()}
+    assert errors == {("bad.docx", "BadZipFile"), ("d.docx", "BadZipFile"), ("c.txt", "unsupported format"), ("e.pdf", "no reader for pdf"), ("b.xlsx", "sheet without rows")}
 
 
 def test_streams(spark, tmp_path):
