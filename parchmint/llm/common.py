@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path, named after `name`, where spark.checkpoint.dir is (a temporary one only in a local session without it)."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if where is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="shared-")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def bucket_cells(keyed: DataFrame, cell: int) -> DataFrame:
     """(key, pos, rep, chunk, a, b) of the buckets of more than one member; keyed: rep, pos (its table) and key, which tells tables apart.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from parchmint.llm.bpe import op3_bpe
+from parchmint.llm.conversations import ORACLE_OP13, op13_conversations
 from parchmint.llm.embeddings import op6_embeddings
 from parchmint.llm.jaccard import op9_jaccard
 from parchmint.llm.langid import op1_langid
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_jaccard": op9_jaccard,
     "op10_urlfilter": op10_urlfilter,
+    "op13_conversations": op13_conversations,
 }
-ORACLES = {"op4_linededup": ORACLE_OP4}
+ORACLES = {"op4_linededup": ORACLE_OP4, "op13_conversations": ORACLE_OP13}
