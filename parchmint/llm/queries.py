@@ -13,6 +13,7 @@ from parchmint.llm.minhash import op5_minhash
 from parchmint.llm.mixing import op7_mixing
 from parchmint.llm.pii import op8_pii
 from parchmint.llm.urlfilter import op10_urlfilter
+from parchmint.llm.warc import ORACLE_OP11, op11_warc
 
 QUERIES = {
     "op1_langid": op1_langid,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_jaccard": op9_jaccard,
     "op10_urlfilter": op10_urlfilter,
+    "op11_warc": op11_warc,
     "op13_conversations": op13_conversations,
 }
-ORACLES = {"op4_linededup": ORACLE_OP4, "op13_conversations": ORACLE_OP13}
+ORACLES = {"op4_linededup": ORACLE_OP4, "op11_warc": ORACLE_OP11, "op13_conversations": ORACLE_OP13}
