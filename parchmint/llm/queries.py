@@ -1,10 +1,11 @@
-"""Queries of the ten operators and their SQL."""
+"""Queries of the operators and their SQL."""
 
 from __future__ import annotations
 
 from parchmint.llm.bpe import op3_bpe
 from parchmint.llm.conversations import ORACLE_OP13, op13_conversations
 from parchmint.llm.embeddings import op6_embeddings
+from parchmint.llm.hardneg import ORACLE_OP12, op12_hardneg
 from parchmint.llm.jaccard import op9_jaccard
 from parchmint.llm.langid import op1_langid
 from parchmint.llm.licenses import op2_licenses
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_jaccard": op9_jaccard,
     "op10_urlfilter": op10_urlfilter,
     "op11_warc": op11_warc,
+    "op12_hardneg": op12_hardneg,
     "op13_conversations": op13_conversations,
 }
-ORACLES = {"op4_linededup": ORACLE_OP4, "op11_warc": ORACLE_OP11, "op13_conversations": ORACLE_OP13}
+ORACLES = {"op4_linededup": ORACLE_OP4, "op11_warc": ORACLE_OP11, "op12_hardneg": ORACLE_OP12, "op13_conversations": ORACLE_OP13}
