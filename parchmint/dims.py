@@ -32,6 +32,26 @@ CONTRACT_REQUIRED = (
     ("confidentiality", "warning", "Compliance"), ("warranty", "warning", "Legal"), ("force_majeure", "warning", "Legal"),
     ("assignment", "warning", "Legal"), ("entire_agreement", "warning", "Legal"), ("dispute_resolution", "warning", "Legal"),
 )
+# What the lack of a required clause means, by type.
+MISSING_TEXTS = {
+    "payment_terms": "No payment terms clause was found. Payment obligations are undefined.",
+    "payment_amount": "No contract value or fee amount is specified.",
+    "termination_for_cause": "No termination-for-cause clause. A party cannot exit the contract if the other materially breaches.",
+    "termination_for_convenience": "No termination-for-convenience clause. Neither party can exit the agreement without cause, locking both into a long-term commitment.",
+    "liability_cap": "No liability cap clause. Either party faces unlimited financial exposure under this agreement.",
+    "indemnification": "No indemnification clause. The client is unprotected against third-party claims (e.g., IP infringement, data breaches).",
+    "confidentiality": "No confidentiality clause. Sensitive information exchanged under this contract is unprotected.",
+    "warranty": "No warranty clause. The vendor is not contractually obligated to ensure deliverables meet quality standards or are defect-free.",
+    "force_majeure": "No force majeure clause. Neither party is excused from performance due to unforeseen events, which could lead to breach claims during extraordinary circumstances.",
+    "assignment": "No assignment clause. Either party may assign the contract without consent, potentially transferring obligations to an undesirable party.",
+    "entire_agreement": "No entire agreement clause. Prior oral or written agreements may still be enforceable, creating ambiguity.",
+    "dispute_resolution": "No dispute resolution clause. There is no agreed mechanism for resolving conflicts.",
+    "confidentiality_definition": "No definition of Confidential Information found. The scope of protection is undefined.",
+    "confidentiality_period": "No confidentiality period stated. The obligation may extend indefinitely or not at all.",
+    "exclusions": "No exclusion carve-outs found. Standard public-domain and independently-developed information is not explicitly excluded.",
+    "remedies": "No remedies clause. The injured party's recourse on breach is not defined.",
+    "return_or_destruction": "No return-or-destroy obligation. Confidential materials may be retained indefinitely.",
+}
 # Headings of clauses that only agreements of secrecy have; they come after those of contracts.
 NDA_HEADERS = {
     "confidentiality_definition": ("definition of confidential information", "confidential information means", "definition", "what is confidential"),

@@ -147,8 +147,26 @@ def money_text(amount: Column) -> Column:
     return F.concat(F.when(amount < 0, "$-").otherwise("$"), F.format_number(F.abs(amount), 2))
 
 
-def percent_text(x: Column) -> Column:
-    return F.concat(F.format_string("%.1f", x), F.lit("%"))
+def fixed_text(x: Column, decimals: int) -> Column:
+    """1234.50: so many decimals, halves of the binary value to even, no groups."""
+    return F.call_function("format_number", x.cast("double"), F.lit("0" + ("." + "0" * decimals if decimals else "")))
+
+
+def grouped_text(x: Column) -> Column:
+    """1,234: whole, in groups of three."""
+    return F.call_function("format_number", x.cast("double"), F.lit("#,##0"))
+
+
+def percent_text(x: Column, decimals: int = 1) -> Column:
+    return F.concat(fixed_text(x, decimals), F.lit("%"))
+
+
+def float_text(x: Column) -> Column:
+    """A double in the shortest way: 2.0, 0.5, 12345678.5; without an exponent below 1e16."""
+    x = x.cast("double")
+    whole = (x == F.floor(x)) & (F.abs(x) < 1e16)
+    plain = F.regexp_replace(x.cast("decimal(38,12)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.when(whole, F.concat(x.cast("long").cast("string"), F.lit(".0"))).when((F.abs(x) >= 1e7) | (F.abs(x) < 1e-3), plain).otherwise(x.cast("string"))
 
 
 def new_id(prefix: str, *key: str) -> Column:

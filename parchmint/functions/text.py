@@ -49,17 +49,21 @@ def parse_number(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\d.]", "").try_cast("double") * scale
 
 
+def _first_date(text: Column, formats: tuple[str, ...]) -> Column:
+    return F.coalesce(*(F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in formats))
+
+
 def parse_date_loose(text: Column) -> Column:
-    """Dates of anomaly rules: day before month where both fit, month names with or without a comma."""
-    s = F.rtrim(F.trim(text), F.lit(".,;"))
-    formats = ("MMMM d, yyyy", "MMMM d yyyy", "MMM d, yyyy", "MMM d yyyy", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "yyyy-M-d", "d.M.yyyy", "d MMMM yyyy")
-    return F.coalesce(*(F.to_date(F.try_to_timestamp(s, F.lit(f))) for f in formats))
+    """Dates of anomaly rules, by the first format that fits: month names with or without a comma, the day before the month where
+    both fit. Whole text only; null if none fits."""
+    formats = ("MMMM d, yyyy", "MMMM d yyyy", "d MMMM yyyy", "d MMMM, yyyy", "d/M/yyyy", "M/d/yyyy", "yyyy-M-d", "d-M-yyyy", "M-d-yyyy", "d.M.yyyy")
+    return _first_date(F.rtrim(strip(text), F.lit(".,;")), formats)
 
 
 def parse_date_strict(text: Column) -> Column:
-    """Dates of cross-document rules: whatever is no letter or digit is a dash; never the month first."""
-    s = F.regexp_replace(text, r"[^A-Za-z0-9]", "-")
-    return F.coalesce(*(F.to_date(F.try_to_timestamp(s, F.lit(f))) for f in ("yyyy-M-d", "d-M-yyyy", "MMMM-d--yyyy", "d-MMM-yyyy", "d-MMMM-yyyy")))
+    """Dates of cross-document rules: whatever is no letter or digit is a dash, dashes at the ends go; never the month first."""
+    dashed = F.trim(F.regexp_replace(text, r"[^A-Za-z0-9]", "-"), F.lit("-"))
+    return _first_date(dashed, ("d-MMM-yyyy", "yyyy-M-d", "d-M-yyyy", "d-MMMM-yyyy", "MMMM-d--yyyy"))
 
 
 def emails(text: Column) -> Column:

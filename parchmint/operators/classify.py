@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from parchmint.functions import fields as fd
 from parchmint.operators.documents import centroids, nearest_centroid
-from parchmint.plans.dims import DATE_LABELS, ROLE_WORDS, TYPE_LABELS
+from parchmint.dims import DATE_LABELS, ROLE_WORDS, TYPE_LABELS
 
 # Patterns whose matches are part of the results, in order.
 JURISDICTION = (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parchmint.functions.fields import first_sentence
 from parchmint.functions.text import DURATION, MONEY, PAYMENT_TERMS, first
-from parchmint.plans.dims import STAGES
+from parchmint.dims import STAGES
 
 
 def full_text(elements: DataFrame, cap: int = 14000) -> DataFrame:

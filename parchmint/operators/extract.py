@@ -12,7 +12,7 @@ from parchmint.functions import fields as fd
 from parchmint.functions.text import DATE, DURATION, MONEY, PAYMENT_TERMS, first, parse_number, strip
 from parchmint.operators import documents as dc
 from parchmint.operators.rules import ratios
-from parchmint.plans import dims
+from parchmint import dims
 
 # Patterns of the law that governs a contract, in order; an agreement of secrecy has the first only.
 LAWS = (

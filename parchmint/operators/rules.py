@@ -1,4 +1,7 @@
-"""Anomaly rules, risk scores and cross-document checks: filters, anti joins and aggregates, one row per finding."""
+"""Anomaly rules, risk scores and cross-document checks over tables: filters, anti joins and aggregates, one row per finding.
+
+A finding has the fields of `findings.FIELDS`; `more` columns stand between doc_id and them.
+"""
 
 from __future__ import annotations
 
@@ -7,83 +10,81 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchmint.functions.fields import title_case
-from parchmint.functions.text import parse_days
-from parchmint.plans.dims import BASE_SCORES, CATEGORIES, CONTRACT_REQUIRED, NDA_REQUIRED, POINTS
+from parchmint.dims import BASE_SCORES, CATEGORIES, CONTRACT_REQUIRED, NDA_REQUIRED, POINTS
+from parchmint.functions.text import parse_date_strict, parse_days
+from parchmint.operators import findings as fi
+
+
+def exploded(rows: DataFrame, found: Column, *more: str) -> DataFrame:
+    """The rows of an array of findings."""
+    return rows.select("doc_id", *more, F.explode(found).alias("f")).select("doc_id", *more, "f.*")
 
-TOLERANCE = 0.11
 
+def one(rows: DataFrame, found: Column, *more: str) -> DataFrame:
+    return exploded(rows, fi.these(found), *more)
 
-def finding(rows: DataFrame, title: str | Column, severity: str | Column, category: str | Column, *more: str) -> DataFrame:
-    lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    return rows.select("doc_id", *more, lit(title).alias("title"), lit(severity).alias("severity"), lit(category).alias("category"))
 
+def _text_column(rows: DataFrame, name: str) -> bool:
+    return rows.schema[name].dataType.typeName() == "string"
 
-def line_math(lines: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    off = F.abs(F.round(F.coalesce(F.nullif(F.col("quantity"), F.lit(0.0)), F.lit(1.0)) * F.col("unit_price") - F.col("amount"), 6)) > tolerance
-    return finding(lines.filter((F.col("unit_price") > 0) & (F.col("amount") > 0) & off), "Line Item Math Mismatch", "critical", "Financial", "line_no")
+
+def line_math(lines: DataFrame, strict: bool = False) -> DataFrame:
+    return one(lines, fi.line_math(*map(F.col, ("quantity", "unit_price", "amount", "description")), strict), "line_no")
 
 
 def zero_amount(lines: DataFrame) -> DataFrame:
-    none = (F.coalesce("unit_price", F.lit(0.0)) == 0) & (F.coalesce("amount", F.lit(0.0)) == 0) & (F.coalesce("description", F.lit("")) != "")
-    return finding(lines.filter(none), "Zero-Amount Line Item", "informational", "Financial", "line_no")
+    return one(lines, fi.zero_amount(*map(F.col, ("unit_price", "amount", "description"))), "line_no")
 
 
 def duplicate_lines(lines: DataFrame) -> DataFrame:
     """Second and later lines of the same description (trimmed, lower case) and amount."""
-    key = Window.partitionBy("doc_id", F.lower(F.trim("description")), F.coalesce("amount", F.lit(0.0)).cast("decimal(18,2)")).orderBy("line_no")
+    key = Window.partitionBy("doc_id", F.lower(F.trim("description")), fi.amount(F.col("amount"))).orderBy("line_no")
     rows = lines.filter(F.coalesce("description", F.lit("")) != "").withColumn("nth", F.row_number().over(key))
-    return finding(rows.filter("nth > 1"), "Duplicate Line Item", "warning", "Financial", "line_no")
+    return one(rows, fi.duplicate_line(F.col("nth") > 1, F.col("description")), "line_no")
 
 
 def line_sums(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("doc_id").agg(F.sum(F.coalesce("amount", F.lit(0.0)).cast("decimal(18,2)")).alias("line_sum"))
+    return lines.groupBy("doc_id").agg(F.sum(fi.amount(F.col("amount"))).alias("line_sum"))
+
+
+def _line_sum() -> Column:
+    return F.coalesce("line_sum", F.lit(0).cast("decimal(18,2)"))
 
 
 def subtotal_mismatch(header: DataFrame, lines: DataFrame) -> DataFrame:
-    rows = header.join(line_sums(lines), "doc_id", "left").withColumn("line_sum", F.coalesce("line_sum", F.lit(0).cast("decimal(18,2)")))
-    bad = (F.col("subtotal") > 0) & (F.abs(F.col("line_sum") - F.col("subtotal").cast("decimal(18,2)")) > F.lit("0.11").cast("decimal(18,2)"))
-    return finding(rows.filter(bad), "Subtotal Reconciliation Failed", "critical", "Financial")
+    return one(header.join(line_sums(lines), "doc_id", "left"), fi.subtotal(_line_sum(), F.col("subtotal")))
 
 
 def total_mismatch(header: DataFrame, lines: DataFrame) -> DataFrame:
-    money = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("decimal(18,2)")
-    rows = header.join(line_sums(lines), "doc_id", "left")
-    base = F.coalesce(F.nullif(money("subtotal"), F.lit(0).cast("decimal(18,2)")), F.coalesce("line_sum", F.lit(0).cast("decimal(18,2)")))
-    off = F.abs(base + money("tax_amount") - money("discount") - money("total_amount")) > F.lit("0.11").cast("decimal(18,2)")
-    return finding(rows.filter((money("total_amount") > 0) & off), "Total Amount Reconciliation Failed", "critical", "Financial")
+    return one(header.join(line_sums(lines), "doc_id", "left"), fi.total(_line_sum(), *map(F.col, ("subtotal", "tax_amount", "discount", "total_amount"))))
 
 
 def overdue(header: DataFrame, as_of: str) -> DataFrame:
-    rows = header.withColumn("days_late", F.datediff(F.to_date(F.lit(as_of)), "due_date"))
-    return finding(rows.filter("days_late > 0"), "Overdue Invoice", "critical", "Financial", "days_late")
-
+    """due_date: a date, or text in one of the forms that `parse_date_loose` reads (others are passed over)."""
+    late = fi.days_late(F.col("due_date"), F.to_date(F.lit(as_of)), _text_column(header, "due_date"))
+    return one(header.withColumn("days_late", late), fi.overdue(F.col("due_date"), F.col("days_late")), "days_late")
 
-def _found(test: Column, title: str, severity: str, category: str = "Financial") -> Column:
-    return F.when(test, F.struct(F.lit(title).alias("title"), F.lit(severity).alias("severity"), F.lit(category).alias("category")))
 
+def invoice_findings(header: DataFrame, lines: DataFrame, strict: bool = False) -> DataFrame:
+    """The rules over lines and sums in one pass: an array of what applies to each line, gathered by document with the sum, and one join.
 
-def invoice_findings(header: DataFrame, lines: DataFrame) -> DataFrame:
-    """The rules over lines and sums in one pass: an array of what applies to each line, gathered by document with the sum, and one join."""
-    described, money = F.coalesce("description", F.lit("")) != "", lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("decimal(18,2)")
-    key = Window.partitionBy("doc_id", F.lower(F.trim("description")), money("amount")).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    off = F.abs(F.round(F.coalesce(F.nullif(F.col("quantity"), F.lit(0.0)), F.lit(1.0)) * F.col("unit_price") - F.col("amount"), 6)) > TOLERANCE
-    none = (F.coalesce("unit_price", F.lit(0.0)) == 0) & (F.coalesce("amount", F.lit(0.0)) == 0) & described
+    `strict` is the variant with a tolerance of 0.1, duplicates that are exactly alike, no rule of lines without amounts, and a
+    total that is compared with the stated subtotal only.
+    """
+    col = F.col
+    described = F.coalesce("description", F.lit("")) != ""
+    alike = ("description", F.coalesce("amount", F.lit(0.0))) if strict else (F.lower(F.trim("description")), fi.amount(col("amount")))
+    key = Window.partitionBy("doc_id", *alike).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = lines.withColumn("nth", F.count(F.when(described, 1)).over(key))
-    own = F.array_compact(F.array(
-        _found((F.col("unit_price") > 0) & (F.col("amount") > 0) & off, "Line Item Math Mismatch", "critical"),
-        _found(none, "Zero-Amount Line Item", "informational"), _found(described & (F.col("nth") > 1), "Duplicate Line Item", "warning"),
-    ))
-    by_doc = rows.groupBy("doc_id").agg(F.sum(money("amount")).alias("line_sum"), F.flatten(F.collect_list(own)).alias("own"))
+    own = [fi.line_math(*map(col, ("quantity", "unit_price", "amount", "description")), strict)]
+    own += [] if strict else [fi.zero_amount(*map(col, ("unit_price", "amount", "description")))]
+    own = fi.these(*own, fi.duplicate_line(col("nth") > 1, col("description"), strict))
+    listed = F.when(F.size(own) > 0, F.struct("line_no", own.alias("own")))
+    by_doc = rows.groupBy("doc_id").agg(F.sum(fi.amount(col("amount"))).alias("line_sum"), F.array_sort(F.collect_list(listed)).alias("lines"))
     sums = header.select("doc_id", "subtotal", "tax_amount", "discount", "total_amount").join(by_doc, "doc_id", "full")
-    zero, slack = F.lit(0).cast("decimal(18,2)"), F.lit("0.11").cast("decimal(18,2)")
-    line_sum = F.coalesce("line_sum", zero)
-    sub = (F.col("subtotal") > 0) & (F.abs(line_sum - money("subtotal")) > slack)
-    base = F.coalesce(F.nullif(money("subtotal"), zero), line_sum)
-    tot = (money("total_amount") > 0) & (F.abs(base + money("tax_amount") - money("discount") - money("total_amount")) > slack)
-    whole = F.array_compact(F.array(_found(sub, "Subtotal Reconciliation Failed", "critical"), _found(tot, "Total Amount Reconciliation Failed", "critical")))
-    every = F.concat(F.coalesce("own", F.filter(whole, lambda x: F.lit(False))), whole)
-    return sums.select("doc_id", F.explode(every).alias("f")).select("doc_id", "f.*")
+    whole = fi.these(fi.subtotal(_line_sum(), col("subtotal"), strict), fi.total(_line_sum(), *map(col, ("subtotal", "tax_amount", "discount", "total_amount")), strict))
+    each = F.coalesce(F.flatten(F.transform("lines", lambda x: x["own"])), F.filter(whole, lambda x: F.lit(False)))
+    return exploded(sums, F.concat(each, whole))
 
 
 def missing_clauses(docs: DataFrame, clauses: DataFrame, required: tuple[tuple[str, str, str], ...]) -> DataFrame:
@@ -97,78 +98,63 @@ def missing_clauses(docs: DataFrame, clauses: DataFrame, required: tuple[tuple[s
 
 def short_notice(clauses: DataFrame) -> DataFrame:
     rows = clauses.filter("present AND clause_type = 'notice_period'").withColumn("days", parse_days(F.col("value")))
-    return finding(rows.filter("days < 30"), "Unusually Short Notice Period", "warning", "Legal", "days")
+    return one(rows, fi.short_notice(F.col("value")), "days")
 
 
 def long_terms(clauses: DataFrame) -> DataFrame:
     rows = clauses.filter("present AND clause_type = 'payment_terms'").withColumn("days", parse_days(F.col("value")))
-    return finding(rows.filter("days > 90"), "Extended Payment Terms", "warning", "Financial", "days")
+    return one(rows, fi.long_terms(F.col("value")), "days")
 
 
 def no_ip_clause(clauses: DataFrame) -> DataFrame:
     has = lambda *types: F.coalesce(F.bool_or(F.col("present") & F.col("clause_type").isin(*types)), F.lit(False))
-    rows = clauses.groupBy("doc_id").agg(has("payment_amount").alias("pays"), has("ip_assignment", "ip_license").alias("ip")).filter("pays AND NOT ip")
-    return finding(rows, "No IP Ownership Clause", "informational", "Legal")
+    rows = clauses.groupBy("doc_id").agg(has("payment_amount").alias("pays"), has("ip_assignment", "ip_license").alias("ip"))
+    return one(rows, fi.no_ip_clause(F.col("pays") & ~F.col("ip")))
 
 
-def no_law(header: DataFrame) -> DataFrame:
-    return finding(header.filter("coalesce(governing_law, '') = ''"), "Missing Governing Law", "warning", "Legal")
+def no_law(header: DataFrame, nda: bool = False) -> DataFrame:
+    return one(header, fi.no_law(F.col("governing_law"), nda))
 
 
 def renewal_without_exit(header: DataFrame, clauses: DataFrame) -> DataFrame:
     """Contracts that renew themselves and can't be ended at will: an anti join."""
     exits = clauses.filter("present AND clause_type = 'termination_for_convenience'").select("doc_id")
-    return finding(header.filter("auto_renewal").join(exits, "doc_id", "left_anti"), "Auto-Renewal Without Explicit Opt-Out", "warning", "Operational")
+    return one(header.filter("auto_renewal").join(exits, "doc_id", "left_anti"), fi.renewal_without_exit(F.lit(True)))
 
 
 def secrecy_length(clauses: DataFrame) -> DataFrame:
     """Secrecy without an end, or of over five years."""
-    rows = clauses.filter("present AND clause_type = 'confidentiality_period' AND value <> ''").withColumn("low", F.lower("value"))
-    endless = F.col("low").contains("perpetual") | F.col("low").contains("indefinite") | F.col("low").contains("no expir")
-    rows = rows.withColumn("kind", F.when(endless, "endless").when(parse_days(F.col("value")) > 365 * 5, "long")).filter("kind IS NOT NULL")
-    title = F.when(F.col("kind") == "endless", "Perpetual Confidentiality Obligation").otherwise("Very Long Confidentiality Period")
-    return finding(rows, title, F.when(F.col("kind") == "endless", "warning").otherwise("informational"), "Legal")
+    return one(clauses.filter("present AND clause_type = 'confidentiality_period'"), fi.secrecy_length(F.col("value")))
 
 
 def one_sided(header: DataFrame, clauses: DataFrame) -> DataFrame:
     """Unilateral agreements without any entry for use or disclosure; filled clause lists always have one, so none is found there."""
     listed = clauses.filter("clause_type IN ('disclosing_party', 'permitted_use')").select("doc_id")
-    return finding(header.filter("mutual = false").join(listed, "doc_id", "left_anti"), "One-Sided NDA", "informational", "Legal")
+    return one(header.filter("mutual = false").join(listed, "doc_id", "left_anti"), fi.one_sided(F.lit(True)))
 
 
 def missing_invoice_fields(header: DataFrame) -> DataFrame:
-    due = finding(header.filter("coalesce(CAST(due_date AS STRING), '') = ''"), "Missing Due Date", "warning", "Financial")
-    return due.unionByName(finding(header.filter("coalesce(vendor_name, '') = ''"), "Missing Vendor Name", "warning", "Compliance"))
+    return exploded(header, fi.these(fi.missing_due(F.col("due_date")), fi.missing_vendor(F.col("vendor_name"))))
 
 
 def exact_duplicate_lines(lines: DataFrame) -> DataFrame:
     """Second and later lines of the very same description and amount."""
     key = Window.partitionBy("doc_id", "description", F.coalesce("amount", F.lit(0.0))).orderBy("line_no")
-    rows = lines.filter("description <> ''").withColumn("nth", F.row_number().over(key)).filter("nth > 1")
-    return finding(rows, "Duplicate Line Item", "warning", "Operational", "line_no")
+    rows = lines.filter("description <> ''").withColumn("nth", F.row_number().over(key))
+    return one(rows, fi.duplicate_line(F.col("nth") > 1, F.col("description"), True), "line_no")
 
 
 def strict_invoice_findings(header: DataFrame, lines: DataFrame) -> DataFrame:
-    """The variant with a tolerance of 0.1, exact duplicates and a total that is compared with the stated subtotal only."""
-    sums = lines.groupBy("doc_id").agg(F.sum(F.coalesce("amount", F.lit(0.0)).cast("decimal(18,2)")).alias("line_sum"))
-    money = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("decimal(18,2)")
-    rows, tenth = header.join(sums, "doc_id", "left"), F.lit("0.10").cast("decimal(18,2)")
-    sub = rows.filter((F.col("subtotal") > 0) & (F.abs(F.coalesce("line_sum", F.lit(0).cast("decimal(18,2)")) - money("subtotal")) > tenth))
-    tot = rows.filter((F.col("total_amount") > 0) & (F.abs(money("subtotal") + money("tax_amount") - money("discount") - money("total_amount")) > tenth))
-    parts = [line_math(lines, 0.1).drop("line_no"), exact_duplicate_lines(lines).drop("line_no")]
-    parts += [finding(sub, "Subtotal Reconciliation Failed", "critical", "Financial"), finding(tot, "Total Reconciliation Failed", "critical", "Financial")]
-    return reduce(DataFrame.unionByName, parts)
+    return invoice_findings(header, lines, True)
 
 
 def rfp_gaps(header: DataFrame) -> DataFrame:
-    late = finding(header.filter("coalesce(submission_deadline, '') = ''"), "Missing Submission Deadline", "critical", "Compliance")
-    contact = header.filter("coalesce(contact_email, '') = '' AND coalesce(contact_phone, '') = ''")
-    return late.unionByName(finding(contact, "Missing Contact Information", "warning", "Operational"))
+    return exploded(header, fi.these(fi.missing_deadline(F.col("submission_deadline")), fi.missing_contact(F.col("contact_email"), F.col("contact_phone"))))
 
 
 def _missing(docs: DataFrame, clauses: DataFrame, required: tuple) -> DataFrame:
     gone = missing_clauses(docs, clauses, required)
-    return finding(gone, F.concat(F.lit("Missing Clause: "), title_case(F.col("clause_type"))), F.col("severity"), F.col("category"))
+    return one(gone, fi.missing_clause(F.lit(True), *map(F.col, ("clause_type", "severity", "category"))))
 
 
 def contract_findings(header: DataFrame, clauses: DataFrame) -> DataFrame:
@@ -177,38 +163,32 @@ def contract_findings(header: DataFrame, clauses: DataFrame) -> DataFrame:
 
 
 def nda_findings(header: DataFrame, clauses: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [_missing(header, clauses, NDA_REQUIRED), secrecy_length(clauses), one_sided(header, clauses), no_law(header)])
+    return reduce(DataFrame.unionByName, [_missing(header, clauses, NDA_REQUIRED), secrecy_length(clauses), one_sided(header, clauses), no_law(header, True)])
 
 
-def ratios(fs: DataFrame) -> DataFrame:
-    """Ratios of a financial statement in per cent or as they are, 2 decimals; null without a denominator."""
-    pct = lambda a, b: F.round(F.try_divide(F.col(a), F.col(b)) * 100, 2)
-    return fs.withColumns({
+def ratio(get) -> dict[str, Column]:
+    """Ratios in per cent or as they are, 2 decimals; null without a denominator. get: name of a metric -> its Column."""
+    pct = lambda a, b: F.round(F.try_divide(get(a), get(b)) * 100, 2)
+    return {
         "gross_margin_pct": pct("gross_profit", "revenue"), "net_margin_pct": pct("net_income", "revenue"),
-        "current_ratio": F.when(F.col("current_assets") != 0, F.round(F.try_divide("current_assets", "current_liabilities"), 2)),
-        "debt_to_equity": F.round(F.try_divide("long_term_debt", "total_equity"), 2),
+        "current_ratio": F.when(get("current_assets") != 0, F.round(F.try_divide(get("current_assets"), get("current_liabilities")), 2)),
+        "debt_to_equity": F.round(F.try_divide(get("long_term_debt"), get("total_equity")), 2),
         "return_on_equity_pct": pct("net_income", "total_equity"), "return_on_assets_pct": pct("net_income", "total_assets"),
-    })
+    }
+
+
+def ratios(fs: DataFrame) -> DataFrame:
+    return fs.withColumns(ratio(F.col))
 
 
 def statement_findings(fs: DataFrame) -> DataFrame:
     """Rules over a statement with its ratios: one pass, an array of what applies, exploded."""
-    rules = (
-        ("Negative Equity (Technical Insolvency)", "critical", "Financial", "total_equity < 0"),
-        ("Low Current Ratio", "warning", "Financial", "current_ratio < 1"),
-        ("High Debt-to-Equity Ratio", "warning", "Financial", "debt_to_equity > 3"),
-        ("Negative Gross Margin", "critical", "Financial", "gross_margin_pct < 0"),
-        ("Large Net Loss Relative to Revenue", "warning", "Financial", "revenue > 0 AND net_income < 0 AND abs(net_income) / revenue * 100 > 20"),
-        ("Balance Sheet Does Not Balance", "critical", "Financial", "total_assets > 0 AND abs(total_assets - (total_liabilities + total_equity)) / total_assets > 0.02"),
-        ("Unaudited Financial Statement", "informational", "Compliance", "audited = false"),
-    )
-    hits = F.array_compact(F.array(*(F.when(F.expr(test), F.struct(F.lit(t).alias("title"), F.lit(s).alias("severity"), F.lit(c).alias("category"))) for t, s, c, test in rules)))
-    return fs.select("doc_id", F.explode(hits).alias("f")).select("doc_id", "f.*")
+    return exploded(fs, fi.statement(F.col))
 
 
 def rfp_weights(criteria: DataFrame) -> DataFrame:
-    rows = criteria.groupBy("doc_id").agg(F.sum("weight_pct").alias("total_weight")).filter("abs(total_weight - 100) > 2")
-    return finding(rows, "Evaluation Criteria Weights Don't Sum to 100%", "warning", "Compliance", "total_weight")
+    rows = criteria.groupBy("doc_id").agg(F.sum("weight_pct").alias("total_weight"))
+    return one(rows, fi.weights(F.col("total_weight")), "total_weight")
 
 
 def points(severity: Column) -> Column:
@@ -216,26 +196,39 @@ def points(severity: Column) -> Column:
     return reduce(lambda c, kv: c.when(low == kv[0], kv[1]), list(POINTS.items())[1:], F.when(low == "critical", POINTS["critical"])).otherwise(1)
 
 
+def bucket(category: Column) -> Column:
+    """A category's bucket of points; unknown ones are operational."""
+    return F.when(category.isin(*CATEGORIES), category).otherwise("Operational")
+
+
+def score(penalty: Column, doc_type: Column) -> Column:
+    """0 to 100: the curve of the penalty, not below what a type starts from."""
+    base = reduce(lambda c, kv: c.when(doc_type == kv[0], kv[1]), list(BASE_SCORES.items())[1:], F.when(doc_type == "contract", BASE_SCORES["contract"])).otherwise(5)
+    return F.least(F.lit(100), F.greatest(F.floor(100 * (1 - F.pow(F.lit(0.98), penalty))), base)).cast("int")
+
+
+def level(overall: Column) -> Column:
+    return F.when(overall < 40, "Low").when(overall < 75, "Medium").otherwise("High")
+
+
 def risk(docs: DataFrame, findings: DataFrame) -> DataFrame:
     """Score, level and points by category of every document, those without findings included. docs: doc_id, doc_type."""
-    cat = F.when(F.col("category").isin(*CATEGORIES), F.col("category")).otherwise("Operational")
-    scored = findings.select("doc_id", points(F.col("severity")).alias("p"), cat.alias("category"))
+    scored = findings.select("doc_id", points(F.col("severity")).alias("p"), bucket(F.col("category")).alias("category"))
     sums = scored.groupBy("doc_id").agg(F.count("*").alias("total_anomalies"), F.sum("p").alias("penalty"), *(F.sum(F.when(F.col("category") == c, F.col("p")).otherwise(0)).alias(c.lower()) for c in CATEGORIES))
     rows = docs.select("doc_id", "doc_type").join(sums, "doc_id", "left").na.fill(0)
-    base = reduce(lambda c, kv: c.when(F.col("doc_type") == kv[0], kv[1]), list(BASE_SCORES.items())[1:], F.when(F.col("doc_type") == "contract", BASE_SCORES["contract"])).otherwise(5)
-    score = F.least(F.lit(100), F.greatest(F.floor(100 * (1 - F.pow(F.lit(0.98), F.col("penalty")))), base)).cast("int")
-    rows = rows.withColumn("overall_score", score)
-    return rows.withColumn("risk_level", F.when(F.col("overall_score") < 40, "Low").when(F.col("overall_score") < 75, "Medium").otherwise("High"))
+    rows = rows.withColumn("overall_score", score(F.col("penalty"), F.col("doc_type")))
+    return rows.withColumn("risk_level", level(F.col("overall_score")))
 
 
 def terms_violations(contracts: DataFrame, invoices: DataFrame) -> DataFrame:
     """Invoices that are due later than a contract of their project allows: an equi join with a range condition.
 
-    contracts: project_id, doc_id, terms; invoices: project_id, doc_id, invoice_date, due_date.
+    contracts: project_id, doc_id, terms; invoices: project_id, doc_id, invoice_date, due_date (dates, or text as `parse_date_strict` reads it).
     """
+    date = lambda c: parse_date_strict(F.col(c)) if _text_column(invoices, c) else F.col(c)
     days = F.regexp_extract(F.lower("terms"), r"(\d+)\s*days", 1).try_cast("int")
     left = contracts.select("project_id", F.col("doc_id").alias("contract_id"), days.alias("contract_days")).filter("contract_days IS NOT NULL")
-    right = invoices.select("project_id", F.col("doc_id").alias("invoice_id"), F.datediff("due_date", "invoice_date").alias("invoice_days"))
+    right = invoices.select("project_id", F.col("doc_id").alias("invoice_id"), F.datediff(date("due_date"), date("invoice_date")).alias("invoice_days"))
     return left.join(right, "project_id").filter("invoice_days > contract_days")
 
 
@@ -266,5 +259,5 @@ RULES = {
 
 
 def findings(tables: dict[str, tuple]) -> DataFrame:
-    """(doc_id, title, severity, category) of all types at once: tables maps a type to what its rules take."""
+    """Findings of all types at once: tables maps a type to what its rules take."""
     return reduce(DataFrame.unionByName, (RULES[kind](*args) for kind, args in tables.items() if kind in RULES))

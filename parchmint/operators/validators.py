@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from parchmint.functions import fields as fd
 from parchmint.functions.text import strip
-from parchmint.plans import dims
+from parchmint import dims
 
 STATUSES = ("present", "missing", "explicitly_waived")
 STATEMENT_TYPES = ("income_statement", "balance_sheet", "cash_flow_statement", "combined", "other")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parchmint.functions import fields as fd
 from parchmint.operators import classify, elements, extract, records, rules, validators
-from parchmint.plans import dims
+from parchmint import dims
 from parchmint.plans import fixtures as fx
 from parchmint.plans.queries import _SECTIONS_SQL, query
 from parchmint.streaming import stages
@@ -65,7 +65,7 @@ def invoice_header_extract(spark, sf_dir):
 SELECT doc_id, 'Missing Due Date' AS title, 'warning' AS severity, 'Financial' AS category FROM inv WHERE regexp_extract_all(t, '{_DATE_SQL}')[2] IS NULL
 UNION ALL SELECT doc_id, 'Missing Vendor Name', 'warning', 'Compliance' FROM inv""")
 def invoice_missing_fields(spark, sf_dir):
-    return rules.missing_invoice_fields(extract.invoice_header(invoice_texts(spark, sf_dir)))
+    return rules.missing_invoice_fields(extract.invoice_header(invoice_texts(spark, sf_dir))).select("doc_id", "title", "severity", "category")
 
 
 def invoice_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parchmint.functions import text as tx
 from parchmint.operators import documents as docs_ops
 from parchmint.operators import records, rules
-from parchmint.plans import dims
+from parchmint import dims
 from parchmint.plans import fixtures as fx
 
 QUERIES, ORACLES = {}, {}

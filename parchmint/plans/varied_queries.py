@@ -55,7 +55,7 @@ def renewal_without_exit(spark, sf_dir):
     return rules.renewal_without_exit(_headers(spark, sf_dir), _clauses(spark, sf_dir)).select("doc_id", "title")
 
 
-@query("one_sided", f"WITH {_SQL} SELECT doc_id, 'One-Sided NDA' AS title FROM heads WHERE NOT mutual AND doc_id NOT IN (SELECT doc_id FROM clauses WHERE clause_type = 'disclosing_party')")
+@query("one_sided", f"WITH {_SQL} SELECT doc_id, 'One-Sided NDA — Limited Receiving-Party Protections' AS title FROM heads WHERE NOT mutual AND doc_id NOT IN (SELECT doc_id FROM clauses WHERE clause_type = 'disclosing_party')")
 def one_sided(spark, sf_dir):
     return rules.one_sided(_headers(spark, sf_dir), _clauses(spark, sf_dir)).select("doc_id", "title")
 

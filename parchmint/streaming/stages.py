@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parchmint.functions.fields import new_id
 from parchmint.operators.documents import latest_by_key, stage_fold
-from parchmint.plans.dims import STAGES
+from parchmint.dims import STAGES
 
 EVENTS = "client_id string, seq long, ts timestamp, stage string, status string, detail string, data string, error string, duration double"
 POLL = "3 seconds"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from parchmint.functions import fields as fd
 from parchmint.operators import classify, elements, extract, records, rules, validators
 from parchmint.operators import documents as dc
-from parchmint.plans import dims
+from parchmint import dims
 from parchmint.sources import office
 from parchmint.streaming import stages
 
@@ -250,5 +250,5 @@ def test_findings_by_type(spark):
     rfp = spark.createDataFrame([(9, None, None, "a@b.c")], "doc_id int, submission_deadline string, contact_phone string, contact_email string")
     criteria = spark.createDataFrame([(9, "x", 40.0), (9, "y", 50.0)], "doc_id int, criterion string, weight_pct double")
     got = rules.findings({"invoice": (head, lines, "2024-02-01"), "rfp": (rfp, criteria), "other": ()})
-    assert {(r.doc_id, r.title) for r in got.collect()} == {(0, "Overdue Invoice"), (9, "Missing Submission Deadline"), (9, "Evaluation Criteria Weights Don't Sum to 100%")}
+    assert {(r.doc_id, r.title) for r in got.collect()} == {(0, "Invoice Overdue"), (9, "Missing Submission Deadline"), (9, "Evaluation Criteria Weights Don't Sum to 100%")}
     assert head.select(fd.first_line(F.col("vendor_name")).alias("v")).first().v == "A"
