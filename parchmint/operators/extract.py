@@ -178,14 +178,18 @@ def rfp_requirements(elements: DataFrame, most: int = 20) -> DataFrame:
     return items.select("doc_id", "ord", F.lit("General").alias("category"), F.substring("item", 1, 500).alias("description"), F.col("item").rlike(fd.MANDATORY).alias("mandatory"))
 
 
-def rfp_criteria(texts: DataFrame, most: int = 10) -> DataFrame:
-    """Lines of the block of criteria with their weights; labels of over 3 characters, the first 10."""
+def criteria(text: Column, most: int = 10) -> Column:
+    """Array of (criterion, weight_pct): lines of the block of criteria; labels of over 3 characters, the first 10."""
     line = lambda s: F.struct(
         F.substring(strip(F.regexp_replace(s, r"[\-•*\d%]", "")), 1, 200).alias("criterion"), F.nullif(F.regexp_extract(s, r"(\d+)\s*%", 1), F.lit("")).cast("double").alias("weight_pct")
     )
-    block = F.regexp_extract("full_text", fd.CRITERIA, 1)
-    kept = F.slice(F.filter(F.transform(F.split(block, "\n"), line), lambda c: F.char_length(c["criterion"]) > 3), 1, most)
-    return texts.select("doc_id", F.posexplode(kept).alias("ord", "c")).select("doc_id", F.col("ord") + 1, "c.*").toDF("doc_id", "ord", "criterion", "weight_pct")
+    block = F.regexp_extract(text, fd.CRITERIA, 1)
+    return F.slice(F.filter(F.transform(F.split(block, "\n"), line), lambda c: F.char_length(c["criterion"]) > 3), 1, most)
+
+
+def rfp_criteria(texts: DataFrame, most: int = 10) -> DataFrame:
+    """The criteria as rows."""
+    return texts.select("doc_id", F.posexplode(criteria(F.col("full_text"), most)).alias("ord", "c")).select("doc_id", F.col("ord") + 1, "c.*").toDF("doc_id", "ord", "criterion", "weight_pct")
 
 
 def other(texts: DataFrame) -> DataFrame:

@@ -38,7 +38,8 @@ def joined_parties(names: Column) -> Column:
     return F.when(F.size(names) > 0, F.array_join(clean, " & ")).otherwise("Unknown")
 
 
-def _lines(pairs: list[tuple[str, Column]]) -> Column:
+def field_lines(pairs: list[tuple[str, Column]]) -> Column:
+    """A line per field that has a value and isn't zero."""
     line = lambda k, v: F.when((v.cast("string") != "") & ~F.coalesce(v.cast("string").try_cast("double") == 0, F.lit(False)), F.concat(F.lit(f"• {k}: "), v.cast("string")))
     made = F.array_compact(F.array(*(line(k, v) for k, v in pairs)))
     return F.when(F.size(made) > 0, F.array_join(made, "\n")).otherwise(NO_FIELDS)
@@ -51,7 +52,14 @@ def key_fields(rows: DataFrame, doc_type: str) -> DataFrame:
     """
     kinds = dict(rows.dtypes)
     plain = lambda c: F.regexp_replace(F.col(c).cast("decimal(30,10)").cast("string"), r"(\.\d+?)0+$", "$1") if kinds[c] == "double" else F.col(c)
-    return rows.select("doc_id", _lines([(k, plain(c)) for k, c in KEY_FIELDS[doc_type].items() if c in kinds]).alias("key_fields"))
+    return rows.select("doc_id", field_lines([(k, plain(c)) for k, c in KEY_FIELDS[doc_type].items() if c in kinds]).alias("key_fields"))
+
+
+def clause_lines(clauses: Column) -> Column:
+    """A line per key clause of an array of clauses, in its order; Present where it has no value, found or not."""
+    named = F.filter(F.transform(clauses, lambda c: F.struct(title_case(c["clause_type"]).alias("k"), c["value"].alias("v"))), lambda c: F.lower(c["k"]).isin(*KEY_CLAUSES))
+    line = lambda c: F.concat(F.lit("• "), c["k"], F.lit(": "), F.coalesce(F.nullif(c["v"], F.lit("")), F.lit("Present")))
+    return F.when(F.size(named) > 0, F.array_join(F.transform(named, line), "\n")).otherwise(NO_FIELDS)
 
 
 def key_clauses(clauses: DataFrame) -> DataFrame:
