@@ -10,6 +10,7 @@ headings can't be matched has an error instead of failing the job. Null elements
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache, reduce
 
 import pandas as pd
@@ -53,7 +54,7 @@ def sections(lines: Column, heads: Column) -> Column:
 
 def _contained(headers: Column, table: list[tuple[str, str]]) -> Column:
     """The type of each heading: the first variant that contains it or lies in it."""
-    variants = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(variant).alias("variant")) for kind, variant in table))
+    variants = F.from_json(F.lit(json.dumps([{"kind": kind, "variant": variant} for kind, variant in table])), "array<struct<kind:string,variant:string>>")
     hit = lambda name: F.try_element_at(F.filter(variants, lambda d: name.contains(d["variant"]) | d["variant"].contains(name)), F.lit(1))["kind"]
     return F.transform(headers, lambda h: F.when(h != "", hit(F.lower(h))))
 

@@ -220,16 +220,69 @@ def risk(docs: DataFrame, findings: DataFrame) -> DataFrame:
     return rows.withColumn("risk_level", level(F.col("overall_score")))
 
 
+#: Rows of a block of a project's contracts or invoices.
+BLOCK = 4096
+
+
 def terms_violations(contracts: DataFrame, invoices: DataFrame) -> DataFrame:
     """Invoices that are due later than a contract of their project allows: an equi join with a range condition.
 
     contracts: project_id, doc_id, terms; invoices: project_id, doc_id, invoice_date, due_date (dates, or text as `parse_date_strict` reads it).
     """
-    date = lambda c: parse_date_strict(F.col(c)) if _text_column(invoices, c) else F.col(c)
+    left, right = _limits(contracts), _spans(invoices)
+    return left.join(right, "project_id").filter("invoice_days > contract_days").select("project_id", "contract_id", "contract_days", "invoice_id", "invoice_days")
+
+
+def _limits(contracts: DataFrame, *more: str) -> DataFrame:
     days = F.regexp_extract(F.lower("terms"), r"(\d+)\s*days", 1).try_cast("int")
-    left = contracts.select("project_id", F.col("doc_id").alias("contract_id"), days.alias("contract_days")).filter("contract_days IS NOT NULL")
-    right = invoices.select("project_id", F.col("doc_id").alias("invoice_id"), F.datediff(date("due_date"), date("invoice_date")).alias("invoice_days"))
-    return left.join(right, "project_id").filter("invoice_days > contract_days")
+    return contracts.select("project_id", F.col("doc_id").alias("contract_id"), days.alias("contract_days"), *more).filter("contract_days IS NOT NULL")
+
+
+def _spans(invoices: DataFrame, *more: str) -> DataFrame:
+    date = lambda c: parse_date_strict(F.col(c)) if _text_column(invoices, c) else F.col(c)
+    days = F.datediff(date("due_date"), date("invoice_date"))
+    return invoices.select("project_id", F.col("doc_id").alias("invoice_id"), days.alias("invoice_days"), *more).filter("invoice_days IS NOT NULL")
+
+
+def blocks(rows: DataFrame, doc_id: str, value: str, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """rows with `at`, and (project_id, at, low, high): a project's rows in order of a whole number, in blocks of some `size` rows.
+
+    Counts of each value are summed first, and running sums over those cut a project into blocks, so no task orders a project's
+    rows. A value of more than `size` rows has blocks of its own, in parts by hash. Rows get their block by value and salt.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(doc_id), F.lit(n)).cast("int"))
+    counted = salted.groupBy("project_id", value).agg(F.count("*").alias("n"), F.collect_set("salt").alias("salts"))
+    before = Window.partitionBy("project_id").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    block = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / size).cast("long")
+    counted = counted.withColumns({"parts": F.ceil(F.col("n") / size).cast("int"), "block": block}).withColumn("own", F.when(F.col("parts") > 1, F.col(value)).otherwise(-1))
+    place = lambda part: F.struct("block", "own", part.alias("part")).alias("at")
+    table = counted.groupBy("project_id", "block", "own").agg(F.min(value).alias("low"), F.max(value).alias("high"), F.max("parts").alias("parts"))
+    table = table.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("project_id", place(F.col("p")), "low", "high")
+    met = salted.join(counted.select("project_id", value, "block", "own", "parts", F.explode("salts").alias("salt")), ["project_id", value, "salt"])
+    return met.select(*rows.columns, place(F.pmod(F.xxhash64(F.lit(1), doc_id), F.col("parts")).cast("int"))), table
+
+
+def _pairs(left: DataFrame, right: DataFrame, size: int) -> DataFrame:
+    """Pairs of a project with invoice_days > contract_days, by cells: two blocks that can hold some."""
+    right = right.join(left.select("project_id").distinct(), "project_id", "left_semi")
+    a, a_blocks = blocks(left, "contract_id", "contract_days", size)
+    b, b_blocks = blocks(right, "invoice_id", "invoice_days", size)
+    cells = a_blocks.select("project_id", F.col("at").alias("a"), "low").join(b_blocks.select("project_id", F.col("at").alias("b"), "high"), "project_id").filter("high > low").drop("high", "low")
+    # Both sides go to their cells, so that a cell holds two blocks, however large its project.
+    a, b = a.withColumnRenamed("at", "a").join(cells, ["project_id", "a"]), b.withColumnRenamed("at", "b").join(cells, ["project_id", "b"])
+    return a.join(b, ["project_id", "a", "b"]).filter("invoice_days > contract_days").select("project_id", "contract_id", "contract_days", "invoice_id", "invoice_days")
+
+
+def changed_violations(contracts: DataFrame, invoices: DataFrame, size: int = BLOCK) -> DataFrame:
+    """`terms_violations` that involve a changed document (boolean column changed), as a stage over one upload reports them.
+
+    Changed contracts meet all invoices of their projects and changed invoices the other contracts; in both, blocks in order of
+    days meet only where they can hold a pair, so the work follows the pairs and no cell grows with a project.
+    """
+    left, right = _limits(contracts, "changed"), _spans(invoices, "changed")
+    plain = lambda df, test: df.filter(test).drop("changed")
+    return _pairs(plain(left, "changed"), right.drop("changed"), size).unionByName(_pairs(plain(left, "NOT coalesce(changed, false)"), plain(right, "changed"), size))
 
 
 def revenue_discrepancies(statements: DataFrame, invoices: DataFrame) -> DataFrame:

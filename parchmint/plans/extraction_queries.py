@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parchmint.functions import fields as fd
-from parchmint.operators import classify, elements, extract, records, rules, validators
+from parchmint.operators import analysis, classify, elements, extract, records, rules, validators
 from parchmint import dims
 from parchmint.plans import fixtures as fx
 from parchmint.plans.queries import _SECTIONS_SQL, query
@@ -224,11 +224,10 @@ cf AS (
 SELECT contracts.doc_id, coalesce(total_anomalies, 0) AS total_anomalies, coalesce(penalty, 0) AS penalty, CAST(least(100, greatest(floor(100 * (1 - pow(0.98, coalesce(penalty, 0)))), 15)) AS INTEGER) AS overall_score
 FROM contracts LEFT JOIN cp USING (doc_id)""")
 def contract_risk(spark, sf_dir):
-    """Contracts from text to score: sections, clauses, rules, points."""
-    texts = fx.contracts(spark, sf_dir).select("doc_id", F.col("text").alias("full_text"))
-    clauses, head = extract.contract(texts, fuzzy=False)
-    found = rules.contract_findings(head, clauses)
-    return rules.risk(texts.select("doc_id", F.lit("contract").alias("doc_type")), found).select("doc_id", "total_anomalies", "penalty", "overall_score")
+    """Contracts from text to score: sections, clauses, rules, points, all in the row."""
+    none = F.lit(None).cast(f"array<{analysis.ELEMENT}>")
+    docs = fx.contracts(spark, sf_dir).select("doc_id", F.lit("contract").alias("doc_type"), F.col("text").alias("full_text"), none.alias("elements"))
+    return analysis.judged(analysis.payloads(docs, fuzzy=False), "1998-01-01").select("doc_id", "risk.total_anomalies", "risk.penalty", "risk.overall_score")
 
 
 @query("header_fuzzy_match")
@@ -246,19 +245,6 @@ def document_metadata(spark, sf_dir):
     return classify.classify(texts.join(typed, "doc_id"), F.col("document_type"))
 
 
-@query("typed_payloads")
-def typed_payloads(spark, sf_dir):
-    """Every kind of rendered document through the dispatch by type."""
-    none = lambda t: F.lit(None).cast(t)
-    kinds = {"contract": fx.contracts(spark, sf_dir).withColumnRenamed("text", "full_text"), "invoice": invoice_texts(spark, sf_dir), "financial_statement": statement_texts(spark, sf_dir), "rfp": rfp_texts(spark, sf_dir)}
-    docs = None
-    for kind, rows in kinds.items():
-        rows = rows.select(F.concat(F.lit(f"{kind}-"), F.col("doc_id").cast("string")).alias("doc_id"), F.lit(kind).alias("doc_type"), "full_text")
-        docs = rows if docs is None else docs.unionByName(rows)
-    tables = invoice_tables(spark, sf_dir).withColumn("doc_id", F.concat(F.lit("invoice-"), F.col("doc_id").cast("string"))).withColumn("level", none("int"))
-    return extract.extract(docs, tables)
-
-
 # Answers of a model, records, lists
 
 

@@ -52,8 +52,8 @@ def nda_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "customer").select(k.cast("long").alias("doc_id"), F.concat_ws("\n", *parts).alias("full_text"))
 
 
-def invoice_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers with dates in three forms, and the lines of the order as a table."""
+def invoice_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of invoices with dates in three forms; one in four has no due date."""
     k = F.col("doc_id")
     form = lambda d: F.when(k % 3 == 0, F.date_format(d, "yyyy-MM-dd")).when(k % 3 == 1, F.date_format(d, "MMMM d, yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy"))
     due = F.when(k % 4 != 0, F.concat(F.lit(" due "), form("due_date"))).otherwise("")
@@ -62,9 +62,14 @@ def invoice_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "\n", F.lit("INVOICE"), F.concat(F.lit("Invoice No: INV-"), k.cast("string")), F.concat(F.lit("Issued "), form("invoice_date"), due),
         F.concat(F.lit("Grand Total: "), money("total_amount")), F.concat(F.lit("Subtotal: "), money("subtotal")), F.lit("Tax: 0.00"), F.lit("Amounts in EUR"),
     )
+    return fx.invoice_header(spark, sf_dir).select("doc_id", fx.once(text).alias("full_text"))
+
+
+def invoice_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Their texts, and the lines of the order as a table."""
     table = eq.invoice_tables(spark, sf_dir)
     cells = F.array(F.struct(*(F.col(c) for c in ("page_no", "el_no", "type", "text", "items", "headers", "rows")))).cast(f"array<{analysis.ELEMENT}>")
-    return fx.invoice_header(spark, sf_dir).select("doc_id", text.alias("full_text")).join(table.select("doc_id", cells.alias("elements")), "doc_id", "left")
+    return invoice_heads(spark, sf_dir).join(table.select("doc_id", cells.alias("elements")), "doc_id", "left")
 
 
 def other_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,3 +279,10 @@ def document_payloads(spark, sf_dir):
     counted = F.coalesce(F.size(get("$.line_items", "array<variant>")), F.size(get("$.evaluation_criteria", "array<variant>")), F.size(F.filter(get("$.key_facts", "array<struct<label:string>>"), lambda f: f["label"] == "Reference")))
     number = F.coalesce(get("$.invoice_number", "string"), get("$.rfp_number", "string"))
     return analysed(spark, sf_dir).select("doc_id", get("$.governing_law", "string").alias("law"), number.alias("number"), counted.alias("n"))
+
+
+@query("typed_payloads")
+def typed_payloads(spark, sf_dir):
+    """Every kind of document through the dispatch by type, with headings matched fuzzily: (doc_id, doc_type, payload, error)."""
+    rows = analysis.analyse(documents(spark, sf_dir), AS_OF)
+    return rows.select("doc_id", "doc_type", F.to_json("payload").alias("payload"), "error")

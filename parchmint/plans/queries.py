@@ -207,6 +207,23 @@ def payment_terms_violation(spark, sf_dir):
     return rules.terms_violations(c, o.withColumn("due_date", F.date_add("invoice_date", (15 + F.col("doc_id") % 90).cast("int"))))
 
 
+@query("changed_terms_violation", f"""WITH {fx.CONTRACTS_SQL}, c AS (SELECT project_id, doc_id AS contract_id, TRY_CAST(nullif(regexp_extract(text, '(\\d+)\\s*days', 1), '') AS INTEGER) AS contract_days, s_acctbal < 0 AS c_changed
+  FROM contracts JOIN supplier ON s_suppkey = doc_id WHERE contains(text, 'payable within')),
+i AS (SELECT o_custkey AS project_id, o_orderkey AS invoice_id, CAST(15 + o_orderkey % 90 AS INTEGER) AS invoice_days, o_orderstatus = 'P' AS i_changed FROM orders WHERE o_orderkey % 4 <> 0)
+SELECT project_id, contract_id, contract_days, invoice_id, invoice_days FROM c JOIN i USING (project_id) WHERE invoice_days > contract_days AND (c_changed OR i_changed)""")
+def changed_terms_violation(spark, sf_dir):
+    """Violations that involve a contract or an invoice that changed, from texts: terms out of contracts, dates out of invoices in three forms."""
+    from parchmint.operators import analysis
+    from parchmint.plans import mixed
+
+    state = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), (F.col("s_acctbal") < 0).alias("changed"))
+    c = fx.contracts(spark, sf_dir).join(state, "doc_id").select("project_id", "doc_id", "changed", tx.first(F.col("text"), tx.PAYMENT_TERMS).alias("terms"))
+    orders = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("project_id"), (F.col("o_orderstatus") == "P").alias("changed"))
+    date = lambda n: F.try_element_at(analysis.fd.dates(F.col("full_text")), F.lit(n))
+    dated = mixed.invoice_heads(spark, sf_dir).select("doc_id", date(1).alias("invoice_date"), date(2).alias("due_date"))
+    return rules.changed_violations(c, orders.join(dated, "doc_id"))
+
+
 @query("revenue_discrepancy", """WITH i AS (SELECT o_custkey AS project_id, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS invoiced FROM orders GROUP BY 1),
 s AS (SELECT c_custkey AS project_id, CAST(100000 + c_acctbal * 10 AS DECIMAL(18,2)) AS revenue FROM customer)
 SELECT project_id, CAST(invoiced AS DOUBLE) AS invoiced FROM i JOIN s USING (project_id) WHERE invoiced > revenue""")
