@@ -10,6 +10,7 @@ from parchmint.operators import documents as docs_ops
 from parchmint.operators import records, rules
 from parchmint import dims
 from parchmint.plans import fixtures as fx
+from parchmint.streaming import workspace
 
 QUERIES, ORACLES = {}, {}
 _INVOICE = fx.LINES_SQL + "," + fx.HEADER_SQL
@@ -340,6 +341,31 @@ def stage_durations(spark, sf_dir):
     return _events(spark, sf_dir).groupBy("client_id", "stage").agg((F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))).alias("seconds"))
 
 
+_WORKSPACE_SQL = f"""{_EVENTS_SQL}, e2 AS (SELECT ev.*, CASE WHEN status = 'error' THEN 'failed ' || seq END AS error, CASE WHEN seq % 5 = 0 THEN props ELSE '' END AS data FROM ev JOIN events ON event_id = seq),
+w AS (SELECT client_id, stage, arg_max(status, (ts, seq)) AS status, arg_max(coalesce(error, ''), (ts, seq)) AS error, max((ts, seq)) AS at, arg_max(detail, (ts, seq)) FILTER (detail <> '') AS detail, arg_max(data, (ts, seq)) FILTER (data <> '') AS data FROM e2 GROUP BY 1, 2),
+g AS (SELECT DISTINCT client_id FROM ev), d AS (SELECT client_id, bool_or(stage = 'risk' AND status = 'complete') AS done FROM ev GROUP BY 1),
+s AS (SELECT g.client_id, n.i, n.stage, coalesce(w.status, CASE WHEN n.i = 1 THEN 'running' ELSE 'pending' END) AS status, w.error, w.at, w.detail, w.data FROM g CROSS JOIN
+  (SELECT unnest(range(1, 7)) AS i, unnest(['ingestion', 'classification', 'extraction', 'anomaly', 'risk', 'cross_document']) AS stage) n LEFT JOIN w ON w.client_id = g.client_id AND w.stage = n.stage),
+u AS (SELECT s.*, status IN ('pending', 'running') AND EXISTS (SELECT 1 FROM s l WHERE l.client_id = s.client_id AND l.i > s.i AND l.at IS NOT NULL AND (s.at IS NULL OR l.at > s.at)) AS up FROM s),
+f AS (SELECT client_id, stage, CASE WHEN up THEN 'complete' ELSE status END AS status, CASE WHEN up THEN 'Completed successfully' ELSE detail END AS detail, data, nullif(error, '') AS error FROM u)"""
+
+
+@query("workspace_fold", f"""WITH {_WORKSPACE_SQL}
+SELECT f.*, CASE WHEN done THEN 'completed' WHEN bool_or(status = 'error') OVER (PARTITION BY client_id) THEN 'failed' ELSE 'processing' END AS document_status FROM f JOIN d USING (client_id)""")
+def workspace_fold(spark, sf_dir):
+    props = fx.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "props")
+    events = _events(spark, sf_dir).join(props, "seq").withColumns({
+        "error": F.when(F.col("status") == "error", F.concat(F.lit("failed "), F.col("seq").cast("string"))), "data": F.when(F.col("seq") % 5 == 0, F.col("props")).otherwise(""),
+    })
+    return workspace.fold(events).select("client_id", F.explode("stages").alias("s"), "document_status").select("client_id", "s.*", "document_status")
+
+
+@query("stage_runs", f"""WITH {_EVENTS_SQL}, n AS (SELECT *, lead(status) OVER w AS nxt, lead(ts) OVER w AS ended, count(*) FILTER (status = 'running') OVER w AS run FROM ev WINDOW w AS (PARTITION BY client_id, stage ORDER BY ts, seq))
+SELECT client_id, stage, run, CASE WHEN nxt = 'running' THEN 'restarted' WHEN nxt IS NULL THEN 'running' ELSE nxt END AS outcome, CASE WHEN nxt IN ('complete', 'error') THEN (epoch_us(ended) - epoch_us(ts)) / 1e6 END AS seconds FROM n WHERE status = 'running'""")
+def stage_runs(spark, sf_dir):
+    return workspace.runs(_events(spark, sf_dir))
+
+
 @query("ocr_block_agg", """WITH w AS (SELECT l_orderkey AS doc_id, l_linenumber % 2 AS block_num, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS word_no,
   l_shipmode AS text FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem)),
 q AS (SELECT l_orderkey AS doc_id, l_linenumber % 2 AS block_num, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS s, count(*) AS n FROM lineitem GROUP BY 1, 2)

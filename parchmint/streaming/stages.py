@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchmint.functions.fields import new_id
-from parchmint.operators.documents import latest_by_key, stage_fold
+from parchmint.operators.documents import stage_fold
 from parchmint.dims import STAGES
 
 EVENTS = "client_id string, seq long, ts timestamp, stage string, status string, detail string, data string, error string, duration double"
@@ -66,21 +66,3 @@ def uploads(spark: SparkSession, path: str, project_id: str) -> DataFrame:
     """New files under path as a stream of documents."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
     return register(files, project_id)
-
-
-def upsert(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """Writes a stream's batches under their numbers, so that a batch that runs again replaces itself; `current` merges them.
-
-    Nothing already written is rewritten, whatever the table's size. `trigger` defaults to what has arrived by now;
-    {"processingTime": POLL} polls.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
-def current(spark: SparkSession, path: str, key: str = "content_hash", version: str = "created_at") -> DataFrame:
-    """The last version of every key of an upserted table, later batches first among equals."""
-    return latest_by_key(spark.read.parquet(path), key, version, "batch").drop("batch")

@@ -11,7 +11,7 @@ from parchmint.operators import classify, elements, extract, records, rules, val
 from parchmint.operators import documents as dc
 from parchmint import dims
 from parchmint.sources import office
-from parchmint.streaming import stages
+from parchmint.streaming import stages, upserts
 
 ELEMENT = "doc_id int, page_no int, el_no int, type string, text string, items array<string>, headers array<string>, rows array<array<string>>"
 
@@ -202,9 +202,9 @@ def test_streams(spark, tmp_path):
     source.mkdir()
     (source / "a.docx").write_bytes(b"one")
     for _ in range(2):  # the second run finds the second file only
-        stages.upsert(stages.uploads(spark, str(source), "proj_1"), table, point).awaitTermination()
+        upserts.upsert(stages.uploads(spark, str(source), "proj_1"), table, point).awaitTermination()
         (source / "b.txt").write_bytes(b"one")
-    rows = stages.current(spark, table).collect()
+    rows = upserts.current(spark, table).collect()
     assert [(r.name, r.status, r.n_versions) for r in rows] == [("b.txt", "failed", 2)]
 
 
