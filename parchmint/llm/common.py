@@ -27,6 +27,17 @@ def prefixed(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.col(f"`{c}`").alias(f"__in_{c}") for c in docs.columns))
 
 
+def numbered(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Some columns in order, under names that can't clash: a function over batches names its own."""
+    return docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
+
+
+def restored(rows: DataFrame, docs: DataFrame, results: tuple[str, ...]) -> DataFrame:
+    """The columns of `docs` (prefixed in `rows`) but for those named as a result, and the results, which `rows` has as __out_ and their name."""
+    keep = (F.col(f"`__in_{c}`").alias(c) for c in docs.columns if c not in results)
+    return rows.select(*keep, *(F.col(f"__out_{c}").alias(c) for c in results))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

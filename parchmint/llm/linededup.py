@@ -4,12 +4,13 @@ A line's key is its text without white space (0x20, 0x09-0x0D) at the ends and w
 Hashes are range-partitioned with a secondary sort by document (latest first) and position; a window streams over that order
 and marks the first occurrence of each. As one line may be in a third of all documents, its occurrences are salted by document
 over as many ranges as there are shuffle partitions; the ranges' first occurrences and numbers of documents are then merged,
-one row per hash and range, and given back to each range. What is dropped is returned as a bitmap of 64 lines a word, up to the
-last word that isn't empty, and the text is filtered by it after one shuffle.
+one row per hash and range, and given back to each range. What stays is returned as a bitmap of 64 lines a word, of which only the
+words that aren't all ones are kept, and the text is filtered by it after one shuffle.
 
 Defined results: null or empty text is one empty line. Rows of one doc_id are one document for the counting of documents; rows
-that are alike in doc_id and text have alike results. A null doc_id is a document older than all others. Short keys are
-never dropped. Other columns of the input pass through, except those named as a result.
+that are alike in doc_id and text have alike results. A null doc_id is a document older than all others; doc_id is a whole number, or text of one (other text
+raises an error). Short keys are never dropped. Very long texts are split within their row, and their lines are dealt out one by one.
+Other columns of the input pass through, whatever their names, except those named as a result. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import partitions, prefixed, read
+from parchmint.llm.common import partitions, prefixed, read, restored
 
 #: Shortest key that counts, in code points, and the number of documents from which a key is dropped.
 LEAST_LENGTH = 20
 LEAST_DOCS = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_RESULTS = ("n_lines", "n_dropped", "dropped_bits", "kept")
+_RESULTS = ("n_lines", "n_dropped", "keep_bits", "kept")
 
 
 def ascii_lower(c: Column) -> Column:
@@ -46,7 +47,8 @@ def occurrences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def dropped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(d, t, words): per document with dropped lines the bitmap, as words of 64 lines in order (the last ones may be missing)."""
+    """(d, t, words): per document with dropped lines the bitmap of kept ones, compressed: (word, bits) of 64 lines each, in order,
+    of the words that aren't all ones."""
     n = partitions(docs.sparkSession)
     rows = occurrences(docs, text, doc_id).withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(n)).cast("int"))
     ranged = rows.repartitionByRange(n, "h1", "h2", "salt")
@@ -58,22 +60,28 @@ def dropped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     merged = merged.select("h1", "h2", "latest", F.explode("salts").alias("salt"))
     gone = streamed.select("h1", "h2", "salt", "d", "t", "pos").join(merged, ["h1", "h2", "salt"]).filter("d <> latest")
     words = gone.groupBy("d", "t", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
-    entries = words.groupBy("d", "t").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("sparse"))
-    dense = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("sparse"))), lambda i: F.coalesce(F.try_element_at("sparse", i), F.lit(0).cast("long")))
-    return entries.select("d", "t", dense.alias("words"))
+    kept = F.struct("word", F.bitwise_not("bits").alias("bits"))
+    return words.groupBy("d", "t").agg(F.array_sort(F.collect_list(kept)).alias("words"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """`docs` with n_lines, n_dropped, dropped_bits (the bitmap; null if no line is dropped) and kept (the text of the lines that
+    """`docs` with n_lines, n_dropped, keep_bits (the bitmap of kept lines; null if none is dropped) and kept (the text of the lines that
     stay; null text gives the empty string)."""
-    keep = [c for c in docs.columns if c not in _RESULTS]
-    left = docs.select(keep).withColumn("__d", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))).withColumn("__t", F.xxhash64(text))
+    given, body, ident = prefixed(docs), F.col(f"`__in_{text}`"), F.col(f"`__in_{doc_id}`")
+    left = given.withColumn("__d", F.coalesce(ident.cast("long"), F.lit(-(1 << 63)))).withColumn("__t", F.xxhash64(body))
     joined = left.join(dropped(docs, text, doc_id).toDF("__d", "__t", "__words"), ["__d", "__t"], "left")
-    kept = F.expr("filter(split(coalesce(`%s`, ''), '\\n', -1), (line, i) -> (shiftrightunsigned(coalesce(get(__words, cast(i div 64 as int)), 0L), cast(i %% 64 as int)) & 1L) = 0L)" % text)
-    n_dropped = F.coalesce(F.aggregate("__words", F.lit(0).cast("long"), lambda a, w: a + F.bit_count(w)), F.lit(0).cast("long"))
-    whole = F.coalesce(F.col(text), F.lit(""))
+    # Words of all ones aren't there: laid out up to the last one that is, so that a line finds its bit at once.
+    sparse = F.map_from_entries("__words")
+    every = F.transform(F.sequence(F.lit(0), F.element_at("__words", -1)["word"]), lambda i: F.coalesce(F.try_element_at(sparse, i), F.lit(-1).cast("long")))
+    joined = joined.withColumn("__bits", F.when(F.col("__words").isNotNull(), every))
+    whole = F.coalesce(body, F.lit(""))
+    bit = lambda i: F.coalesce(F.get("__bits", F.floor(i / 64).cast("int")), F.lit(-1).cast("long"))
+    kept = F.filter(F.split(whole, "\n", -1), lambda line, i: F.call_function("getbit", bit(i), F.pmod(i, F.lit(64)).cast("int")) == 1)
+    n_dropped = F.coalesce(F.aggregate("__words", F.lit(0).cast("long"), lambda a, w: a + 64 - F.bit_count(w["bits"])), F.lit(0).cast("long"))
     n_lines = (F.char_length(whole) - F.char_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    return joined.select(*keep, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"), F.col("__words").alias("dropped_bits"), F.when(F.col("__words").isNull(), whole).otherwise(F.array_join(kept, "\n")).alias("kept"))
+    text_kept = F.when(F.col("__words").isNull(), whole).otherwise(F.array_join(kept, "\n"))
+    results = zip((n_lines, n_dropped, F.col("__words"), text_kept), _RESULTS, strict=True)
+    return restored(joined.withColumns({f"__out_{name}": c for c, name in results}), docs, _RESULTS)
 
 
 def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

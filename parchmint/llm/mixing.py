@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import checkpointed, partitions, prefixed, read
+from parchmint.llm.common import checkpointed, partitions, prefixed, read, restored
 
 #: Weights by the sources' order, repeated.
 WEIGHTS = (1, 2, 3)
@@ -165,16 +165,15 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     """The columns of `docs` with size, source_size, target, copies and taken. One pass with the sources' plan at hand: no text is shuffled or kept."""
     plan, small = plan_mix(docs, text, source, doc_id, weights, seed)
     plan = plan.select(F.struct(*plan.columns).alias("__plan"))
-    rows = _described(docs, text, source, doc_id, seed)
+    rows = _described(prefixed(docs), *(f"__in_{c}" for c in (text, source, doc_id)), seed)
     rows = rows.join(_small(plan, small), F.col("__s").eqNullSafe(F.col("__plan.s")), "left")
     p = F.col("__plan")
     rank = _rank(F.col("__size"), F.col("__u"), p["scale"])
     fits = F.exists(p["fits"], lambda f: (f["rank"] == rank) & (f["row"] == F.col("__row")))
     more = F.coalesce(_before(rank, F.col("__row"), p["at"], p["at_row"]), F.lit(False)) | fits
     copies = (p["whole"] + F.when((F.col("__size") > 0) & more, 1).otherwise(0)).cast("int")
-    keep = [F.col(c) for c in docs.columns if c not in _RESULTS]
     results = (F.col("__size"), p["source_size"], p["target"], copies, (copies * F.col("__size")).cast("long"))
-    return rows.select(*keep, *(c.alias(name) for c, name in zip(results, _RESULTS, strict=True)))
+    return restored(rows.withColumns({f"__out_{name}": c for c, name in zip(results, _RESULTS, strict=True)}), docs, _RESULTS)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ the match had.
 
 Defined results: null or empty text has no spans (empty string; digest of the empty string). Repeated rows and rows of a null id
 are searched alike; fields that look like numbers in other scripts (superscripts, circled digits) are no digits. If the
-sample has no personal data, or the table is empty, the field adds nothing. Other columns of the input pass through, except those
-named as a result.
+sample has no personal data, or the table is empty, the field adds nothing. Very long texts are searched whole. Other columns of the
+input pass through, whatever their names, except those named as a result.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from parchmint.llm.common import read, tidy
+from parchmint.llm.common import numbered, read, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("outside", *KINDS)
@@ -394,12 +395,10 @@ def find_personal_data(docs: DataFrame, model, text: str = "text") -> DataFrame:
             columns += [pa.array([_joined(b) for b in bases], pa.string()), pa.array([_joined(b + a) for b, a in zip(bases, added, strict=True)], pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *columns], [*keep, *names])
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType(list(docs.select(keep).schema))
+    schema = T.StructType([docs.schema[c] for c in keep])
     for x in _SCHEMA.split(", "):
         schema = schema.add(*x.split())
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(found, schema)
+    return numbered(docs, [*keep, text]).mapInArrow(found, schema)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import read
+from parchmint.llm.common import prefixed, read, restored
 
 #: Rules (host, path, verdict); of those that fit, the longest wins.
 RULES = (
@@ -81,8 +81,8 @@ def path_of(url: Column) -> Column:
 
 def parsed(rows: DataFrame, url: str = "url") -> DataFrame:
     """`rows` with host and path."""
-    keep = [c for c in rows.columns if c not in _RESULTS]
-    named = rows.select(*keep, F.coalesce(F.col(url), F.lit("")).alias("__url"))
+    keep = [f"`{c}`" for c in rows.columns if c not in _RESULTS]
+    named = rows.select(*keep, F.coalesce(F.col(f"`{url}`"), F.lit("")).alias("__url"))
     return named.withColumns({"host": host_of(F.col("__url")), "path": path_of(F.col("__url"))}).drop("__url")
 
 
@@ -145,15 +145,14 @@ def filter_urls(pages: DataFrame, model: tuple[dict[int, float], float], url: st
     weights, intercept = model
     # Folded to one constant array by the optimizer.
     table = F.split(F.lit(",".join(repr(float(weights.get(b, 0.0))) for b in range(1 << BITS))), ",").cast("array<double>")
-    rows = parsed(pages, url)
+    rows = parsed(prefixed(pages), f"__in_{url}")
     rows = rows.withColumn("__f", features(F.col("host"), F.col("path")))
     total = F.aggregate("__f", F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.sqrt(F.greatest(F.size("__f"), F.lit(1)))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     score = F.when(F.size("__f") > 0, 1 / (1 + F.exp(-(total + F.lit(intercept))))).otherwise(F.lit(0.0))
-    rows = rows.withColumn("score", score)
-    method = F.when(F.col("score") >= THRESHOLD, "block").otherwise("allow")
-    keep = [c for c in pages.columns if c not in _RESULTS]
-    return rows.select(*keep, "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "score")
+    rows = rows.withColumns({"__out_host": F.col("host"), "__out_path": F.col("path"), "__out_rule": rule, "__out_score": score})
+    method = F.when(F.col("__out_score") >= THRESHOLD, "block").otherwise("allow")
+    return restored(rows.withColumn("__out_verdict", F.coalesce(verdict, method)), pages, _RESULTS)
 
 
 def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:

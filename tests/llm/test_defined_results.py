@@ -57,6 +57,38 @@ def test_restriction_has_no_order(spark):
     assert [(r[5], r[7]) for r in got] == [("cc-by-nc,mit", 3), ("mit", 0), ("", None), ("gpl-3.0,proprietary", 3), ("gpl-3.0,mit", 0)]
 
 
+def test_ids_are_known_as_a_whole():
+    """Versions and marks count, not first letters; what isn't known stays as unknown; prose after a tag isn't an id."""
+    tag = "SPDX-License-Identifier: "
+    want = {
+        "Artistic-2.0": ("artistic-2.0", 0), "NPOSL-3.0": ("nposl-3.0", 3), "GPL-3.0-or-later": ("gpl-3.0-or-later", 2), "LGPL-2.1+": ("lgpl-2.1+", 1), "mitigation": ("unknown:mitigation", 3),
+        "bsdiff */": ("unknown:bsdiff", 3), "Public notice": ("", None), "mitigation of risk": ("", None), "MIT OR Foo-1.0": ("mit,unknown:foo-1.0", 0), "GPL-9.0": ("unknown:gpl-9.0", 3), "": ("", None), "LicenseRef-own": ("licenseref-own", 3),
+    }
+    for text, found in want.items():
+        r = licenses.scan(tag + text, licenses.automaton())
+        assert (r[5], r[7]) == found and (r[6] > 0) == bool(found[0]), text
+
+
+@pytest.mark.parametrize("name", ["__text", "__url", "__words", "__plan", "__d", "__f", "__s", "__size", "__row", "__u", "__t", "__bits", "__in_text", "a.b"])
+def test_no_name_of_another_column_clashes(spark, name):
+    df = spark.createDataFrame([(i, f"http://h{i}.net/a", f"line of some length {i}\nthe very same line for all\na@b.example {i}", "s", f"own {i}") for i in range(4)], "doc_id long, url string, text string, source string, x string")
+    df = df.withColumnRenamed("x", name)
+    for made in (
+        licenses.scan_licenses(df), linededup.dedup_lines(df), mixing.mix_sources(df), pii.find_personal_data(df, None), urlfilter.filter_urls(df, ({}, 0.0)),
+    ):
+        assert sorted(r[name] for r in made.collect()) == [f"own {i}" for i in range(4)]
+
+
+def test_bitmaps_hold_what_stays(spark):
+    n = 300
+    texts = ["\n".join(f"shared line number {j} of all documents" if j in (3, 70, 299) else f"{i} own line number {j} of this one" for j in range(n)) for i in range(4)]
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got[3]["keep_bits"] is None and got[3]["kept"] == texts[3]
+    for i in range(3):
+        assert [(w["word"], ~w["bits"]) for w in got[i]["keep_bits"]] == [(0, 1 << 3), (1, 1 << 6), (4, 1 << 43)]
+        assert got[i]["n_dropped"] == 3 and got[i]["kept"] == "\n".join(line for j, line in enumerate(texts[i].split("\n")) if j not in (3, 70, 299))
+
+
 def test_bpe_in_pieces(spark, monkeypatch):
     """Blocks, pieces of texts and shards of any size give what the library gives."""
     import public_tokenizers
