@@ -83,14 +83,54 @@ TYPE_LABELS = {
     "contract": "service/commercial contract", "nda": "non-disclosure agreement", "invoice": "invoice", "rfp": "request for proposal",
     "financial_statement": "financial statement", "other": "document",
 }
-#: Sentences that stand for the types; a trained encoder may bring its own.
+# Sentences that stand for the types.
 PROTOTYPES = {
-    "contract": ("services agreement between the parties with fees, warranty and limitation of liability", "either party may end this agreement upon breach with notice", "payment terms, indemnification and governing law of the agreement"),
-    "nda": ("non disclosure agreement on confidential information", "the receiving party keeps secrets of the disclosing party", "permitted use and return of confidential materials"),
-    "invoice": ("invoice number, due date and total amount due", "subtotal, tax and grand total of the invoice in net days", "bill to the customer with bank details and sort code"),
-    "financial_statement": ("balance sheet with total assets, liabilities and equity", "revenue, gross profit and net income for the year", "cash flow of operating activities, audited accounts"),
-    "rfp": ("request for proposal with submission deadline and budget", "evaluation criteria and weights of the proposals", "vendors must submit questions before the deadline"),
-    "other": ("letter about a general matter", "notes of a meeting", "manual of instructions"),
+    "contract": (
+        "This Services Agreement governs the terms under which the vendor will provide services to the client.",
+        "The parties agree that payment shall be due within 30 days of invoice date.",
+        "Either party may terminate this agreement upon 60 days written notice.",
+        "The liability of each party shall not exceed the total fees paid in the preceding 12 months.",
+        "This agreement constitutes the entire understanding between the parties regarding the subject matter hereof.",
+        "The contractor shall deliver the software system by the agreed milestone dates.",
+    ),
+    "nda": (
+        "The receiving party agrees to keep all disclosed information strictly confidential.",
+        "Confidential Information means any non-public information disclosed by the Disclosing Party.",
+        "This Non-Disclosure Agreement shall remain in effect for a period of two years.",
+        "The parties agree not to disclose proprietary business information to third parties.",
+        "Information that becomes publicly available through no fault of the Receiving Party is excluded.",
+        "Upon termination, the receiving party shall destroy or return all confidential materials.",
+    ),
+    "invoice": (
+        "Invoice Number: INV-2024-0042. Due Date: 15 March 2024.",
+        "Please remit payment by bank transfer to the account details below.",
+        "Line Item: Software development services. Quantity: 40 hours. Unit Price: $150.",
+        "Subtotal: $6,000.00. VAT (20%): $1,200.00. Total Due: $7,200.00.",
+        "This invoice is payable within 30 days of the invoice date.",
+        "Vendor: Acme Corp. Bill To: GlobalTech Ltd. Purchase Order: PO-8821.",
+    ),
+    "rfp": (
+        "Proposals must be submitted by 5pm on 30 April 2024 via the online procurement portal.",
+        "This Request for Proposal invites qualified vendors to submit bids for IT infrastructure services.",
+        "Evaluation criteria: Technical capability 40%, Price 30%, Experience 20%, References 10%.",
+        "The successful bidder will be required to sign an NDA prior to contract award.",
+        "Mandatory requirements: ISO 27001 certification and minimum five years of relevant experience.",
+        "Questions regarding this RFP must be submitted in writing by 15 March 2024.",
+    ),
+    "financial_statement": (
+        "Total Revenue for the year ended 31 December 2023 was $42.5 million.",
+        "Net income attributable to shareholders increased by 12% year-over-year.",
+        "The balance sheet as at 30 June 2024 shows total assets of £185 million.",
+        "Operating cash flow for Q3 2024 was $3.2 million, up from $2.8 million in Q3 2023.",
+        "Earnings per share (basic): $1.47. Diluted EPS: $1.42.",
+        "The audited financial statements have been prepared in accordance with IFRS.",
+    ),
+    "other": (
+        "This document does not fall into any standard commercial or legal category.",
+        "General correspondence, memoranda, or miscellaneous business documents.",
+        "Internal policy document or procedural guideline.",
+        "Technical specification or product description document.",
+    ),
 }
 # Points by severity, least score by type of document.
 POINTS = {"critical": 15, "warning": 5, "informational": 1}

@@ -23,6 +23,7 @@ from parchmint.functions.text import DATE, DURATION, MONEY, PAYMENT_TERMS, first
 from parchmint.operators import extract as ex
 from parchmint.operators import findings as fi
 from parchmint.operators import records, rules
+from parchmint.operators.classify import capitalised_names, dates, jurisdiction, parties, summary
 from parchmint.operators.documents import clause_value, is_heading
 
 ELEMENT = "struct<page_no:int,el_no:int,type:string,text:string,items:array<string>,headers:array<string>,rows:array<array<string>>>"
@@ -126,6 +127,17 @@ def page_of(snippet: Column, pages: Column, chars: int = 60) -> Column:
     return F.when(snippet != "", let(key, lambda k: F.try_element_at(F.filter(pages, lambda p: p["text"].contains(k)), F.lit(1))["page_no"]))
 
 
+def classified(docs: DataFrame, names=capitalised_names) -> DataFrame:
+    """doc_id, doc_type, error, jurisdiction, dates, parties, document_summary of docs, with the page of each date's context and each party's basis."""
+    text, blank = F.col("full_text"), strip(F.coalesce("full_text", F.lit(""))) == ""
+    rows = docs.withColumns({"error": F.when(blank, "no text"), "jurisdiction": jurisdiction(text), "dates": dates(text), "parties": parties(text, names)})
+    rows = rows.withColumn("pages", page_texts(F.coalesce("elements", F.array().cast(f"array<{ELEMENT}>"))))
+    paged = lambda column, snippet: F.transform(column, lambda x: x.withField("page", page_of(x[snippet], F.col("pages"))))
+    said = F.when(~blank, summary(F.col("doc_type"), F.col("parties"), F.col("dates"), F.col("jurisdiction")))
+    rows = rows.withColumns({"document_summary": said, "dates": paged("dates", "context"), "parties": paged("parties", "basis")})
+    return rows.select("doc_id", "doc_type", "error", "jurisdiction", "dates", "parties", "document_summary")
+
+
 # Payloads: a struct of each type
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchmint.functions import fields as fd
+from parchmint.operators import encoder as factored
 from parchmint.operators.documents import centroids, nearest_centroid
 from parchmint.dims import DATE_LABELS, ROLE_WORDS, TYPE_LABELS
 
@@ -158,8 +159,13 @@ def hashed_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     return encode
 
 
-def document_types(texts: DataFrame, prototypes: dict[str, tuple[str, ...]], encoder=hashed_encoder) -> DataFrame:
-    """(doc_id, document_type, confidence): the type whose prototypes' mean vector is nearest, the first in order among equals."""
+def document_types(texts: DataFrame, prototypes: dict[str, tuple[str, ...]], encoder=None) -> DataFrame:
+    """(doc_id, document_type, confidence): the type whose prototypes' mean vector is nearest, the first in order among equals.
+
+    `encoder` makes a batch function of a given model; without one, vectors are fitted on the texts.
+    """
+    if encoder is None:
+        return document_types_by_factors(texts, prototypes)
     names = list(prototypes)
     rows = texts.sparkSession.createDataFrame([(i, p) for i, n in enumerate(names) for p in prototypes[n]], "label int, sentence string")
     cents = centroids(rows.select("label", embed(F.col("sentence"), encoder).alias("embedding")))
@@ -167,6 +173,23 @@ def document_types(texts: DataFrame, prototypes: dict[str, tuple[str, ...]], enc
     return near.select(F.col("vec_id").alias("doc_id"), F.element_at(F.array(*map(F.lit, names)), F.col("nearest").cast("int") + 1).alias("document_type"), F.col("score").alias("confidence"))
 
 
+def document_types_by_factors(texts: DataFrame, prototypes: dict[str, tuple[str, ...]], factors: DataFrame | None = None, chars: int = 1500) -> DataFrame:
+    """`document_types` with vectors of `encoder`: factors fitted on the texts' first characters and the prototypes, unless given.
+
+    A text without words that the factors know is the last type (other), with confidence 0.
+    """
+    names = list(prototypes)
+    rows = texts.sparkSession.createDataFrame([(f"{i} {n}", n, p) for i, n in enumerate(names) for n, p in enumerate(prototypes[names[i]])], "doc_id string, n int, full_text string").drop("n")
+    own = texts.select(F.concat(F.lit("t "), F.col("doc_id").cast("string")).alias("doc_id"), "full_text")
+    factors = (factored.fit(own.unionByName(rows), chars=chars) if factors is None else factors).persist()
+    label = F.regexp_extract("vec_id", r"^(\d+)", 1).cast("int")
+    cents = centroids(factored.encode(rows, factors, chars=chars).toDF("vec_id", "embedding").withColumn("label", label))
+    vectors = factored.encode(texts, factors, chars=chars).toDF("vec_id", "embedding")
+    near = nearest_centroid(vectors, cents)
+    kind = F.when(F.col("score") == 0, names[-1]).otherwise(F.element_at(F.array(*map(F.lit, names)), F.col("nearest").cast("int") + 1))
+    return near.select(F.col("vec_id").alias("doc_id"), kind.alias("document_type"), F.col("score").alias("confidence"))
+
+
 def classify(texts: DataFrame, doc_type: Column, names=capitalised_names) -> DataFrame:
     """Type and metadata of every document; a document without text has an error and nothing else."""
     t = F.col("full_text")

@@ -10,12 +10,6 @@ from parchmint.functions.text import DURATION, MONEY, PAYMENT_TERMS, first
 from parchmint.dims import STAGES
 
 
-def full_text(elements: DataFrame, cap: int = 14000) -> DataFrame:
-    """Texts of a document's elements that aren't blank, in order, joined by an empty line, capped."""
-    rows = elements.filter(F.trim(F.coalesce("text", F.lit(""))) != "").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "el_no", "text"))).alias("e"))
-    return rows.select("doc_id", F.substring(F.array_join(F.transform("e", lambda x: x["text"]), "\n\n"), 1, cap).alias("full_text"))
-
-
 def is_heading(line: Column) -> Column:
     s = F.trim(line)
     caps = (F.upper(s) == s) & (F.lower(s) != s)
@@ -74,13 +68,6 @@ def fill_clauses(docs: DataFrame, found: DataFrame, types: list[str]) -> DataFra
     return wanted.join(found, ["doc_id", "clause_type"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
 
 
-def find_page(pages: DataFrame, wanted: DataFrame, chars: int = 60) -> DataFrame:
-    """(doc_id, needle, page_no): the first page whose text has the needle's first characters, in lower case; null if none."""
-    key = F.substring(F.lower(F.trim("needle")), 1, chars)
-    hits = wanted.join(pages, "doc_id").filter(F.lower("page_text").contains(key)).groupBy("doc_id", "needle").agg(F.min("page_no").alias("page_no"))
-    return wanted.join(hits, ["doc_id", "needle"], "left")
-
-
 def centroids(vectors: DataFrame) -> DataFrame:
     """(label, centroid): mean of the normalised vectors of a label, normalised."""
     norm = lambda v: F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-9))

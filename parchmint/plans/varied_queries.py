@@ -101,11 +101,11 @@ def markdown_cleaned(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.clean_markdown(text)).alias("digest"))
 
 
-@query("ocr_cleaned", r"""WITH a AS (SELECT doc_id, replace(replace(substr(text, 1, 500), ' de ', ' d|e , '), ' the ', ' th- e oﬃce ') AS t FROM documents),
+@query("ocr_cleaned", r"""WITH a AS (SELECT doc_id, replace(replace(text, ' de ', ' d|e , '), ' the ', ' th- e oﬃce ') AS t FROM documents),
 b AS (SELECT doc_id, regexp_replace(t, '([A-Za-z])-\s+([a-z])', '\1\2', 'g') AS t FROM a), c AS (SELECT doc_id, replace(regexp_replace(t, '([A-Za-z])[|\[\]]([A-Za-z])', '\1l\2', 'g'), 'ﬃ', 'ffi') AS t FROM b)
 SELECT doc_id, md5(trim(regexp_replace(regexp_replace(t, '\s+([.,;:?!])', '\1', 'g'), '\s{2,}', ' ', 'g'))) AS digest FROM c""")
 def ocr_cleaned(spark, sf_dir):
-    text = F.replace(F.replace(F.substring("text", 1, 500), F.lit(" de "), F.lit(" d|e , ")), F.lit(" the "), F.lit(" th- e oﬃce "))
+    text = F.replace(F.replace("text", F.lit(" de "), F.lit(" d|e , ")), F.lit(" the "), F.lit(" th- e oﬃce "))
     return fx.table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.clean_ocr(text)).alias("digest"))
 
 

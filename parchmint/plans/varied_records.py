@@ -157,13 +157,13 @@ _DATES = (
 _DATED = _pick(_DATES, "doc_id")
 
 
-@query("dates_found", f"""WITH t AS (SELECT doc_id, {_DATED.sql} || ' ' || substr(text, 1, 200) AS t FROM documents), hits AS (
+@query("dates_found", f"""WITH t AS (SELECT doc_id, {_DATED.sql} || ' ' || text AS t FROM documents), hits AS (
   SELECT doc_id, 0 AS p, unnest(regexp_extract_all(t, {_quoted(classify.NAMED_DATE)}, 2)) AS v, generate_subscripts(regexp_extract_all(t, {_quoted(classify.NAMED_DATE)}, 2), 1) AS i FROM t
   {' '.join(f"UNION ALL SELECT doc_id, {n}, unnest(regexp_extract_all(t, {_quoted(p)})), generate_subscripts(regexp_extract_all(t, {_quoted(p)}), 1) FROM t" for n, p in enumerate(classify.PLAIN_DATES, 1))}
 ), firsts AS (SELECT doc_id, trim(v) AS v, min((p, i)) AS o FROM hits GROUP BY doc_id, trim(v)), nth AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS n FROM firsts)
 SELECT doc_id, count(v) AS n_dates, coalesce(string_agg(v, '|' ORDER BY n), '') AS found FROM t LEFT JOIN (SELECT * FROM nth WHERE n <= 10) USING (doc_id) GROUP BY doc_id""")
 def dates_found(spark, sf_dir):
-    text = F.concat(_DATED.column(), F.lit(" "), F.substring("text", 1, 200))
+    text = F.concat(_DATED.column(), F.lit(" "), "text")
     rows = fx.table(spark, sf_dir, "documents").select("doc_id", classify.dates(text).alias("d"))
     return rows.select("doc_id", F.size("d").cast("long").alias("n_dates"), F.array_join(F.transform("d", lambda d: d["value"]), "|").alias("found"))
 

@@ -11,6 +11,7 @@ import re
 import zipfile
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -71,13 +72,39 @@ def _column(ref: str) -> int:
     return n
 
 
+#: Day numbers from here on (the year 10000) are plain numbers.
+MOST_DAYS = 2_957_004
+#: Numbers of built-in formats that show dates and times.
+_DATES = {*range(14, 23), *range(27, 37), *range(45, 48)}
+
+
+def _date_styles(styles: ET.Element) -> list[bool]:
+    """Whether each cell style shows its number as a date or a time: by a built-in format, or by d, m, y, h or s in its own."""
+    plain = lambda code: re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", code.lower())
+    own = {int(f.get("numFmtId")): bool(re.search("[dmyhs]", plain(f.get("formatCode", "")))) for f in styles.iter(S + "numFmt")}
+    formats = (int(x.get("numFmtId", 0)) for group in styles.findall(S + "cellXfs") for x in group.findall(S + "xf"))
+    return [own.get(n, n in _DATES) for n in formats]
+
+
+def _moment(serial: float, since: datetime) -> str:
+    """A day number as text: a date with its time, or a time of day below 1."""
+    # Day 60 of the older calendar never was.
+    days = serial + 1 if since.year < 1904 and 1 <= serial < 60 else serial
+    at = since + timedelta(seconds=round(days * 86400))
+    return str(at.time()) if 0 <= serial < 1 else str(at)
+
+
 def _xlsx_cells(content: bytes) -> Iterator[tuple]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = []
+        dated = _date_styles(ET.fromstring(z.read("xl/styles.xml"))) if "xl/styles.xml" in z.namelist() else []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(S + "t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall(S + "si")]
         targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for i, sheet in enumerate(ET.fromstring(z.read("xl/workbook.xml")).iter(S + "sheet")):
+        book = ET.fromstring(z.read("xl/workbook.xml"))
+        later = any(x.get("date1904") in ("1", "true") for x in book.iter(S + "workbookPr"))
+        since = datetime(1904, 1, 1) if later else datetime(1899, 12, 30)
+        for i, sheet in enumerate(book.iter(S + "sheet")):
             target = targets[sheet.get(R + "id")]
             name = target.lstrip("/") if target.startswith("/") else "xl/" + target
             yield i, sheet.get("name"), None, None, None
@@ -95,6 +122,8 @@ def _xlsx_cells(content: bytes) -> Iterator[tuple]:
                             continue
                         else:
                             value = shared[int(v.text)] if kind == "s" else ("True" if v.text == "1" else "False") if kind == "b" else v.text
+                            if kind in (None, "n") and (style := int(c.get("s", 0))) < len(dated) and dated[style] and 0 <= float(v.text) < MOST_DAYS:
+                                value = _moment(float(v.text), since)
                         if value != "":
                             yield i, sheet.get("name"), int(row.get("r")), _column(c.get("r")) if c.get("r") else at, value
                     row.clear()

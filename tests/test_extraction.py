@@ -197,6 +197,25 @@ def test_office(spark, tmp_path):
     assert errors == {("bad.docx", "BadZipFile"), ("d.docx", "BadZipFile"), ("c.txt", "unsupported format"), ("e.pdf", "no reader for pdf"), ("b.xlsx", "sheet without rows")}
 
 
+def test_dates_in_sheets(spark, tmp_path):
+    """Numbers whose style shows a date or a time become text of it, by built-in and by own formats, in both calendars."""
+    s, r = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    rels = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/s1.xml"/></Relationships>'
+    formats = ((164, "dd/mm/yyyy"), (165, '0.00 "days"'), (166, "[Red]#,##0"), (167, "[h]:mm"))
+    styles = f'<styleSheet {s}><numFmts>{"".join(f"<numFmt numFmtId=\'{i}\' formatCode=\'{c.replace(chr(34), "&quot;")}\'/>" for i, c in formats)}</numFmts><cellXfs>' + "".join(f'<xf numFmtId="{i}"/>' for i in (0, 14, 164, 165, 166, 20)) + "</cellXfs></styleSheet>"
+    cells = "".join(f'<c r="{c}2" s="{i}"><v>{v}</v></c>' for c, i, v in (("A", 0, 45366), ("B", 1, 45366), ("C", 2, 45366.75), ("D", 3, 5), ("E", 4, 6), ("F", 5, 0.4375), ("G", 1, 1), ("H", 1, 9e9), ("I", 99, 7)))
+    data = f'<worksheet {s}><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>n</t></is></c></row><row r="2">{cells}</row></sheetData></worksheet>'
+    for name, later in (("a", ""), ("b", '<workbookPr date1904="1"/>')):
+        book = f'<workbook {s} {r}>{later}<sheets><sheet name="Data" r:id="r1"/></sheets></workbook>'
+        (tmp_path / f"{name}.xlsx").write_bytes(zipped(**{"xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": rels, "xl/worksheets/s1.xml": data, "xl/styles.xml": styles}))
+    made, _ = office.xlsx_elements(office.xlsx_cells(office.files(spark, str(tmp_path))))
+    rows = sorted(r["rows"][0] for r in made.collect())
+    assert rows == [
+        ["45366", "2024-03-15 00:00:00", "2024-03-15 18:00:00", "5", "6", "10:30:00", "1900-01-01 00:00:00", "9000000000.0", "7"],
+        ["45366", "2028-03-16 00:00:00", "2028-03-16 18:00:00", "5", "6", "10:30:00", "1904-01-02 00:00:00", "9000000000.0", "7"],
+    ]
+
+
 def test_streams(spark, tmp_path):
     source, table, point = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "cp")
     source.mkdir()
