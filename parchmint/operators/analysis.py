@@ -25,6 +25,7 @@ from parchmint.operators import findings as fi
 from parchmint.operators import records, rules
 from parchmint.operators.classify import capitalised_names, dates, jurisdiction, parties, summary
 from parchmint.operators.documents import clause_value, is_heading
+from parchmint.operators.names import ENTITIES, entities
 
 ELEMENT = "struct<page_no:int,el_no:int,type:string,text:string,items:array<string>,headers:array<string>,rows:array<array<string>>>"
 TYPES = tuple(ex.EXTRACTORS)
@@ -184,11 +185,15 @@ def _invoice(text: Column, elements: Column) -> Column:
     )
 
 
-def _statement(text: Column) -> Column:
+def _first_name(named: Column, chars: int) -> Column:
+    return F.try_element_at(F.filter(named, lambda e: e["start"] < chars), F.lit(1))["name"]
+
+
+def _statement(text: Column, named: Column) -> Column:
     blocks = {b: F.struct(*(fd.statement_row(text, names).alias(m) for m, names in own.items())) for b, own in fd.STATEMENT_LABELS.items()}
     period = F.substring(F.regexp_substr(text, F.lit(fd.PERIOD)), 1, 80)
     made = F.struct(
-        _none("string").alias("entity_name"), fd.statement_type(text).alias("statement_type"), period.alias("reporting_period"), fd.currency(text).alias("currency"),
+        _first_name(named, 2000).alias("entity_name"), fd.statement_type(text).alias("statement_type"), period.alias("reporting_period"), fd.currency(text).alias("currency"),
         F.coalesce(fd.group(text, fd.UNIT), F.lit("actual")).alias("unit"), *(s.alias(b) for b, s in blocks.items()), text.rlike(fd.AUDITED).alias("audited"),
     )
     return let(made, lambda s: s.withField("ratios", F.struct(*(c.alias(n) for n, c in rules.ratio(_metric(s)).items()))))
@@ -200,29 +205,34 @@ def _metric(s: Column):
     return lambda name: s[where[name]][name] if name in where else s["ratios"][name] if name.endswith("_pct") or name in ("current_ratio", "debt_to_equity") else s[name]
 
 
-def _rfp(text: Column, elements: Column) -> Column:
+def _rfp(text: Column, elements: Column, named: Column) -> Column:
     items = F.flatten(F.transform(elements, lambda e: F.coalesce(e["items"], F.array().cast(_STRINGS))))
     wanted = F.slice(F.filter(items, lambda i: F.char_length(i) > 20), 1, 20)
     requirement = lambda i: F.struct(F.lit("General").alias("category"), F.substring(i, 1, 500).alias("description"), i.rlike(fd.MANDATORY).alias("mandatory"))
     return F.struct(
-        _none("string").alias("issuing_organisation"), fd.group(text, fd.RFP_TITLE).alias("rfp_title"), fd.group(text, fd.RFP_NUMBER).alias("rfp_number"),
+        _first_name(named, 4000).alias("issuing_organisation"), fd.group(text, fd.RFP_TITLE).alias("rfp_title"), fd.group(text, fd.RFP_NUMBER).alias("rfp_number"),
         F.coalesce(fd.group(text, fd.RFP_DEADLINE), first(text, DATE)).alias("submission_deadline"), fd.group(text, fd.RFP_BUDGET).alias("contract_value"),
         F.transform(wanted, requirement).alias("requirements"), ex.criteria(text).alias("evaluation_criteria"),
         F.struct(_none("string").alias("name"), fd.email(text, -1).alias("email"), _none("string").alias("phone")).alias("contact"),
     )
 
 
-def _other(text: Column) -> Column:
+def _other(text: Column, named: Column) -> Column:
     fact = lambda s: F.struct(strip(F.regexp_extract(s, fd.FACT, 1)).alias("label"), strip(F.regexp_extract(s, fd.FACT, 2)).alias("value"))
     return F.struct(
         F.substring(strip(F.regexp_replace(F.substring(strip(text), 1, 400), r"\s+", " ")), 1, 500).alias("document_summary"),
+        F.transform(named, lambda e: F.struct(F.lit("NAME").alias("type"), e["name"].alias("name"), e["context"].alias("context"))).alias("key_entities"),
         F.slice(F.transform(F.regexp_extract_all(text, F.lit(fd.FACT), F.lit(0)), fact), 1, 15).alias("key_facts"),
         F.transform(F.slice(F.array_distinct(fd.dates(text)), 1, 8), lambda d: F.struct(d.alias("value"), F.lit("Date").alias("label"))).alias("dates"),
     )
 
 
-def payloads(docs: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """docs with kind, error and a struct column per type, of which a document fills its own."""
+def payloads(docs: DataFrame, fuzzy: bool = True, names=None) -> DataFrame:
+    """docs with kind, error and a struct column per type, of which a document fills its own.
+
+    `names` finds (name, start, end) in a text (operators.names trains such a function): the entity of a statement, the issuer of
+    a proposal and the entities of other documents; without it there are none.
+    """
     text = F.col("full_text")
     blank = strip(F.coalesce(text, F.lit(""))) == ""
     rows = docs.withColumns({
@@ -240,16 +250,18 @@ def payloads(docs: DataFrame, fuzzy: bool = True) -> DataFrame:
     else:
         rows = rows.withColumn("types", F.when(kind == "nda", _contained(headers, dims.clause_headers(nda=True))).when(kind == "contract", _contained(headers, dims.clause_headers())))
     rows = rows.withColumn("secs", F.zip_with("secs", "types", lambda s, t: F.struct(s["header"].alias("header"), s["body"].alias("body"), t.alias("kind"))))
+    rows = rows.withColumn("named", entities(F.when(kind.isin("financial_statement", "rfp", "other"), text), names, 6000) if names else F.array().cast(ENTITIES))
+    named = F.col("named")
     secs, pages, own = F.col("secs"), F.col("pages"), lambda name: (kind == name) & F.col("error").isNull()
     rows = rows.withColumns({
         "contract": F.when(own("contract"), _contract(text, clause_list(secs, tuple(dims.CLAUSE_HEADERS), text, pages, True))),
         "nda": F.when(own("nda"), _nda(text, clause_list(secs, (*dims.NDA_HEADERS, *dims.NDA_SHARED), text, pages, False))),
         "invoice": F.when(own("invoice"), _invoice(text, F.col("elements"))),
-        "financial_statement": F.when(own("financial_statement"), _statement(text)),
-        "rfp": F.when(own("rfp"), _rfp(text, F.col("elements"))),
-        "other": F.when(own("other"), _other(text)),
+        "financial_statement": F.when(own("financial_statement"), _statement(text, named)),
+        "rfp": F.when(own("rfp"), _rfp(text, F.col("elements"), named)),
+        "other": F.when(own("other"), _other(text, named)),
     })
-    return rows.drop("lines", "pages", "heads", "secs", "types", "matched", "elements", "full_text")
+    return rows.drop("lines", "pages", "heads", "secs", "types", "matched", "elements", "full_text", "named")
 
 
 # Findings in the row
@@ -351,9 +363,9 @@ def _key_fields(kind: Column) -> Column:
     )
 
 
-def analyse(docs: DataFrame, as_of: str, fuzzy: bool = True) -> DataFrame:
+def analyse(docs: DataFrame, as_of: str, fuzzy: bool = True, names=None) -> DataFrame:
     """(doc_id, doc_type, error, payload, findings, risk, record) of every document; as_of is the day that due dates are held against."""
-    rows, kind = judged(payloads(docs, fuzzy), as_of), F.col("kind")
+    rows, kind = judged(payloads(docs, fuzzy, names), as_of), F.col("kind")
     n = lambda *names: F.size(F.filter("findings", lambda f: F.lower(f["severity"]).isin(*names)))
     parties = F.when(kind == "invoice", records.invoice_parties(F.col("invoice.vendor.name"), F.col("invoice.bill_to.name"))).otherwise("Unknown")
     record = F.struct(

@@ -285,12 +285,14 @@ def document_payloads(spark, sf_dir):
 SELECT doc_id, 'March 5, 2024' AS value, 'Date' AS label, CAST(NULL AS INTEGER) AS page FROM d WHERE k % 3 <> 0
 UNION ALL SELECT 'invoice-' || o_orderkey, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d'), 'Date', NULL FROM orders WHERE o_orderkey % 3 = 0
 UNION ALL SELECT 'invoice-' || o_orderkey, strftime(CAST(CAST(o_orderdate AS DATE) + CAST(15 + o_orderkey % 90 AS INTEGER) AS DATE), '%Y-%m-%d'), 'Date', NULL FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 4 <> 0
+UNION ALL SELECT 'invoice-' || o_orderkey, o_orderkey || chr(10) || 'Issued ' || year(o_orderdate), 'Date', NULL FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey < 100
 UNION ALL SELECT 'invoice-' || o_orderkey, strftime(CAST(o_orderdate AS DATE), '%B %-d, %Y'), 'Date', NULL FROM orders WHERE o_orderkey % 3 = 1
 UNION ALL SELECT 'invoice-' || o_orderkey, strftime(CAST(CAST(o_orderdate AS DATE) + CAST(15 + o_orderkey % 90 AS INTEGER) AS DATE), '%B %-d, %Y'), 'Date', NULL FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 4 <> 0
 UNION ALL SELECT 'invoice-' || o_orderkey, strftime(CAST(o_orderdate AS DATE), '%d/%m/%Y'), 'Date', NULL FROM orders WHERE o_orderkey % 3 = 2
 UNION ALL SELECT 'invoice-' || o_orderkey, strftime(CAST(CAST(o_orderdate AS DATE) + CAST(15 + o_orderkey % 90 AS INTEGER) AS DATE), '%d/%m/%Y'), 'Date', NULL FROM orders WHERE o_orderkey % 3 = 2 AND o_orderkey % 4 <> 0""")
 def document_dates(spark, sf_dir):
-    """Dates of invoices and proposals, each value once. Their contexts run over several elements, so none stands on a page."""
+    """Dates of invoices and proposals, each value once. A number, a word and a year count as a date, over a line's end too, as in `12\nIssued 1997`. Contexts
+    run over several elements, so none stands on a page."""
     docs = documents(spark, sf_dir).filter("doc_type IN ('invoice', 'rfp')")
     return analysis.classified(docs).select("doc_id", F.explode("dates").alias("d")).select("doc_id", "d.value", "d.label", "d.page")
 

@@ -7,7 +7,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from parchmint.plans import extraction_queries, mixed, varied_queries, varied_records  # noqa: F401
+from parchmint.plans import extraction_queries, letters, mixed, varied_queries, varied_records  # noqa: F401
 from parchmint.plans.queries import ORACLES, QUERIES
 
 
