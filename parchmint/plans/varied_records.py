@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchmint.functions import text as tx
-from parchmint.operators import classify, documents, elements, records, validators
+from parchmint.operators import classify, documents, elements, extract, records, validators
 from parchmint.plans import fixtures as fx
 from parchmint.plans.queries import query
 
@@ -250,3 +250,38 @@ def parties_texts(spark, sf_dir):
     rows = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), _VENDOR.column().alias("v"), F.when(F.col("c_custkey") % 5 != 0, _BUYER.column()).alias("b"))
     names = F.when(F.col("doc_id") % 6 == 0, F.array().cast("array<string>")).otherwise(F.array("v", "b"))
     return rows.select("doc_id", records.invoice_parties(F.col("v"), F.col("b")).alias("invoice_parties"), records.joined_parties(names).alias("parties"))
+
+
+# Laws and jurisdictions by each of their patterns, in order
+
+_LAWS = (
+    ("It is governed by the laws of Utopia.", "Utopia"), ("The courts of North Ruritania, sitting in town, decide.", "North Ruritania"), ("Exclusive jurisdiction of Elbonia; no other.", "Elbonia"),
+    ("The jurisdiction shall be Freedonia.", "Freedonia"), ("No law is named here.", None), ("Courts of Osterlich shall decide; governed by law of Genovia.", "Genovia"),
+    ("Jurisdiction shall be Sylvania. The courts of Borduria, though.", "Borduria"), ("governed by law of the sea, and courts of Graustark.", "the sea"),
+)
+_JURISDICTIONS = (
+    ("This is governed by the laws of the State of Utopia and others.", "Utopia"), ("The courts of North Ruritania will decide.", "North Ruritania"), ("The venue shall be in Elbonia.", "Elbonia"),
+    ("subject to the exclusive jurisdiction of Freedonia;", "Freedonia"), ("The applicable law is the law of Genovia.", "Genovia"), ("It is construed in accordance with the laws of Sylvania,", "Sylvania"),
+    ("Nothing of the kind.", None), ("Governed by the laws of the courts of, venue will be Borduria.", "Borduria"), ("Courts of Old (Upper) Graustark-on-Sea, that is", "Old (Upper) Graustark-on-Sea"),
+)
+
+
+def _cases(cases) -> str:
+    return "CASE doc_id % {} {} END".format(len(cases), " ".join(f"WHEN {i} THEN {'NULL' if v is None else _quoted(v)}" for i, (_, v) in enumerate(cases)))
+
+
+def _prefixed(spark, sf_dir, cases) -> DataFrame:
+    said = F.element_at(F.array(*(F.lit(t) for t, _ in cases)), (F.col("doc_id") % len(cases) + 1).cast("int"))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", F.concat(said, F.lit("\n"), "text").alias("t"))
+
+
+@query("governing_law_forms", f"SELECT doc_id, {_cases(_LAWS)} AS governing_law FROM documents")
+def governing_law_forms(spark, sf_dir):
+    """The first of four patterns that a text has, whatever their order in it."""
+    return _prefixed(spark, sf_dir, _LAWS).select("doc_id", extract.governing_law(F.col("t")).alias("governing_law"))
+
+
+@query("jurisdiction_forms", f"SELECT doc_id, {_cases(_JURISDICTIONS)} AS jurisdiction FROM documents")
+def jurisdiction_forms(spark, sf_dir):
+    """The first of six patterns whose value, without words of noise, has three characters."""
+    return _prefixed(spark, sf_dir, _JURISDICTIONS).select("doc_id", classify.jurisdiction(F.col("t"))["value"].alias("jurisdiction"))
