@@ -205,3 +205,25 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert {r["doc_id"] for r in got} <= want and len({r["doc_id"] for r in got}) >= 0.5 * len(want)
     for r in got:
         assert r["decoded_sha256"] == hashlib.sha256(kept[r["doc_id"]].encode()).hexdigest()
+
+
+def test_url_weights_equal_plain_gradient_steps(spark):
+    """The regression's weights by numpy: the dual steps over the matrix of common features, and the score of urls from them."""
+    rows = urlfilter.parsed(urlfilter.labelled_urls(spark)).select("host", "path", "blocked", urlfilter.features(F.col("host"), F.col("path")).alias("f")).distinct().collect()
+    y = np.array([float(r["blocked"]) for r in rows])
+    sets = [set(r["f"]) for r in rows]
+    norm = np.sqrt([max(len(s), 1) for s in sets])
+    gram = np.array([[len(a & b) / (p * q) + 1 for b, q in zip(sets, norm, strict=True)] for a, p in zip(sets, norm, strict=True)])
+    a = np.zeros(len(y))
+    for _ in range(urlfilter.STEPS):
+        a = a * (1 - urlfilter.RATE * urlfilter.PENALTY) + urlfilter.RATE * (y - 1 / (1 + np.exp(-gram @ a)))
+    want = {}
+    for s, p, c in zip(sets, norm, a, strict=True):
+        for b in s:
+            want[b] = want.get(b, 0.0) + c / p
+    weights, intercept = urlfilter.fit(urlfilter.labelled_urls(spark))
+    assert set(weights) == set(want) and all(abs(weights[b] - w) < 1e-9 for b, w in want.items()) and abs(intercept - a.sum()) < 1e-9
+    urls = spark.createDataFrame([("http://free-casino.example/x",), ("https://library.example/books",), ("nothing",), (None,)], "url string")
+    for r in urlfilter.filter_urls(urls, (weights, intercept)).collect():
+        f = urlfilter.parsed(spark.createDataFrame([(r["url"],)], "url string")).select(urlfilter.features(F.col("host"), F.col("path"))).first()[0]
+        assert abs(r["score"] - (1 / (1 + np.exp(-(sum(want.get(b, 0.0) for b in f) / np.sqrt(max(len(f), 1)) + a.sum()))) if f else 0.0)) < 1e-9
