@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import checkpointed
+from parchmint.llm.common import checkpointed, partitions
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step: each node's neighbours (the larger ones, or the others) are tied to its smallest neighbour or itself."""
+    """One step: each node's neighbours (the larger ones, or the others) are tied to its smallest neighbour or itself.
+
+    A node's ties are dealt out by salt, one shuffle for both the minimum and the join: the minimum of each (node, salt) is
+    taken where the ties are, that of the node goes back to its salts only. So no task gets all ties of a hub.
+    """
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     if not large:
         both = both.filter("v < u")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    tied = both.join(least, "u")
+    salts = partitions(edges.sparkSession)
+    both = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).repartition(salts, "u", "salt")
+    parts = both.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.least("u", F.min("m")).alias("m"), F.collect_list("salt").alias("salts"))
+    tied = both.join(least.select("u", "m", F.explode("salts").alias("salt")), ["u", "salt"])
     if large:
         return tied.filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     return tied.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()

@@ -195,3 +195,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     components_ = components(ties.union(members.select(F.col("doc_id").alias("u"), F.col("id").alias("v")))).toDF("doc_id", "component")
     every = docs.select(F.col(doc_id).cast("long").alias("doc_id")).join(components_, "doc_id", "left")
     return every.select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join of bands with Jaccard verified, over all documents: what the fingerprints of op5 are for."""
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+ORACLE_NEAR_COPIES = r"""WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i : i + 4], ' ')))) AS s FROM words WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT u, v FROM common c JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)),
+reach AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v)
+SELECT d.doc_id, least(d.doc_id, coalesce(min(r.v), d.doc_id)) AS component_id FROM documents d LEFT JOIN reach r ON r.u = d.doc_id GROUP BY d.doc_id"""

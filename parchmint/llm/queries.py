@@ -10,7 +10,7 @@ from parchmint.llm.jaccard import op9_jaccard
 from parchmint.llm.langid import op1_langid
 from parchmint.llm.licenses import op2_licenses
 from parchmint.llm.linededup import ORACLE_OP4, op4_linededup
-from parchmint.llm.minhash import op5_minhash
+from parchmint.llm.minhash import ORACLE_NEAR_COPIES, near_copies, op5_minhash
 from parchmint.llm.mixing import op7_mixing
 from parchmint.llm.pii import op8_pii
 from parchmint.llm.urlfilter import op10_urlfilter
@@ -30,5 +30,6 @@ QUERIES = {
     "op11_warc": op11_warc,
     "op12_hardneg": op12_hardneg,
     "op13_conversations": op13_conversations,
+    "near_copies": near_copies,
 }
-ORACLES = {"op4_linededup": ORACLE_OP4, "op11_warc": ORACLE_OP11, "op12_hardneg": ORACLE_OP12, "op13_conversations": ORACLE_OP13}
+ORACLES = {"op4_linededup": ORACLE_OP4, "op11_warc": ORACLE_OP11, "op12_hardneg": ORACLE_OP12, "op13_conversations": ORACLE_OP13, "near_copies": ORACLE_NEAR_COPIES}

@@ -1,5 +1,7 @@
 """Near copies just at the threshold, and rows that share an id."""
 
+import duckdb
+
 from parchmint.llm import minhash
 
 
@@ -20,3 +22,13 @@ def test_near_duplicates_of_one_id_and_two_texts(spark):
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r[0]), r[1]) for r in got if r[0] is not None) == [("3", 3), ("5", 3), ("5", 3), ("7", 3), ("9", 9), ("9", 9)]
     assert [r[1] for r in got if r[0] is None] == [None, None]
+
+
+def test_near_copies_sql(spark):
+    """The join of bands finds what every pair of sets, compared exactly, has."""
+    where = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{where}/documents.parquet'")
+    want = con.execute(minhash.ORACLE_NEAR_COPIES).fetchall()
+    got = minhash.near_copies(spark, where).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and any(d != c for d, c in want)

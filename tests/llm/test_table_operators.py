@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parchmint.llm import embeddings, jaccard, linededup, minhash, mixing
-from parchmint.llm.components import components
+from parchmint.llm.components import _star, components
 
 TEXTS = ["", None, " ", "one", "one two", "a b c d e f", "A b c d e f", "x\ny", "w " * 3000]
 
@@ -48,6 +48,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_hubs(spark):
+    """Hubs with thousands of ties, small and large ids, joined by a path; no task of the join gets all ties of a hub."""
+    links = [(0, i) for i in range(10, 4000)] + [(9_000, i) for i in range(4000, 8000)] + [(3999, 8500), (8500, 4000), (20_000, 20_001)]
+    edges = spark.createDataFrame(links, "u long, v long")
+    got = dict(components(edges).collect())
+    assert got == union_find({n for link in links for n in link}, links)
+    flat = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    plan = _star(flat, True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "salt" in plan.split("Join Inner")[1].splitlines()[0]
+
+
 def test_line_dedup_sql(spark, docs, sf_dir):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
