@@ -67,21 +67,12 @@ def fuzzy_types(headers: Column, kind: Column, threshold: float = 75) -> Column:
 
     @F.pandas_udf("struct<types:array<string>,error:string>")
     def match(headers: pd.Series, kinds: pd.Series) -> pd.DataFrame:
-        @lru_cache(maxsize=100_000)
-        def best(kind, name):
-            top, found = 0.0, None
-            for clause_type, variant in tables[kind]:
-                score = ex.partial_ratio(name, variant)
-                if score > top:
-                    top, found = score, clause_type
-                if top == 100:
-                    break
-            return found if top >= threshold else None
+        likest = {k: lru_cache(maxsize=100_000)(ex.likest(t, threshold)) for k, t in tables.items()}
 
         out = []
         for names, kind in zip(headers, kinds, strict=True):
             try:
-                out.append(([best(kind, n.lower()) if n else None for n in names] if names is not None and kind in tables else None, None))
+                out.append(([likest[kind](n.lower()) if n else None for n in names] if names is not None and kind in tables else None, None))
             except Exception as e:  # one document's headings don't fail the others'
                 out.append((None, f"headings: {e}"))
         return pd.DataFrame(out, columns=["types", "error"])

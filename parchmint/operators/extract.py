@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,26 +58,65 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
+def likest(table: list[tuple[str, str]], threshold: float = 75):
+    """A function from a heading in lower case to the type of its likest variant: the first in order among equals, null below the threshold.
+
+    `table` has (type, variant in lower case). Variants are found by an index of their letters and pairs of letters, and only those are
+    scored that can reach the threshold. The bounds are exact: a window of w letters that has a subsequence of c in common with the
+    shorter text of m reaches it only if c >= r * (m + w), r = threshold / 200, and so w >= c >= r / (1 - r) * m. Of the m - 1 pairs of
+    the shorter text a letter left out breaks two at most, one put in breaks one: m - 1 - 2 * (m - c) - (w - c) are in the window too.
+    """
+    r = threshold / 200
+    least_window = r / (1 - r)
+    variants = [v for _, v in table]
+    sizes = np.array([len(v) for v in variants])
+    grams = [Counter([*v, *map("".join, pairwise(v))]) for v in variants]
+    column = {g: i for i, g in enumerate(sorted({g for c in grams for g in c}))}
+    single = np.array([len(g) == 1 for g in sorted(column)], bool)
+    # A column is a gram's list of postings: how often each variant has it.
+    postings = np.zeros((len(column), len(variants)), np.int32)
+    for j, c in enumerate(grams):
+        for g, n in c.items():
+            postings[column[g], j] = n
+
+    def shared(found: dict[int, int]) -> np.ndarray:
+        rows = list(found)
+        return np.minimum(postings[rows], np.array(list(found.values()), np.int32)[:, None]).sum(axis=0) if rows else np.zeros(len(variants), np.int32)
+
+    def best(name: str) -> str | None:
+        own = {column[g]: n for g, n in Counter([*name, *map("".join, pairwise(name))]).items() if g in column}
+        m = np.minimum(sizes, len(name))
+        letters, pairs = (shared({i: n for i, n in own.items() if single[i] == kind}) for kind in (True, False))
+        broken = np.maximum(*((2 - 3 * r) * m + (1 - 3 * r) * w for w in (m, least_window * m)))
+        candidates = np.flatnonzero((letters >= least_window * m - 1e-9) & (pairs >= m - 1 - broken - 1e-9))
+        most = 200.0 * np.minimum(letters, m) / (m + np.minimum(letters, m) + 1e-12)
+        top, kind = 0.0, None
+        for j in candidates:
+            # No window can be liker than one of just the letters in common.
+            if most[j] + 1e-6 < top:
+                continue
+            score = partial_ratio(name, variants[j])
+            if score > top:
+                top, kind = score, table[j][0]
+            if top == 100:
+                break
+        return kind if top >= threshold else None
+
+    return best
+
+
 def match_headers_fuzzy(headers: DataFrame, table: list[tuple[str, str]], threshold: float = 75) -> DataFrame:
     """(header, clause_type): the type of the likest variant, the first in order among equals, null below the threshold.
 
-    Only distinct headings are scored; the constant table travels with the function.
+    Only distinct headings are looked up, and scored against the candidates of `likest`; the constant table travels with the function.
     """
     rows = [(kind, variant.lower()) for kind, variant in table]
 
     @F.pandas_udf("string")
-    def best(names: pd.Series) -> pd.Series:
-        def one(name):
-            top, found = 0.0, None
-            for kind, variant in rows:
-                score = partial_ratio(name, variant)
-                if score > top:
-                    top, found = score, kind
-                if top == 100:
-                    break
-            return found if top >= threshold else None
-
-        return names.map(one)
+    def best(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        found = likest(rows, threshold)
+        for names in batches:
+            yield names.map(found)
 
     return headers.filter("header <> ''").select("header").distinct().withColumn("clause_type", best(F.lower("header")))
 

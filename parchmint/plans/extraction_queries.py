@@ -237,6 +237,24 @@ def header_fuzzy_match(spark, sf_dir):
     return extract.match_headers_fuzzy(sections(fx.contracts(spark, sf_dir)), dims.clause_headers())
 
 
+@query("headings_varied")
+def headings_varied(spark, sf_dir):
+    """Headings with up to two letters left out, doubled, changed or put in, and two headings in one, by the numbers of each line."""
+    names = [v for _, v in dims.clause_headers(nda=True)]
+    name = lambda k: F.element_at(F.array(*map(F.lit, names)), (F.col(k) % len(names) + 1).cast("int"))
+
+    def edited(text, place, how):
+        at = (place % F.length(text) + 1).cast("int")
+        head, letter, rest = F.substring(text, F.lit(1), at - 1), F.substring(text, at, F.lit(1)), F.substring(text, at + 1, F.length(text))
+        new = F.element_at(F.array(F.lit(""), F.concat(letter, letter), F.lit("x"), F.concat(F.lit(" "), letter), letter), (how % 5 + 1).cast("int"))
+        return F.concat(head, new, rest)
+
+    once = edited(name("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber"))
+    twice = edited(once, F.col("l_suppkey"), F.col("l_partkey"))
+    header = F.when(F.col("l_suppkey") % 7 == 0, F.concat(twice, F.lit(" and "), name("l_suppkey"))).otherwise(twice)
+    return extract.match_headers_fuzzy(fx.table(spark, sf_dir, "lineitem").select(F.initcap(header).alias("header")), dims.clause_headers(nda=True))
+
+
 @query("document_metadata")
 def document_metadata(spark, sf_dir):
     """Type by the nearest prototypes, jurisdiction, dates, parties and summary of contracts."""

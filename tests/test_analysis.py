@@ -2,6 +2,7 @@
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +153,37 @@ def test_fuzzy_headings_against_plain_subsequences(spark):
     rows = spark.createDataFrame([(h,) for h in headings], "header string")
     got = {r.header: r.clause_type for r in extract.match_headers_fuzzy(rows, dims.clause_headers(nda=True)).collect()}
     assert got == {h: k for h, k in want.items() if h} and len(set(want.values())) > 10
+
+
+def test_headings_varied_against_every_variant(spark, sf_dir):
+    """What the index leaves out could never be the answer: all varied headings of a table, scored against every variant."""
+    from parchmint.plans import extraction_queries
+
+    table = [(k, v.lower()) for k, v in dims.clause_headers(nda=True)]
+    found = extraction_queries.headings_varied(spark, sf_dir)
+
+    @F.pandas_udf("string")
+    def plain(names: pd.Series) -> pd.Series:
+        def one(name):
+            scores = [extract.partial_ratio(name, v) for _, v in table]
+            return table[scores.index(max(scores))][0] if max(scores) >= 75 else None
+
+        return names.map(one)
+
+    odd = spark.createDataFrame([("A",), ("zz",), ("Fees " * 40,), ("\u00c9t\u00e9",), (" ",)], "header string")
+    rows = found.union(extract.match_headers_fuzzy(odd, dims.clause_headers(nda=True))).withColumn("want", plain(F.lower("header")))
+    got = [(r.header, r.clause_type, r.want) for r in rows.collect()]
+    assert [g for g in got if g[1] != g[2]] == [] and len(got) > 3000 and len({g[1] for g in got}) > 10
+
+
+@pytest.mark.parametrize("threshold", [40, 60, 75, 90, 100])
+def test_likest_at_other_thresholds(threshold):
+    import random
+
+    rng = random.Random(threshold)
+    table = [(str(i), "".join(rng.choice("abc d") for _ in range(rng.randrange(1, 14)))) for i in range(60)]
+    best = extract.likest(table, threshold)
+    for _ in range(400):
+        name = "".join(rng.choice("abc d") for _ in range(rng.randrange(1, 20)))
+        scores = [extract.partial_ratio(name, v) for _, v in table]
+        assert best(name) == (table[scores.index(max(scores))][0] if max(scores) >= threshold else None)
