@@ -14,16 +14,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     A node's ties are dealt out by salt, one shuffle for both the minimum and the join: the minimum of each (node, salt) is
     taken where the ties are, that of the node goes back to its salts only. So no task gets all ties of a hub.
     """
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    if not large:
-        both = both.filter("v < u")
-    salts = partitions(edges.sparkSession)
-    both = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).repartition(salts, "u", "salt")
+    # All edges go from the larger node to the smaller one, so the others of a step for smaller neighbours are the edges themselves.
+    both = edges.select("u", "v")
+    if large:
+        both = both.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(partitions(edges.sparkSession))).cast("int")).repartition("u", "salt")
     parts = both.groupBy("u", "salt").agg(F.min("v").alias("m"))
     least = parts.groupBy("u").agg(F.least("u", F.min("m")).alias("m"), F.collect_list("salt").alias("salts"))
     tied = both.join(least.select("u", "m", F.explode("salts").alias("salt")), ["u", "salt"])
     if large:
-        return tied.filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Repeated ties, never more than there are edges, go with the next step.
+        return tied.filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
