@@ -6,6 +6,8 @@ All are built-in expressions. Null text gives null (probes too); a field that is
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ AMOUNT_LABELS = {
     "discount": r"discount",
     "total_amount": r"(?:total\s+(?:amount\s+)?due|total\s+payable|amount\s+due|grand\s+total|total)",
 }
+#: Words of which a text with the label has one.
+AMOUNT_WORDS = {"subtotal": ("sub", "net"), "tax_amount": ("tax", "vat", "gst"), "discount": ("discount",), "total_amount": ("total", "amount")}
 AMOUNT_TAIL = r"[:\s]*([£\$€]?\s*[\d,]+(?:\.\d{1,2})?)"
 BANK = {
     "bank_name": r"(?i)(?:bank\s*name|bank)[:\s]+([A-Za-z\s&]+?)(?:\n|,|$)",
@@ -32,6 +36,7 @@ BANK = {
     "iban": r"(?i)\b((?:[A-Z]{2}\d{2}[\s\-]?){4,}[A-Z0-9]*)\b",
     "swift": r"(?i)\b(?:SWIFT|BIC)[:\s]+([A-Z]{6}[A-Z0-9]{2,5})\b",
 }
+BANK_WORDS = {"bank_name": ("bank",), "account_number": ("account",), "sort_code": ("sort",), "swift": ("swift", "bic")}
 STATEMENT_LABELS = {
     "income_statement": {
         "revenue": ("revenue", "total revenue", "net revenue", "sales", "turnover"),
@@ -86,6 +91,12 @@ CRITERIA = r"(?is)(?:evaluation\s+criteria?|scoring\s+criteria?)[:\n](.{50,800}?
 FACT = r"(?m)^([A-Z][A-Za-z\s]{2,50}?)\s*:\s*(.{3,200}?)$"
 
 
+def holds(text: Column, *words: str) -> Column:
+    """Whether a text has one of some words, whatever the case: a cheap test before a pattern that can't match without."""
+    low = F.lower(text)
+    return reduce(Column.__or__, (low.contains(w) for w in words))
+
+
 def group(text: Column, pattern: str, n: int = 1) -> Column:
     """What a group of the first match holds, trimmed; null without a match."""
     return F.nullif(strip(F.regexp_extract(text, pattern, n)), F.lit(""))
@@ -93,7 +104,7 @@ def group(text: Column, pattern: str, n: int = 1) -> Column:
 
 def email(text: Column, nth: int) -> Column:
     """The nth address, from 1, or from the end, from -1."""
-    return F.try_element_at(F.regexp_extract_all(text, F.lit(r"\b" + EMAIL + r"\b"), F.lit(0)), F.lit(nth))
+    return F.when(text.contains("@"), F.try_element_at(F.regexp_extract_all(text, F.lit(r"\b" + EMAIL + r"\b"), F.lit(0)), F.lit(nth)))
 
 
 def phone(text: Column) -> Column:
@@ -107,7 +118,12 @@ def currency(text: Column) -> Column:
 
 def labelled_amount(text: Column, field: str) -> Column:
     """The amount after the first place of a label. `total` has no boundary before it, so `Subtotal: 100` answers for it too."""
-    return parse_number(F.nullif(F.regexp_extract(text, "(?i)" + AMOUNT_LABELS[field] + AMOUNT_TAIL, 1), F.lit("")))
+    return F.when(holds(text, *AMOUNT_WORDS[field]), parse_number(F.nullif(F.regexp_extract(text, "(?i)" + AMOUNT_LABELS[field] + AMOUNT_TAIL, 1), F.lit(""))))
+
+
+def bank(text: Column, field: str) -> Column:
+    found = group(text, BANK[field])
+    return F.when(holds(text, *BANK_WORDS[field]), found) if field in BANK_WORDS else found
 
 
 def total_from_whole_word(text: Column) -> Column:
@@ -124,7 +140,8 @@ def statement_row(text: Column, labels: tuple[str, ...]) -> Column:
     found = []
     for label in labels:
         raw = F.regexp_extract(text, r"(?imd)^.*\b" + label.replace("-", r"\-") + ROW_TAIL, 1)
-        found.append(F.translate(F.replace(raw, F.lit("("), F.lit("-")), "), ", "").try_cast("double"))
+        value = F.translate(F.replace(F.nullif(raw, F.lit("")), F.lit("("), F.lit("-")), "), ", "").try_cast("double")
+        found.append(F.when(holds(text, label), value))
     return F.coalesce(*found)
 
 

@@ -13,12 +13,17 @@ MONEY = (
 DURATION = r"(?i)\b(?:\w+\s+)?\(?(\d+)\)?\s*(?:calendar\s+)?(?:business\s+)?(?:days?|weeks?|months?|years?)\b"
 PAYMENT_TERMS = r"(?i)\b(?:net\s+\d+(?:\s+days?)?|due\s+on\s+receipt|payable\s+(?:within|in)\s+\d+\s+days?)\b"
 DATE = (
-    r"(?i)\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}"
-    r"|\b\d{1,2}[\/\-]\d{1,2}[\/\-]\d{2,4}\b|\b\d{4}[\/\-]\d{1,2}[\/\-]\d{1,2}\b"
+    r"(?i)\b(?:(?=[ADFJMNOS])(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}"
+    r"|(?=\d)(?:\d{1,2}[\/\-]\d{1,2}[\/\-]\d{2,4}\b|\d{4}[\/\-]\d{1,2}[\/\-]\d{1,2}\b))"
 )
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(text: Column) -> Column:
     """Without blanks, tabs and line ends at both ends."""
     return F.trim(text, F.lit(" \t\n\r\f\x0b"))
@@ -49,21 +54,31 @@ def parse_number(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\d.]", "").try_cast("double") * scale
 
 
-def _first_date(text: Column, formats: tuple[str, ...]) -> Column:
-    return F.coalesce(*(F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in formats))
+def _first_date(text: Column, formats: dict[str, str]) -> Column:
+    """formats: each with a shape that whatever it reads has, as a format that fails costs an exception of the JVM."""
+    return F.coalesce(*(F.when(text.rlike(shape), F.to_date(F.try_to_timestamp(text, F.lit(f)))) for f, shape in formats.items()))
+
+
+#: Formats of dates and the shapes of what they can read. A year may have a sign.
+LOOSE_FORMATS = {
+    "MMMM d, yyyy": r"^\pL+ [^, ]+, ", "MMMM d yyyy": r"^\pL+ [^, ]+ ", "d MMMM yyyy": r"^\S+ \pL+ ", "d MMMM, yyyy": r"^\S+ \pL+, ", "d/M/yyyy": r"^[^/]+/[^/]+/[^/]+$", "M/d/yyyy": r"^[^/]+/[^/]+/[^/]+$",
+    "yyyy-M-d": r"^[+-]?\d{4,}-", "d-M-yyyy": r"^\d+-\d+-[+-]?\d{4,}$", "M-d-yyyy": r"^\d+-\d+-[+-]?\d{4,}$", "d.M.yyyy": r"\..*\.",
+}
+STRICT_FORMATS = {
+    "d-MMM-yyyy": r"^\d+-[A-Za-z]{3,4}-", "yyyy-M-d": r"^\d{4,}-", "d-M-yyyy": r"^\d+-\d+-+\d{4,}$", "d-MMMM-yyyy": r"^\d+-[A-Za-z]+-", "MMMM-d--yyyy": r"^[A-Za-z]+-.*--",
+}
 
 
 def parse_date_loose(text: Column) -> Column:
     """Dates of anomaly rules, by the first format that fits: month names with or without a comma, the day before the month where
     both fit. Whole text only; null if none fits."""
-    formats = ("MMMM d, yyyy", "MMMM d yyyy", "d MMMM yyyy", "d MMMM, yyyy", "d/M/yyyy", "M/d/yyyy", "yyyy-M-d", "d-M-yyyy", "M-d-yyyy", "d.M.yyyy")
-    return _first_date(F.rtrim(strip(text), F.lit(".,;")), formats)
+    return _first_date(F.rtrim(strip(text), F.lit(".,;")), LOOSE_FORMATS)
 
 
 def parse_date_strict(text: Column) -> Column:
     """Dates of cross-document rules: whatever is no letter or digit is a dash, dashes at the ends go; never the month first."""
     dashed = F.trim(F.regexp_replace(text, r"[^A-Za-z0-9]", "-"), F.lit("-"))
-    return _first_date(dashed, ("d-MMM-yyyy", "yyyy-M-d", "d-M-yyyy", "d-MMMM-yyyy", "MMMM-d--yyyy"))
+    return _first_date(dashed, STRICT_FORMATS)
 
 
 def emails(text: Column) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from parchmint import dims
 from parchmint.functions import fields as fd
-from parchmint.functions.text import DATE, DURATION, MONEY, PAYMENT_TERMS, first, parse_number, strip
+from parchmint.functions.text import DATE, DURATION, MONEY, PAYMENT_TERMS, first, let, parse_number, strip
 from parchmint.operators import extract as ex
 from parchmint.operators import findings as fi
 from parchmint.operators import records, rules
@@ -33,11 +33,6 @@ CLAUSAL = ("contract", "nda")
 _STRINGS = "array<string>"
 
 
-def let(value: Column, use) -> Column:
-    """use(value), with the value computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _none(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
@@ -172,7 +167,7 @@ def _invoice(text: Column, elements: Column) -> Column:
         vendor.alias("vendor"), bill_to.alias("bill_to"), fd.group(text, fd.INVOICE_NUMBER).alias("invoice_number"), date(1).alias("invoice_date"), date(2).alias("due_date"),
         fd.group(text, fd.PO_NUMBER).alias("purchase_order"), fd.currency(text).alias("currency"), items_of(elements).alias("line_items"),
         *(fd.labelled_amount(text, f).alias(f) for f in fd.AMOUNT_LABELS), first(text, PAYMENT_TERMS).alias("payment_terms"), none.alias("payment_method"),
-        F.struct(*(fd.group(text, p).alias(f) for f, p in fd.BANK.items())).alias("bank_details"), none.alias("notes"),
+        F.struct(*(fd.bank(text, f).alias(f) for f in fd.BANK)).alias("bank_details"), none.alias("notes"),
     )
 
 

@@ -164,7 +164,7 @@ def invoice_header(texts: DataFrame) -> DataFrame:
         "doc_id", F.lit(None).cast("string").alias("vendor_name"), fd.email(t, 1).alias("vendor_email"), fd.phone(t).alias("vendor_phone"), fd.group(t, fd.TAX_ID).alias("vendor_tax_id"),
         fd.email(t, 2).alias("bill_to_email"), fd.group(t, fd.INVOICE_NUMBER).alias("invoice_number"), date(1).alias("invoice_date"), date(2).alias("due_date"),
         fd.group(t, fd.PO_NUMBER).alias("purchase_order"), fd.currency(t).alias("currency"), first(t, PAYMENT_TERMS).alias("payment_terms"),
-        *(fd.labelled_amount(t, f).alias(f) for f in fd.AMOUNT_LABELS), *(fd.group(t, p).alias(f) for f, p in fd.BANK.items()),
+        *(fd.labelled_amount(t, f).alias(f) for f in fd.AMOUNT_LABELS), *(fd.bank(t, f).alias(f) for f in fd.BANK),
     )
 
 

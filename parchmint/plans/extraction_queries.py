@@ -35,7 +35,8 @@ def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 2 == 0, F.lit("Amounts in EUR")), F.concat(F.lit("billing@vendor"), s(k % 7), F.lit(".com payer@client"), s(k % 11), F.lit(".org")), F.when(k % 5 != 0, F.lit("Net 45 days")),
         F.concat(F.lit("Subtotal: "), money(price)), F.concat(F.lit("Tax: $"), money(price)), F.concat(F.lit("Grand Total: "), money(price)), F.lit("Sort Code: 12-34-56"), F.lit("SWIFT: ABCDGB2L"),
     )
-    return fx.table(spark, sf_dir, "orders").select(k.alias("doc_id"), fx.once(text).alias("full_text"))
+    orders = fx.spread(fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), "o_orderkey")
+    return orders.select(k.alias("doc_id"), fx.once(text).alias("full_text"))
 
 
 INVOICE_TEXTS_SQL = """
@@ -110,7 +111,7 @@ def statement_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     show = lambda c: F.when(F.col(c) < 0, F.concat(F.lit("("), F.format_number(-F.col(c), 0), F.lit(")"))).otherwise(F.format_number(c, 0))
     lines = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{label}: "), show(c))) for c, label in _SHOWN.items()]
     foot = F.when(F.col("audited"), "Audited by an independent auditor.").otherwise("Unaudited accounts, in thousands")
-    return fx.statements(spark, sf_dir).select("doc_id", fx.once(F.concat_ws("\n", *lines, foot)).alias("full_text"))
+    return fx.spread(fx.statements(spark, sf_dir), "doc_id").select("doc_id", fx.once(F.concat_ws("\n", *lines, foot)).alias("full_text"))
 
 
 @query("statement_extract", f"""WITH {fx.STATEMENTS_SQL}
@@ -142,7 +143,7 @@ def rfp_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Budget: $"), k, F.lit(" million")), F.expr("CASE WHEN s_suppkey % 4 <> 0 THEN 'Questions to ask@buyer.org' END"),
     )
     text = F.concat(head, F.lit("\nEvaluation criteria:\n"), F.concat_ws("\n", *lines), F.lit("\n\nEnd."))
-    return fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), fx.once(text).alias("full_text"))
+    return fx.spread(fx.table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey").select(F.col("s_suppkey").alias("doc_id"), fx.once(text).alias("full_text"))
 
 
 @query("rfp_header_extract", """SELECT s_suppkey AS doc_id, 'Supply of goods, lot ' || s_suppkey AS rfp_title, 'R/' || s_suppkey AS rfp_number, CASE WHEN s_suppkey % 3 <> 0 THEN 'March 5, 2024 at noon' END AS submission_deadline,
