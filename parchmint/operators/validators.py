@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchmint.functions import fields as fd
-from parchmint.functions.text import strip
+from parchmint.functions.text import let, strip
 from parchmint import dims
 
 STATUSES = ("present", "missing", "explicitly_waived")
@@ -77,7 +77,9 @@ def _clauses(v: Column, types: tuple[str, ...], fallback: str) -> Column:
 
     given = each(v, "clauses", one)
     none = lambda t: F.struct(t.alias("clause_type"), F.lit("missing").alias("status"), *(F.lit(None).cast("string").alias(c) for c in ("value", "raw_text", "notes")))
-    return F.transform(F.array(*map(F.lit, types)), lambda t: F.coalesce(F.try_element_at(F.filter(given, lambda c: c["clause_type"] == t), F.lit(1)), none(t)))
+    own = lambda found: lambda t: F.coalesce(F.try_element_at(F.filter(found, lambda c: c["clause_type"] == t), F.lit(1)), none(t))
+    # Parsed once, not once a type.
+    return let(given, lambda found: F.transform(F.array(*map(F.lit, types)), own(found)))
 
 
 def _fields(raw: DataFrame, make: Callable[[Column], dict[str, Column]]) -> DataFrame:

@@ -65,7 +65,7 @@ _CLASSIFIED = _joined(
 
 
 def _raw(spark, sf_dir, payload) -> DataFrame:
-    return fx.table(spark, sf_dir, "orders").select(F.col(_KEY).alias("doc_id"), payload.column().alias("payload"))
+    return fx.spread(fx.table(spark, sf_dir, "orders").select(_KEY), _KEY).select(F.col(_KEY).alias("doc_id"), payload.column().alias("payload"))
 
 
 def _answers(payload) -> str:
