@@ -44,14 +44,17 @@ def parse_days(text: Column) -> Column:
 
 def parse_number(text: Column) -> Column:
     """A number with its scale word or suffix; the sign is not read; null if the digits aren't a number."""
-    low = F.lower(F.trim(text))
-    scale = (
-        F.when(low.contains("billion") | low.endswith("b"), 1e9)
-        .when(low.contains("million") | low.endswith("m"), 1e6)
-        .when(low.contains("thousand") | low.endswith("k"), 1e3)
-        .otherwise(1.0)
-    )
-    return F.regexp_replace(text, r"[^\d.]", "").try_cast("double") * scale
+
+    def scale(low):
+        return (
+            F.when(low.contains("billion") | low.endswith("b"), 1e9)
+            .when(low.contains("million") | low.endswith("m"), 1e6)
+            .when(low.contains("thousand") | low.endswith("k"), 1e3)
+            .otherwise(1.0)
+        )
+
+    # The text may be a match of a pattern: it is made once, however often it is looked at.
+    return let(text, lambda t: F.regexp_replace(t, r"[^\d.]", "").try_cast("double") * let(F.lower(F.trim(t)), scale))
 
 
 def _first_date(text: Column, formats: dict[str, str]) -> Column:

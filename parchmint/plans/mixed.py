@@ -49,7 +49,7 @@ def nda_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         said = F.replace(F.lit(f"{head}\n{body}"), F.lit("{p}"), F.element_at(F.array(*map(F.lit, PERIODS)), (k % len(PERIODS) + 1).cast("int")))
         parts.append(F.when(k % 6 != i, said))
     parts.append(F.when(k % 3 != 0, "Law\nThis is governed by the laws of Utopia.").otherwise("Law\nNone is named."))
-    return fx.table(spark, sf_dir, "customer").select(k.cast("long").alias("doc_id"), F.concat_ws("\n", *parts).alias("full_text"))
+    return fx.spread(fx.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(k.cast("long").alias("doc_id"), F.concat_ws("\n", *parts).alias("full_text"))
 
 
 def invoice_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def invoice_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def other_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as they are with a line of fact; one in fifty is blank."""
     k = F.col("doc_id")
-    return fx.table(spark, sf_dir, "documents").select("doc_id", F.when(k % 50 == 0, " \n").otherwise(F.concat(F.lit("Reference: R"), k.cast("string"), F.lit("\n"), "text")).alias("full_text"))
+    return fx.spread(fx.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.when(k % 50 == 0, " \n").otherwise(F.concat(F.lit("Reference: R"), k.cast("string"), F.lit("\n"), "text")).alias("full_text"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,3 +36,11 @@ def test_small_files_are_dealt_out(spark, sf_dir):
     """All rows of a small file were one task's."""
     for rows in (mixed.nda_docs(spark, sf_dir), mixed.contract_docs(spark, sf_dir), mixed.other_docs(spark, sf_dir), extraction_queries.invoice_texts(spark, sf_dir), varied_records._raw(spark, sf_dir, varied_records._NDA)):
         assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_numbers_make_their_text_once(spark):
+    """The match of an amount's pattern was made again for each look at its scale."""
+    column = tx.parse_number(F.regexp_substr("t", F.lit("[0-9.]+ ?[a-zA-Z]*")))
+    assert column._jc.toString().count("regexp_substr") == 1
+    rows = spark.createDataFrame([("1.5 Million",), ("2k",), ("7",), ("x",), (None,), ("1.2.3",), ("3 b",)], "t string")
+    assert [r[0] for r in rows.select(column).collect()] == [1.5e6, 2000.0, 7.0, None, None, None, 3e9]
