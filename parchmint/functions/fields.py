@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parchmint.functions.text import DATE, EMAIL, parse_number, strip
+from parchmint.functions.text import DATE, EMAIL, plain_number, strip
 
 # Patterns whose matches are part of the results.
 PHONE = r"\+?[\d\s\-\(\)]{7,15}(?=\s|$)"
@@ -91,15 +91,17 @@ CRITERIA = r"(?is)(?:evaluation\s+criteria?|scoring\s+criteria?)[:\n](.{50,800}?
 FACT = r"(?m)^([A-Z][A-Za-z\s]{2,50}?)\s*:\s*(.{3,200}?)$"
 
 
-def holds(text: Column, *words: str) -> Column:
-    """Whether a text has one of some words, whatever the case: a cheap test before a pattern that can't match without."""
-    low = F.lower(text)
+def holds(text: Column, *words: str, low: Column | None = None) -> Column:
+    """Whether a text has one of some words, whatever the case: a cheap test before a pattern that can't match without. low: the text in
+    lower case, where it is at hand."""
+    low = F.lower(text) if low is None else low
     return reduce(Column.__or__, (low.contains(w) for w in words))
 
 
 def group(text: Column, pattern: str, n: int = 1) -> Column:
     """What a group of the first match holds, trimmed; null without a match."""
-    return F.nullif(strip(F.regexp_extract(text, pattern, n)), F.lit(""))
+    # nullif would run the pattern twice.
+    return F.get(F.array_remove(F.array(strip(F.regexp_extract(text, pattern, n))), ""), F.lit(0))
 
 
 def email(text: Column, nth: int) -> Column:
@@ -116,32 +118,33 @@ def currency(text: Column) -> Column:
     return F.coalesce(group(text, CURRENCY_CODE), group(text, CURRENCY_SYMBOL))
 
 
-def labelled_amount(text: Column, field: str) -> Column:
-    """The amount after the first place of a label. `total` has no boundary before it, so `Subtotal: 100` answers for it too."""
-    return F.when(holds(text, *AMOUNT_WORDS[field]), parse_number(F.nullif(F.regexp_extract(text, "(?i)" + AMOUNT_LABELS[field] + AMOUNT_TAIL, 1), F.lit(""))))
+def labelled_amount(text: Column, field: str, low: Column | None = None) -> Column:
+    """The amount after the first place of a label, which has no scale. `total` has no boundary before it, so `Subtotal: 100` answers for it too."""
+    where, pattern = (text, "(?i)" + AMOUNT_LABELS[field]) if low is None else (low, AMOUNT_LABELS[field])
+    return F.when(holds(text, *AMOUNT_WORDS[field], low=low), plain_number(F.regexp_extract(where, pattern + AMOUNT_TAIL, 1)))
 
 
-def bank(text: Column, field: str) -> Column:
+def bank(text: Column, field: str, low: Column | None = None) -> Column:
     found = group(text, BANK[field])
-    return F.when(holds(text, *BANK_WORDS[field]), found) if field in BANK_WORDS else found
+    return F.when(holds(text, *BANK_WORDS[field], low=low), found) if field in BANK_WORDS else found
 
 
 def total_from_whole_word(text: Column) -> Column:
     """The total whose label doesn't stand within another word."""
-    return parse_number(F.nullif(F.regexp_extract(text, r"(?i)(?<![a-z\-])" + AMOUNT_LABELS["total_amount"] + AMOUNT_TAIL, 1), F.lit("")))
+    return plain_number(F.regexp_extract(text, r"(?i)(?<![a-z\-])" + AMOUNT_LABELS["total_amount"] + AMOUNT_TAIL, 1))
 
 
 def dates(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(DATE), F.lit(0))
 
 
-def statement_row(text: Column, labels: tuple[str, ...]) -> Column:
+def statement_row(text: Column, labels: tuple[str, ...], low: Column | None = None) -> Column:
     """First number after the first label that a line holds, brackets as minus; a label whose match is no number passes on."""
     found = []
     for label in labels:
         raw = F.regexp_extract(text, r"(?imd)^.*\b" + label.replace("-", r"\-") + ROW_TAIL, 1)
         value = F.translate(F.replace(F.nullif(raw, F.lit("")), F.lit("("), F.lit("-")), "), ", "").try_cast("double")
-        found.append(F.when(holds(text, label), value))
+        found.append(F.when(holds(text, label, low=low), value))
     return F.coalesce(*found)
 
 

@@ -42,8 +42,8 @@ def parse_days(text: Column) -> Column:
     return n * F.when(unit == "day", 1).when(unit == "week", 7).when(unit == "month", 30).when(unit == "year", 365)
 
 
-def parse_number(text: Column) -> Column:
-    """A number with its scale word or suffix; the sign is not read; null if the digits aren't a number."""
+def parse_number(text: Column, cheap: bool = False) -> Column:
+    """A number with its scale word or suffix; the sign is not read; null if the digits aren't a number. cheap: the text is at hand."""
 
     def scale(low):
         return (
@@ -53,8 +53,14 @@ def parse_number(text: Column) -> Column:
             .otherwise(1.0)
         )
 
-    # The text may be a match of a pattern: it is made once, however often it is looked at.
-    return let(text, lambda t: F.regexp_replace(t, r"[^\d.]", "").try_cast("double") * let(F.lower(F.trim(t)), scale))
+    # The text may be a match of a pattern: it is made once, however often it is looked at. Only other signs can be a scale.
+    number = lambda t: plain_number(t) * F.when(t.rlike(r"[^\d.,\s$-]"), let(F.lower(F.trim(t)), scale)).otherwise(1.0)
+    return number(text) if cheap else let(text, number)
+
+
+def plain_number(text: Column) -> Column:
+    """The number of a text's digits and dots, for texts without a scale."""
+    return F.regexp_replace(text, r"[^\d.]+", "").try_cast("double")
 
 
 def _first_date(text: Column, formats: dict[str, str]) -> Column:

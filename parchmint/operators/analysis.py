@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from parchmint import dims
 from parchmint.functions import fields as fd
-from parchmint.functions.text import DATE, DURATION, MONEY, PAYMENT_TERMS, first, let, parse_number, strip
+from parchmint.functions.text import DATE, DURATION, MONEY, PAYMENT_TERMS, first, let, parse_number, plain_number, strip
 from parchmint.operators import extract as ex
 from parchmint.operators import findings as fi
 from parchmint.operators import records, rules
@@ -53,7 +53,8 @@ def _contained(headers: Column, table: list[tuple[str, str]]) -> Column:
     """The type of each heading: the first variant that contains it or lies in it."""
     variants = F.from_json(F.lit(json.dumps([{"kind": kind, "variant": variant} for kind, variant in table])), "array<struct<kind:string,variant:string>>")
     hit = lambda name: F.try_element_at(F.filter(variants, lambda d: name.contains(d["variant"]) | d["variant"].contains(name)), F.lit(1))["kind"]
-    return F.transform(headers, lambda h: F.when(h != "", hit(F.lower(h))))
+    # In lower case once, not for each variant.
+    return F.transform(F.transform(headers, F.lower), lambda h: F.when(h != "", hit(h)))
 
 
 def fuzzy_types(headers: Column, kind: Column, threshold: float = 75) -> Column:
@@ -75,26 +76,28 @@ def fuzzy_types(headers: Column, kind: Column, threshold: float = 75) -> Column:
     return match(headers, kind)
 
 
-def clause_list(secs: Column, types: tuple[str, ...], text: Column, pages: Column, money_anywhere: bool) -> Column:
-    """Every type in order, as (clause_type, status, present, value, raw_text, notes, page). secs: array of (header, body, kind)."""
+def clause_list(secs: Column, kinds: Column, types: tuple[str, ...], text: Column, pages: Column, money_anywhere: bool) -> Column:
+    """Every type in order, as (clause_type, status, present, value, raw_text, notes, page). secs: array of (header, body), kinds: of their types."""
+    # One step after another, so that each value is made once: the section, what it says and where its words are looked for, the clause.
+    own = F.transform(F.array(*map(F.lit, types)), lambda kind: F.struct(kind.alias("kind"), F.get(secs, F.array_position(kinds, kind).cast("int") - 1).alias("s")))
+    said = F.transform(own, lambda c: F.struct(c["kind"].alias("kind"), c["s"].isNotNull().alias("there"), _said(c["kind"], c["s"]["body"], text, money_anywhere).alias("said")))
+    return F.transform(said, lambda c: _clause(c["kind"], c["there"], c["said"], pages))
 
-    def one(kind):
-        hit = F.try_element_at(F.filter(secs, lambda s: s["kind"] == kind), F.lit(1))
-        return let(hit, lambda s: _clause(kind, s, text, pages, money_anywhere))
 
-    return F.transform(F.array(*map(F.lit, types)), one)
+def _said(kind: Column, body: Column, text: Column, money_anywhere: bool) -> Column:
+    """(value, raw) of a clause's body; a payment amount without one is the first money of the text."""
+    said = F.when(body.isNotNull(), F.struct(clause_value(kind, body).alias("value"), F.trim(F.substring(body, 1, 300)).alias("raw")))
+    if money_anywhere:
+        spare = let(F.when(kind == "payment_amount", first(text, MONEY)), lambda m: F.when(m.isNotNull(), F.struct(m.alias("value"), m.alias("raw"))))
+        said = F.coalesce(said, F.when(kind == "payment_amount", spare))
+    return said
 
 
-def _clause(kind: Column, section: Column, text: Column, pages: Column, money_anywhere: bool) -> Column:
-    body = section["body"]
-    value, raw = F.nullif(clause_value(kind, body), F.lit("")), F.trim(F.substring(body, 1, 300))
-    present = section.isNotNull()
-    if money_anywhere:
-        spare = F.when((kind == "payment_amount") & section.isNull(), first(text, MONEY))
-        value, raw, present = F.coalesce(value, spare), F.coalesce(raw, spare), present | spare.isNotNull()
-    status = F.when(present, "present").otherwise("missing")
+def _clause(kind: Column, there: Column, said: Column, pages: Column) -> Column:
+    value, present = said["value"], there | said.isNotNull()
     return F.struct(
-        kind.alias("clause_type"), status.alias("status"), present.alias("present"), value.alias("value"), raw.alias("raw_text"), _none("string").alias("notes"), page_of(raw, pages).alias("page"),
+        kind.alias("clause_type"), F.when(present, "present").otherwise("missing").alias("status"), present.alias("present"), F.when(value != "", value).alias("value"), said["raw"].alias("raw_text"),
+        _none("string").alias("notes"), page_of(said["raw"], pages).alias("page"),
     )
 
 
@@ -118,7 +121,8 @@ def classified(docs: DataFrame, names=capitalised_names) -> DataFrame:
     """doc_id, doc_type, error, jurisdiction, dates, parties, document_summary of docs, with the page of each date's context and each party's basis."""
     text, blank = F.col("full_text"), strip(F.coalesce("full_text", F.lit(""))) == ""
     rows = docs.withColumns({"error": F.when(blank, "no text"), "jurisdiction": jurisdiction(text), "dates": dates(text), "parties": parties(text, names)})
-    rows = rows.withColumn("pages", page_texts(F.coalesce("elements", F.array().cast(f"array<{ELEMENT}>"))))
+    # As a row of its own: the optimizer would else make the pages again within the lambda, for each date.
+    rows = rows.withColumn("pages", F.explode(F.array(page_texts(F.coalesce("elements", F.array().cast(f"array<{ELEMENT}>"))))))
     paged = lambda column, snippet: F.transform(column, lambda x: x.withField("page", page_of(x[snippet], F.col("pages"))))
     said = F.when(~blank, summary(F.col("doc_type"), F.col("parties"), F.col("dates"), F.col("jurisdiction")))
     rows = rows.withColumns({"document_summary": said, "dates": paged("dates", "context"), "parties": paged("parties", "basis")})
@@ -144,30 +148,31 @@ def items_of(elements: Column) -> Column:
     """Items of tables whose headers name what items have: the amount is the last cell with a digit."""
     named = lambda e: let(F.lower(F.array_join(e["headers"], " ")), lambda h: reduce(Column.__or__, (h.contains(w) for w in ex.ITEM_WORDS)))
     tables = F.filter(elements, lambda e: F.coalesce(F.size(e["headers"]) > 0, F.lit(False)) & named(e))
-    rows = F.filter(F.flatten(F.transform(tables, lambda e: F.coalesce(e["rows"], F.array().cast("array<array<string>>")))), lambda r: F.size(r) >= 2)
     cell = lambda r, n: F.try_element_at(r, F.lit(n))
-    money = lambda c: parse_number(F.regexp_replace(c, r"[^\d.,]", ""))
+    described = lambda d: (d != "") & ~F.lower(d).isin(*ex.NO_ITEMS)
+    rows = F.flatten(F.transform(tables, lambda e: F.coalesce(e["rows"], F.array().cast("array<array<string>>"))))
+    rows = F.filter(rows, lambda r: (F.size(r) >= 2) & described(strip(F.coalesce(cell(r, 1), F.lit("")))))
     last = lambda r: F.try_element_at(F.filter(F.slice(r, 2, F.size(r)), lambda c: c.rlike(r"\d")), F.lit(-1))
 
     def item(r):
         return F.struct(
-            strip(F.coalesce(cell(r, 1), F.lit(""))).alias("description"), F.when((F.size(r) > 2) & strip(cell(r, 2)).rlike(r"^[\d.]"), parse_number(cell(r, 2))).alias("quantity"),
-            F.when(F.size(r) > 3, money(cell(r, 3))).alias("unit_price"), money(last(r)).alias("amount"), _none("double").alias("tax_rate"),
+            strip(F.coalesce(cell(r, 1), F.lit(""))).alias("description"), F.when((F.size(r) > 2) & cell(r, 2).rlike(r"^[ \t\n\r\f\x0b]*[\d.]"), parse_number(cell(r, 2), cheap=True)).alias("quantity"),
+            F.when(F.size(r) > 3, plain_number(cell(r, 3))).alias("unit_price"), plain_number(last(r)).alias("amount"), _none("double").alias("tax_rate"),
         )
 
-    return F.filter(F.transform(rows, item), lambda i: (i["description"] != "") & ~F.lower(i["description"]).isin(*ex.NO_ITEMS))
+    return F.transform(rows, item)
 
 
-def _invoice(text: Column, elements: Column) -> Column:
+def _invoice(text: Column, elements: Column, low: Column, dated: Column) -> Column:
     none = _none("string")
     vendor = F.struct(none.alias("name"), none.alias("address"), fd.email(text, 1).alias("email"), fd.phone(text).alias("phone"), fd.group(text, fd.TAX_ID).alias("tax_id"))
     bill_to = F.struct(none.alias("name"), none.alias("address"), fd.email(text, 2).alias("email"))
-    date = lambda n: F.try_element_at(fd.dates(text), F.lit(n))
+    date = lambda n: F.try_element_at(dated, F.lit(n))
     return F.struct(
         vendor.alias("vendor"), bill_to.alias("bill_to"), fd.group(text, fd.INVOICE_NUMBER).alias("invoice_number"), date(1).alias("invoice_date"), date(2).alias("due_date"),
         fd.group(text, fd.PO_NUMBER).alias("purchase_order"), fd.currency(text).alias("currency"), items_of(elements).alias("line_items"),
-        *(fd.labelled_amount(text, f).alias(f) for f in fd.AMOUNT_LABELS), first(text, PAYMENT_TERMS).alias("payment_terms"), none.alias("payment_method"),
-        F.struct(*(fd.bank(text, f).alias(f) for f in fd.BANK)).alias("bank_details"), none.alias("notes"),
+        *(fd.labelled_amount(text, f, low).alias(f) for f in fd.AMOUNT_LABELS), first(text, PAYMENT_TERMS).alias("payment_terms"), none.alias("payment_method"),
+        F.struct(*(fd.bank(text, f, low).alias(f) for f in fd.BANK)).alias("bank_details"), none.alias("notes"),
     )
 
 
@@ -175,14 +180,13 @@ def _first_name(named: Column, chars: int) -> Column:
     return F.try_element_at(F.filter(named, lambda e: e["start"] < chars), F.lit(1))["name"]
 
 
-def _statement(text: Column, named: Column) -> Column:
-    blocks = {b: F.struct(*(fd.statement_row(text, names).alias(m) for m, names in own.items())) for b, own in fd.STATEMENT_LABELS.items()}
+def _statement(text: Column, named: Column, low: Column) -> Column:
+    blocks = {b: F.struct(*(fd.statement_row(text, names, low).alias(m) for m, names in own.items())) for b, own in fd.STATEMENT_LABELS.items()}
     period = F.substring(F.regexp_substr(text, F.lit(fd.PERIOD)), 1, 80)
-    made = F.struct(
+    return F.struct(
         _first_name(named, 2000).alias("entity_name"), fd.statement_type(text).alias("statement_type"), period.alias("reporting_period"), fd.currency(text).alias("currency"),
         F.coalesce(fd.group(text, fd.UNIT), F.lit("actual")).alias("unit"), *(s.alias(b) for b, s in blocks.items()), text.rlike(fd.AUDITED).alias("audited"),
     )
-    return let(made, lambda s: s.withField("ratios", F.struct(*(c.alias(n) for n, c in rules.ratio(_metric(s)).items()))))
 
 
 def _metric(s: Column):
@@ -227,7 +231,7 @@ def payloads(docs: DataFrame, fuzzy: bool = True, names=None) -> DataFrame:
     })
     clausal, kind = F.col("kind").isin(*CLAUSAL) & F.col("error").isNull(), F.col("kind")
     rows = rows.withColumns({"lines": F.when(clausal, F.split(text, "\n", -1)), "pages": F.when(clausal, page_texts(F.col("elements")))})
-    rows = rows.withColumn("heads", F.array_compact(F.transform("lines", lambda line, i: F.when(is_heading(line), i))))
+    rows = rows.withColumn("heads", F.array_compact(F.transform(F.transform("lines", F.trim), lambda line, i: F.when(is_heading(line, True), i))))
     rows = rows.withColumn("secs", sections(F.col("lines"), F.col("heads")))
     headers = F.transform("secs", lambda s: s["header"])
     if fuzzy:
@@ -235,19 +239,26 @@ def payloads(docs: DataFrame, fuzzy: bool = True, names=None) -> DataFrame:
         rows = rows.withColumns({"error": F.coalesce("error", "matched.error"), "types": F.col("matched.types")})
     else:
         rows = rows.withColumn("types", F.when(kind == "nda", _contained(headers, dims.clause_headers(nda=True))).when(kind == "contract", _contained(headers, dims.clause_headers())))
-    rows = rows.withColumn("secs", F.zip_with("secs", "types", lambda s, t: F.struct(s["header"].alias("header"), s["body"].alias("body"), t.alias("kind"))))
     rows = rows.withColumn("named", entities(F.when(kind.isin("financial_statement", "rfp", "other"), text), names, 6000) if names else F.array().cast(ENTITIES))
     named = F.col("named")
-    secs, pages, own = F.col("secs"), F.col("pages"), lambda name: (kind == name) & F.col("error").isNull()
+    # Looked at for many labels, for two dates, or from within lambdas: made once. A generator parts the projections, as the optimizer would else put what
+    # is named once, such as the pages, into the lambda that names it, and make it again for each type of clause.
+    rows = rows.withColumns({"low": F.when(kind.isin("invoice", "financial_statement"), F.lower(text)), "dated": F.when(kind == "invoice", fd.dates(text))})
+    shared = [c for c in ("secs", "types", "pages", "low", "dated") if c in rows.columns]
+    rows = rows.select(*(c for c in rows.columns if c not in shared), F.inline(F.array(F.struct(*shared))))
+    secs, kinds, pages, low, own = F.col("secs"), F.col("types"), F.col("pages"), F.col("low"), lambda name: (kind == name) & F.col("error").isNull()
     rows = rows.withColumns({
-        "contract": F.when(own("contract"), _contract(text, clause_list(secs, tuple(dims.CLAUSE_HEADERS), text, pages, True))),
-        "nda": F.when(own("nda"), _nda(text, clause_list(secs, (*dims.NDA_HEADERS, *dims.NDA_SHARED), text, pages, False))),
-        "invoice": F.when(own("invoice"), _invoice(text, F.col("elements"))),
-        "financial_statement": F.when(own("financial_statement"), _statement(text, named)),
+        "contract": F.when(own("contract"), _contract(text, clause_list(secs, kinds, tuple(dims.CLAUSE_HEADERS), text, pages, True))),
+        "nda": F.when(own("nda"), _nda(text, clause_list(secs, kinds, (*dims.NDA_HEADERS, *dims.NDA_SHARED), text, pages, False))),
+        "invoice": F.when(own("invoice"), _invoice(text, F.col("elements"), low, F.col("dated"))),
+        "financial_statement": F.when(own("financial_statement"), _statement(text, named, low)),
         "rfp": F.when(own("rfp"), _rfp(text, F.col("elements"), named)),
         "other": F.when(own("other"), _other(text, named)),
     })
-    return rows.drop("lines", "pages", "heads", "secs", "types", "matched", "elements", "full_text", "named")
+    s = F.col("financial_statement")
+    ratios = F.struct(*(c.alias(n) for n, c in rules.ratio(_metric(s)).items()))
+    rows = rows.withColumn("financial_statement", F.when(s.isNotNull(), s.withField("ratios", ratios)))
+    return rows.drop("lines", "pages", "heads", "secs", "types", "matched", "elements", "full_text", "named", "low", "dated")
 
 
 # Findings in the row
@@ -283,14 +294,19 @@ def _nda_findings(n: Column) -> Column:
 def _line_findings(items: Column) -> Column:
     """Of each line in order: what doesn't add up, has no amount, or stood before (same description and amount); n log n in lines."""
     key = lambda x: F.concat(F.lower(F.trim(x["description"])), F.lit("_"), fi.amount(x["amount"]).cast("string"))
-    ranked = F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("key"), i.alias("i"))))
+    math = lambda x: fi.line_math(x["quantity"], x["unit_price"], x["amount"], x["description"])
+    zero = lambda x: fi.zero_amount(x["unit_price"], x["amount"], x["description"])
+    # Most documents have no line twice: there a line has one finding at most, in its own place.
+    plain = F.array_compact(F.transform(items, lambda x: F.coalesce(math(x), zero(x))))
+    ranked = F.sort_array(F.transform(items, lambda x, i: F.struct(key(x).alias("key"), i.alias("i"))))
     again = let(ranked, lambda r: F.array_compact(F.transform(r, lambda x, j: F.when(F.get(r, j - 1)["key"] == x["key"], x["i"]))))
     placed = lambda i, n, f: F.struct(i.alias("i"), F.lit(n).alias("n"), f.alias("f"))
     own = F.flatten(F.transform(items, lambda x, i: F.array(
-        placed(i, 0, fi.line_math(x["quantity"], x["unit_price"], x["amount"], x["description"])), placed(i, 1, fi.zero_amount(x["unit_price"], x["amount"], x["description"])),
+        placed(i, 0, math(x)), placed(i, 1, zero(x)),
     )))
     twice = F.transform(again, lambda i: placed(i, 2, fi.duplicate_line(F.lit(True), F.get(items, i)["description"])))
-    return F.transform(F.array_sort(F.filter(F.concat(own, twice), lambda p: p["f"].isNotNull())), lambda p: p["f"])
+    every = F.transform(F.sort_array(F.filter(F.concat(own, twice), lambda p: p["f"].isNotNull())), lambda p: p["f"])
+    return F.when(F.size(F.array_distinct(F.transform(items, key))) == F.size(items), plain).otherwise(every)
 
 
 def _invoice_findings(v: Column, as_of: Column) -> Column:
@@ -318,8 +334,8 @@ def judged(rows: DataFrame, as_of: str) -> DataFrame:
     }
     empty = F.filter(fi.these(fi.no_law(F.lit("x"))), lambda f: F.lit(False))
     chosen = reduce(lambda c, kv: c.when(col("kind") == kv[0], kv[1]), made.items(), F.when(col("kind") == "other", empty))
-    # As rows of their own: what reads the findings doesn't judge again.
-    rows = rows.withColumn("findings", F.explode_outer(F.array(F.when(col("error").isNull(), chosen))))
+    # As rows of their own: what reads the findings doesn't judge again. Judged in a projection, as a generator isn't compiled.
+    rows = rows.withColumn("judged", F.when(col("error").isNull(), chosen)).withColumn("findings", F.explode_outer(F.array("judged"))).drop("judged")
     worth = lambda f: rules.points(f["severity"]).cast("long")
     total = lambda keep: F.aggregate(F.filter("findings", keep), F.lit(0).cast("long"), lambda a, f: a + worth(f))
     within = lambda category: lambda f: rules.bucket(f["category"]) == category

@@ -10,8 +10,8 @@ from parchmint.functions.text import DURATION, MONEY, PAYMENT_TERMS, first
 from parchmint.dims import STAGES
 
 
-def is_heading(line: Column) -> Column:
-    s = F.trim(line)
+def is_heading(line: Column, trimmed: bool = False) -> Column:
+    s = line if trimmed else F.trim(line)
     caps = (F.upper(s) == s) & (F.lower(s) != s)
     titled = s.rlike(r"^(#{1,6}\s+)?(\d+[.)]\s+)?[A-Z][A-Za-z\s\-&/,]{2,70}$")
     numbered = s.rlike(r"^(#{1,6}\s+)?\d+[.)]\s+[A-Z]")

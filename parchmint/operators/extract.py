@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchmint.functions import fields as fd
-from parchmint.functions.text import DATE, DURATION, MONEY, PAYMENT_TERMS, first, parse_number, strip
+from parchmint.functions.text import DATE, DURATION, MONEY, PAYMENT_TERMS, first, parse_number, plain_number, strip
 from parchmint.operators import documents as dc
 from parchmint.operators.rules import ratios
 from parchmint import dims
@@ -174,7 +174,6 @@ def invoice_lines(elements: DataFrame) -> DataFrame:
     tables = elements.filter(reduce(Column.__or__, (heads.contains(w) for w in ITEM_WORDS)))
     rows = tables.select("doc_id", "page_no", "el_no", F.posexplode("rows").alias("row_no", "r")).filter("size(r) >= 2")
     cell = lambda n: F.try_element_at("r", F.lit(n))
-    money = lambda c: parse_number(F.regexp_replace(c, r"[^\d.,]", ""))
     last = F.try_element_at(F.filter(F.slice("r", 2, F.size("r")), lambda c: c.rlike(r"\d")), F.lit(-1))
     desc = strip(F.coalesce(cell(1), F.lit("")))
     items = rows.withColumn("description", desc).filter((F.col("description") != "") & ~F.lower("description").isin(*NO_ITEMS))
@@ -182,7 +181,7 @@ def invoice_lines(elements: DataFrame) -> DataFrame:
     return items.select(
         "doc_id", F.row_number().over(order).alias("line_no"), "description",
         F.when((F.size("r") > 2) & strip(cell(2)).rlike(r"^[\d.]"), parse_number(cell(2))).alias("quantity"),
-        F.when(F.size("r") > 3, money(cell(3))).alias("unit_price"), money(last).alias("amount"), F.lit(None).cast("double").alias("tax_rate"),
+        F.when(F.size("r") > 3, plain_number(cell(3))).alias("unit_price"), plain_number(last).alias("amount"), F.lit(None).cast("double").alias("tax_rate"),
     )
 
 

@@ -73,7 +73,7 @@ def invoice_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements: a table per order with its lines as text, and a row of the total that is no line."""
     cell = lambda c: F.format_number(c, 2)
     row = F.struct("line_no", F.array(F.col("description"), F.col("quantity").cast("int").cast("string"), F.concat(F.lit("$"), cell("unit_price")), cell("amount")).alias("cells"))
-    rows = fx.invoice_lines(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("l"))
+    rows = fx.invoice_lines(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("l"))
     none = lambda t: F.lit(None).cast(t)
     return rows.select(
         "doc_id", F.lit(1).alias("page_no"), F.lit(0).alias("el_no"), F.lit("table").alias("type"), none("string").alias("text"), none("array<string>").alias("items"),

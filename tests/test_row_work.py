@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from parchmint.functions import fields as fd
 from parchmint.functions import text as tx
-from parchmint.operators import validators
-from parchmint.plans import extraction_queries, mixed, varied_records
+from parchmint.operators import analysis, rules, validators
+from parchmint.plans import extraction_queries, mixed, queries, varied_records
+from parchmint.plans import fixtures as fx
 
 TEXTS = (
     "March 5, 2024", "march 5 2024", "5 March 2024", "5 March, 2024", "05/03/2024", "3/25/2024", "2024-03-05", "5-3-2024", "3-25-2024", "5.3.2024", "5 Mar 2024", "5-Mar-2024", "May 5, 2024", "5 May 2024",
@@ -44,3 +46,41 @@ def test_numbers_make_their_text_once(spark):
     assert column._jc.toString().count("regexp_substr") == 1
     rows = spark.createDataFrame([("1.5 Million",), ("2k",), ("7",), ("x",), (None,), ("1.2.3",), ("3 b",)], "t string")
     assert [r[0] for r in rows.select(column).collect()] == [1.5e6, 2000.0, 7.0, None, None, None, 3e9]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pages_and_types_are_made_once(spark, sf_dir):
+    """What a lambda names once was made within it, for each type of clause or each date."""
+    contracts = analysis.payloads(mixed.contract_docs(spark, sf_dir).selectExpr("doc_id", "'contract' AS doc_type", "full_text", f"CAST(NULL AS array<{analysis.ELEMENT}>) AS elements"), fuzzy=False)
+    dated = analysis.classified(mixed.documents(spark, sf_dir)).select("dates")
+    parted = lambda df, made: any("Generate " in line and f"[{made}#" in line for line in _plan(df).splitlines())
+    assert parted(contracts.select("contract"), "secs") and parted(dated, "pages")
+
+
+def test_a_group_runs_its_pattern_once(spark):
+    rows = spark.createDataFrame([("No: A1",), ("No: ",), (None,)], "t string").select(F.when(F.col("t") != "", fd.group(F.col("t"), r"No: *(\w*)")).alias("g"))
+    assert _plan(rows).count("regexp_extract") == 1
+    assert [r[0] for r in rows.collect()] == ["A1", None, None]
+
+
+def test_amounts_of_lower_case_text(spark):
+    texts = ("SUBTOTAL: $1,250.50", "Sub-Total 7", "Grand TOTAL:\n12.345", "total", "x", "", None, "Subtotal: ,", "VAT amount 20% 3.5", "TAX: .5")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for field in fd.AMOUNT_LABELS:
+        assert rows.filter(~fd.labelled_amount(F.col("t"), field).eqNullSafe(fd.labelled_amount(F.col("t"), field, F.lower("t")))).count() == 0
+    assert [r[0] for r in rows.select(fd.labelled_amount(F.col("t"), "subtotal", F.lower("t"))).collect()] == [1250.5, 7.0, *[None] * 8]
+
+
+def test_findings_are_made_once(spark, sf_dir):
+    """The findings were made for their documents and again for the points; invoices of projects without contracts were rendered."""
+    assert _plan(queries.risk_category_pivot(spark, sf_dir)).count("l_extendedprice") < _plan(rules.risk(*_twice(spark, sf_dir))).count("l_extendedprice")
+    every, some = mixed.invoice_heads(spark, sf_dir), mixed.invoice_heads(spark, sf_dir, spark.createDataFrame([(1,)], "doc_id long"))
+    assert some.count() == 1 < every.count()
+
+
+def _twice(spark, sf_dir):
+    found = rules.invoice_findings(fx.invoice_header(spark, sf_dir), fx.invoice_lines(spark, sf_dir))
+    return found.select("doc_id", F.lit("invoice").alias("doc_type")).distinct(), found
