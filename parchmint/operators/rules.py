@@ -211,11 +211,15 @@ def level(overall: Column) -> Column:
     return F.when(overall < 40, "Low").when(overall < 75, "Medium").otherwise("High")
 
 
+def points_by_category(findings: DataFrame) -> DataFrame:
+    """Number of findings, penalty and points by category of the documents that have findings: one aggregate."""
+    scored = findings.select("doc_id", points(F.col("severity")).alias("p"), bucket(F.col("category")).alias("category"))
+    return scored.groupBy("doc_id").agg(F.count("*").alias("total_anomalies"), F.sum("p").alias("penalty"), *(F.sum(F.when(F.col("category") == c, F.col("p")).otherwise(0)).alias(c.lower()) for c in CATEGORIES))
+
+
 def risk(docs: DataFrame, findings: DataFrame) -> DataFrame:
     """Score, level and points by category of every document, those without findings included. docs: doc_id, doc_type."""
-    scored = findings.select("doc_id", points(F.col("severity")).alias("p"), bucket(F.col("category")).alias("category"))
-    sums = scored.groupBy("doc_id").agg(F.count("*").alias("total_anomalies"), F.sum("p").alias("penalty"), *(F.sum(F.when(F.col("category") == c, F.col("p")).otherwise(0)).alias(c.lower()) for c in CATEGORIES))
-    rows = docs.select("doc_id", "doc_type").join(sums, "doc_id", "left").na.fill(0)
+    rows = docs.select("doc_id", "doc_type").join(points_by_category(findings), "doc_id", "left").na.fill(0)
     rows = rows.withColumn("overall_score", score(F.col("penalty"), F.col("doc_type")))
     return rows.withColumn("risk_level", level(F.col("overall_score")))
 

@@ -52,8 +52,8 @@ def nda_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.spread(fx.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(k.cast("long").alias("doc_id"), F.concat_ws("\n", *parts).alias("full_text"))
 
 
-def invoice_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of invoices with dates in three forms; one in four has no due date."""
+def invoice_heads(spark: SparkSession, sf_dir: str, wanted: DataFrame | None = None) -> DataFrame:
+    """Texts of invoices with dates in three forms; one in four has no due date. wanted: doc_id of those that are rendered, all without it."""
     k = F.col("doc_id")
     form = lambda d: F.when(k % 3 == 0, F.date_format(d, "yyyy-MM-dd")).when(k % 3 == 1, F.date_format(d, "MMMM d, yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy"))
     due = F.when(k % 4 != 0, F.concat(F.lit(" due "), form("due_date"))).otherwise("")
@@ -62,7 +62,9 @@ def invoice_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
         "\n", F.lit("INVOICE"), F.concat(F.lit("Invoice No: INV-"), k.cast("string")), F.concat(F.lit("Issued "), form("invoice_date"), due),
         F.concat(F.lit("Grand Total: "), money("total_amount")), F.concat(F.lit("Subtotal: "), money("subtotal")), F.lit("Tax: 0.00"), F.lit("Amounts in EUR"),
     )
-    return fx.invoice_header(spark, sf_dir).select("doc_id", fx.once(text).alias("full_text"))
+    header = fx.invoice_header(spark, sf_dir)
+    header = header if wanted is None else header.join(wanted, "doc_id", "left_semi")
+    return header.select("doc_id", fx.once(text).alias("full_text"))
 
 
 def invoice_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
