@@ -105,20 +105,151 @@ def likest(table: list[tuple[str, str]], threshold: float = 75):
     return best
 
 
+#: Headings of more letters are scored one by one; so are pairs of which both texts have more than BITS letters, as a word of the machine holds the shorter one.
+LONG, BITS = 256, 62
+#: Windows that are scored at once.
+LANES = 1 << 16
+
+
+def likest_all(table: list[tuple[str, str]], threshold: float = 75):
+    """`likest` for many headings at once: a function from a list of headings to their types, with the same bounds and scores.
+
+    Scores of all pairs of a heading and a variant go on together, a letter at a time, in arrays. A pair's windows that are cut by an end of
+    the longer text are read in one pass from each end. The variant of a heading's highest bound is scored first; what can't reach its score is left out.
+    """
+    one, r = likest(table, threshold), threshold / 200
+    least_window = r / (1 - r)
+    variants = [v for _, v in table]
+    sizes = np.array([len(v) for v in variants], np.int64)
+    letters = {c: i + 1 for i, c in enumerate(sorted(set("".join(variants))))}
+    base = len(letters) + 1
+
+    def codes(texts: list[str], width: int) -> np.ndarray:
+        """Numbers of letters; 0 for those of no variant and behind the end."""
+        out = np.zeros((len(texts), width), np.int64)
+        for i, t in enumerate(texts):
+            out[i, : len(t)] = [letters.get(c, 0) for c in t]
+        return out
+
+    def masks(coded: np.ndarray) -> np.ndarray:
+        """Bits of the places of each letter, of which 0 has none."""
+        out = np.zeros((len(coded), base), np.uint64)
+        for p in range(min(coded.shape[1], BITS)):
+            out[np.arange(len(coded)), coded[:, p]] |= np.uint64(1 << p)
+        out[:, 0] = 0
+        return out
+
+    def grams(coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each letter, and each pair of letters, is there."""
+        rows = np.repeat(np.arange(len(coded)), coded.shape[1]).reshape(coded.shape)
+        single = np.bincount((rows * base + coded).ravel(), minlength=len(coded) * base).reshape(-1, base)
+        a, b = coded[:, :-1], coded[:, 1:]
+        at = rows[:, 1:] * base * base + a * base + b
+        double = np.bincount(at[(a > 0) & (b > 0)], minlength=len(coded) * base * base).reshape(-1, base * base)
+        single[:, 0] = 0
+        return single, double
+
+    own = codes(variants, max([1, *sizes]))
+    own_masks, (own_single, own_double) = masks(own), grams(own)
+    used = np.flatnonzero(own_double.any(axis=0))
+    own_double = own_double[:, used]
+
+    def shared(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+        """Sum of the lesser counts of every heading with every variant: a product for each count."""
+        return sum(((mine >= k).astype(np.float32) @ (theirs >= k).astype(np.float32).T for k in range(1, int(theirs.max(initial=0)) + 1)), np.zeros((len(mine), len(theirs)), np.float32))
+
+    def step(state: np.ndarray, mask: np.ndarray, full: np.ndarray) -> np.ndarray:
+        u = state & mask
+        return ((state + u) | (state - u)) & full
+
+    def scored(short: np.ndarray, long: np.ndarray, m: np.ndarray, n: np.ndarray, every: np.ndarray, table_of: np.ndarray, backward: np.ndarray, most: np.ndarray, top: np.ndarray) -> np.ndarray:
+        """Scores of pairs: rows of `every` (letters) and of `table_of`, `backward` (places of letters from the front, from the end), their lengths, the bound of a
+        whole window, and what has to be reached: windows that can't are left out."""
+        full, best, size = (np.uint64(1) << m.astype(np.uint64)) - np.uint64(1), np.zeros(len(m)), m.astype(np.float64)
+        rounds = int(m.max(initial=0))
+        for places, at in ((table_of, lambda k: k), (backward, lambda k: n - 1 - k)):
+            state = full.copy()
+            for k in range(rounds):
+                inside = k < m
+                mask = np.where(inside, places[short, every[long, np.where(inside, at(k), 0)]], np.uint64(0))
+                state = step(state, mask, full)
+                # Past a pair's own windows the score only falls.
+                best = np.maximum(best, 200.0 * (size - np.bitwise_count(state)) / (size + (k + 1)))
+        inner = np.where((most + 1e-6 >= top) & (most > best), np.maximum(n - m - 1, 0), 0)
+        pair = np.repeat(np.arange(len(m)), inner)
+        start = np.arange(len(pair)) - np.repeat(np.cumsum(inner) - inner, inner) + 1
+        for lo in range(0, len(pair), LANES):
+            p, s = pair[lo : lo + LANES], start[lo : lo + LANES]
+            state, whole, rows, lines, width = full[p], full[p], short[p], long[p], m[p]
+            for k in range(int(width.max(initial=0))):
+                inside = k < width
+                state = step(state, np.where(inside, table_of[rows, every[lines, np.where(inside, s + k, 0)]], np.uint64(0)), whole)
+            np.maximum.at(best, p, 200.0 * (width - np.bitwise_count(state)) / (width + width))
+        return best
+
+    def batch(names: list[str]) -> list[str | None]:
+        n = np.array([len(x) for x in names], np.int64)
+        coded = codes(names, max(int(n.max(initial=1)), own.shape[1]))
+        single, double = grams(coded)
+        common, pairs = shared(single, own_single), shared(double[:, used], own_double)
+        m, w = np.minimum(n[:, None], sizes), np.maximum(n[:, None], sizes)
+        broken = np.maximum(*((2 - 3 * r) * m + (1 - 3 * r) * x for x in (m, least_window * m)))
+        able = (common >= least_window * m - 1e-9) & (pairs >= m - 1 - broken - 1e-9) & (m > 0)
+        within = np.minimum(common, m).astype(np.float64)
+        most = np.where(able, 200.0 * within / (m + within + 1e-12), -1.0)
+        score, rows = np.full(most.shape, -1.0), np.arange(len(names))
+        every = np.zeros((len(names) + len(own), coded.shape[1]), np.int64)
+        every[: len(names)], every[len(names) :, : own.shape[1]] = coded, own
+        front = np.concatenate([masks(coded), own_masks])
+        # From the end: the letters of each text in reverse order.
+        lengths = np.concatenate([n, sizes])
+        turned = np.where(np.arange(every.shape[1]) < lengths[:, None], np.take_along_axis(every, np.maximum(lengths[:, None] - 1 - np.arange(every.shape[1]), 0), 1), 0)
+        back, top = masks(turned), np.zeros(len(names))
+
+        def rate(i: np.ndarray, j: np.ndarray) -> None:
+            heading = n[i] <= sizes[j]
+            short, long = np.where(heading, i, len(names) + j), np.where(heading, len(names) + j, i)
+            whole = 100.0 * within[i, j] / m[i, j]
+            score[i, j] = scored(short, long, m[i, j], w[i, j], every, front, back, whole, np.maximum(top[i], threshold))
+            np.maximum.at(top, i, score[i, j])
+
+        first = most.argmax(axis=1)
+        some = rows[most[rows, first] >= 0]
+        rate(some, first[some])
+        rate(*np.nonzero((score < 0) & able & (most + 1e-6 >= np.maximum(top, threshold)[:, None])))
+        chosen = score.argmax(axis=1)  # the first among equals
+        return [table[j][0] if score[i, j] >= threshold else None for i, j in enumerate(chosen)]
+
+    def best(names: list[str]) -> list[str | None]:
+        out: list[str | None] = [None] * len(names)
+        short = [i for i, x in enumerate(names) if x and table and (len(x) <= BITS or (len(x) <= LONG and sizes.max() <= BITS))]
+        for i in set(range(len(names))).difference(short):
+            out[i] = one(names[i])
+        for lo in range(0, len(short), 2048):
+            part = short[lo : lo + 2048]
+            for i, kind in zip(part, batch([names[i] for i in part]), strict=True):
+                out[i] = kind
+        return out
+
+    return best
+
+
 def match_headers_fuzzy(headers: DataFrame, table: list[tuple[str, str]], threshold: float = 75) -> DataFrame:
     """(header, clause_type): the type of the likest variant, the first in order among equals, null below the threshold.
 
-    Only distinct headings are looked up, and scored against the candidates of `likest`; the constant table travels with the function.
+    Only distinct headings are looked up, and scored against the candidates of `likest_all`; the constant table travels with the function.
     """
     rows = [(kind, variant.lower()) for kind, variant in table]
 
     @F.pandas_udf("string")
     def best(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        found = likest(rows, threshold)
+        found = likest_all(rows, threshold)
         for names in batches:
-            yield names.map(found)
+            yield pd.Series(found(names.tolist()), dtype=object)
 
-    return headers.filter("header <> ''").select("header").distinct().withColumn("clause_type", best(F.lower("header")))
+    # Dealt out, as few bytes take long: what is distinct would be joined to a few tasks by its size.
+    distinct = headers.filter("header <> ''").select("header").distinct().repartition(8 * headers.sparkSession.sparkContext.defaultParallelism)
+    return distinct.withColumn("clause_type", best(F.lower("header")))
 
 
 def clauses(texts: DataFrame, table: DataFrame, types: list[str], fuzzy: bool = True, money_anywhere: bool = False) -> DataFrame:

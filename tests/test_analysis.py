@@ -187,3 +187,21 @@ def test_likest_at_other_thresholds(threshold):
         name = "".join(rng.choice("abc d") for _ in range(rng.randrange(1, 20)))
         scores = [extract.partial_ratio(name, v) for _, v in table]
         assert best(name) == (table[scores.index(max(scores))][0] if max(scores) >= threshold else None)
+
+
+@pytest.mark.parametrize("threshold", [40, 60, 75, 90, 100])
+def test_headings_are_scored_together(threshold, monkeypatch):
+    """Each pair of a heading and a variant was scored on its own, in Python."""
+    import random
+
+    rng = random.Random(threshold)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(rng.randrange(n)))
+    table = [(str(i), "a" + word("abc d", 14)) for i in range(40)] + [("last", "ab" * 40)]
+    short = [(k, v) for k, v in table if len(v) <= extract.BITS]
+    names = [word("abc dz\u00e9", rng.choice((3, 20, 62, 300))) for _ in range(300)] + ["", "z", "ab" * 35, "ab" * 200]
+    one = extract.likest(table, threshold)
+    assert extract.likest_all(table, threshold)(names) == [one(n) if n else None for n in names]
+    one, brief = extract.likest(short, threshold), [n for n in names if 0 < len(n) <= extract.LONG]
+    want = [one(n) for n in brief]
+    monkeypatch.setattr(extract, "partial_ratio", None)
+    assert extract.likest_all(short, threshold)(brief) == want and any(want)
