@@ -94,8 +94,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, named).withColumn("full_text", fx.once(F.col("full_text")))
 
 
-def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.analyse(documents(spark, sf_dir), AS_OF, fuzzy=False)
+def analysed(spark: SparkSession, sf_dir: str, **kept) -> DataFrame:
+    return analysis.analyse(documents(spark, sf_dir), AS_OF, fuzzy=False, **kept)
+
+
+#: What points and counts are made of.
+COUNTED = ("severity", "category")
 
 
 def _quoted(text: str) -> str:
@@ -234,13 +238,13 @@ SELECT doc_id, doc_type, error, CASE WHEN error IS NULL THEN {_NAMES} END AS doc
 FROM scored""")
 def document_records(spark, sf_dir):
     long = lambda c: F.col(f"record.{c}").cast("long").alias(c)
-    return analysed(spark, sf_dir).select("doc_id", "doc_type", "error", "record.document_type", "record.parties", "record.key_fields", "record.risk_score", long("critical"), long("warning"), long("informational"))
+    return analysed(spark, sf_dir, fields=COUNTED).select("doc_id", "doc_type", "error", "record.document_type", "record.parties", "record.key_fields", "record.risk_score", long("critical"), long("warning"), long("informational"))
 
 
 @query("document_risk", f"""WITH {RECORDS_SQL}
 SELECT doc_id, score AS overall_score, CASE WHEN score < 40 THEN 'Low' WHEN score < 75 THEN 'Medium' ELSE 'High' END AS risk_level, legal, financial, compliance, operational, critical + warning + informational AS total_anomalies FROM scored WHERE error IS NULL""")
 def document_risk(spark, sf_dir):
-    rows = analysed(spark, sf_dir).filter("error IS NULL")
+    rows = analysed(spark, sf_dir, fields=COUNTED).filter("error IS NULL")
     return rows.select("doc_id", *(f"risk.{c}" for c in ("overall_score", "risk_level", "legal", "financial", "compliance", "operational", "total_anomalies")))
 
 
@@ -266,7 +270,7 @@ c(doc_id, clause_type, value, page) AS ({" UNION ALL ".join(rows)}) SELECT doc_i
 def document_clauses(spark, sf_dir):
     """The clauses that are there, out of the Variant payloads, with the page that each stands on."""
     listed = F.try_variant_get("payload", "$.clauses", _CLAUSE_ROW)
-    rows = analysed(spark, sf_dir).select("doc_id", F.explode(listed).alias("c")).filter("c.status = 'present'")
+    rows = analysis.variants(documents(spark, sf_dir), fuzzy=False).select("doc_id", F.explode(listed).alias("c")).filter("c.status = 'present'")
     return rows.select("doc_id", "c.*")
 
 
@@ -280,7 +284,7 @@ def document_payloads(spark, sf_dir):
     get = lambda path, kind: F.try_variant_get("payload", path, kind)
     counted = F.coalesce(F.size(get("$.line_items", "array<variant>")), F.size(get("$.evaluation_criteria", "array<variant>")), F.size(F.filter(get("$.key_facts", "array<struct<label:string>>"), lambda f: f["label"] == "Reference")))
     number = F.coalesce(get("$.invoice_number", "string"), get("$.rfp_number", "string"))
-    return analysed(spark, sf_dir).select("doc_id", get("$.governing_law", "string").alias("law"), number.alias("number"), counted.alias("n"))
+    return analysis.variants(documents(spark, sf_dir), fuzzy=False).select("doc_id", get("$.governing_law", "string").alias("law"), number.alias("number"), counted.alias("n"))
 
 
 @query("document_dates", """WITH d AS (SELECT 'rfp-' || s_suppkey AS doc_id, s_suppkey AS k FROM supplier)
@@ -302,5 +306,5 @@ def document_dates(spark, sf_dir):
 @query("typed_payloads")
 def typed_payloads(spark, sf_dir):
     """Every kind of document through the dispatch by type, with headings matched fuzzily: (doc_id, doc_type, payload, error)."""
-    rows = analysis.analyse(documents(spark, sf_dir), AS_OF)
+    rows = analysis.variants(documents(spark, sf_dir))
     return rows.select("doc_id", "doc_type", F.to_json("payload").alias("payload"), "error")
