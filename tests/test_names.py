@@ -56,3 +56,13 @@ def test_payloads_with_names(spark, model):
 
 def test_no_text(model):
     assert model.find(None) == model.find("") == model.find("\n \n") == []
+
+
+def test_texts_are_dealt_out_and_placed_late(spark, sf_dir, model):
+    """Names were placed in every text that could be fitted, and all held-out texts were one task's."""
+    found = letters.party_names(spark, sf_dir)
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    every = letters.rendered(spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS doc_id"), letters.LAYOUTS)
+    early = names.train(every.select("text", "names"))
+    assert (early.weights == model.weights).all() and (early.moves == model.moves).all()
